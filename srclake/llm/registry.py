@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, topk
+from . import chat, decontaminate, license_scan, topk
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op5_license_scan": license_scan.op5_license_scan,
         "op7_topk_search": topk.op7_topk_search,
         "op9_chat_format": chat.op9_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk_search": topk.OP7_SQL, "op9_chat_format": chat.OP9_SQL}
+    return {
+        "op2_decontaminate": decontaminate.OP2_SQL,
+        "op5_license_scan": license_scan.OP5_SQL,
+        "op7_topk_search": topk.OP7_SQL,
+        "op9_chat_format": chat.OP9_SQL,
+    }
