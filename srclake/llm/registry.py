@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, decontaminate, license_scan, topk
+from . import chat, decontaminate, language_id, license_scan, quality, topk
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op4_quality": quality.op4_quality,
         "op5_license_scan": license_scan.op5_license_scan,
         "op7_topk_search": topk.op7_topk_search,
         "op9_chat_format": chat.op9_chat_format,
