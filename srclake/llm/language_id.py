@@ -176,7 +176,10 @@ def label_words(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.nda
 
 
 def predict(documents: DataFrame, model: dict, text_col: str = "text", switch: float = SWITCH, spans: bool = False) -> DataFrame:
-    """Adds lang_pred and score to every row; with spans also the labelled spans (language, first word, words)."""
+    """Adds lang_pred and score to every row; with spans also the labelled spans (language, first word, words).
+
+    They replace columns of these names."""
+    documents = documents.drop("lang_pred", "score", *(["spans"] if spans else []))
     sent = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text_col)
 

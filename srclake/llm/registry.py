@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, decontaminate, language_id, license_scan, quality, topk
+from . import chat, decontaminate, language_id, license_scan, line_dedup, packing, quality, topk
 
 
 def queries() -> dict[str, Callable]:
@@ -13,7 +13,9 @@ def queries() -> dict[str, Callable]:
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op4_quality": quality.op4_quality,
         "op5_license_scan": license_scan.op5_license_scan,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_topk_search": topk.op7_topk_search,
+        "op8_packing": packing.op8_packing,
         "op9_chat_format": chat.op9_chat_format,
     }
 
