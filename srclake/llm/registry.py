@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, decontaminate, language_id, license_scan, line_dedup, packing, quality, topk
+from . import chat, decontaminate, language_id, license_scan, line_dedup, near_dedup, packing, quality, topk
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_language_id": language_id.op1_language_id,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_quality": quality.op4_quality,
         "op5_license_scan": license_scan.op5_license_scan,
         "op6_line_dedup": line_dedup.op6_line_dedup,
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.OP2_SQL,
+        "op3_near_dedup": near_dedup.OP3_SQL,
         "op5_license_scan": license_scan.OP5_SQL,
         "op7_topk_search": topk.OP7_SQL,
         "op9_chat_format": chat.OP9_SQL,
