@@ -43,4 +43,4 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df's size in bytes, from file sizes; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
