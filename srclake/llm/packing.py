@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -35,58 +37,60 @@ ASCII_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 _cache: dict[str, list[dict[str, bytes]]] = {}
 
+#: Normalizers and splitting pattern of the tokenizers whose ids can be had word by word.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A run of ASCII marks (no apostrophe) from a letter or digit to white space: the pattern splits there anyway.
+_MARKS = re.compile(r"([!-&(-/:-@\[-^`{-~])(?<=[^\W_].)([!-&(-/:-@\[-^`{-~]*)(?=\s|\Z)")
+#: Words that are one piece of the pattern and that the normalizers leave alone.
+_PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u017e]+|[!-&(-/:-@\[-^`{-~]+")
+#: Letters beyond Latin, combining marks and control strings: such texts are tokenized whole.
+_FAR = re.compile("[\u0130\u0149\u0300-\U0010ffff]|<\\|")
+
 
 @functools.cache
 def _tokenizer(path: str):
-    """The tokenizer, and a mark that it gives one id of its own: (tokenizer, mark, its id)."""
+    """The tokenizer; byte-level letters of code points if it splits by the known pattern, else None."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    for mark in "~|^#*%":
-        ids = t.encode(mark, add_special_tokens=False).ids
-        if len(ids) == 1:
-            return t, mark, ids[0]
-    return t, None, None
-
-
-def _encode_words(words: list[str], path: str) -> dict[str, bytes]:
-    """Ids of each word.  Many words are one text with a mark after each; words that hold the mark go one by one."""
-    t, mark, mark_id = _tokenizer(path)
-    out: dict[str, bytes] = {}
-    plain = [w for w in words if mark and mark not in w]
-    for at in range(0, len(plain), 4000):
-        part = plain[at : at + 4000]
-        ids = np.array(t.encode(f" {mark} ".join(part) + f" {mark}", add_special_tokens=False).ids, np.uint32)
-        ends = np.flatnonzero(ids == mark_id)
-        if len(ends) == len(part):
-            raw, low = ids.astype("<u4").tobytes(), 0
-            for w, e in zip(part, (ends * 4).tolist(), strict=True):
-                out[w] = raw[low:e]
-                low = e + 4
-    for w in words:
-        if w not in out:
-            out[w] = np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-    return out
+    spec = json.loads(t.to_str())
+    steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    splits = [p.get("pattern", {}).get("Regex") for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    if steps != _NORMALIZERS or splits != [_SPLIT, None] or spec["model"]["type"] != "BPE":
+        return t, None
+    # byte-level alphabet: printable bytes are themselves, the others follow from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+    return t, {c: "".join(letter[b] for b in chr(c).encode()) for c in range(33, 0x180)}
+
+
+def _word_ids(word: str, path: str) -> bytes:
+    t, letters = _tokenizer(path)
+    if _PLAIN.fullmatch(word):
+        return np.array([x.id for x in t.model.tokenize(word.translate(letters))], "<u4").tobytes()
+    return np.array(t.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of each text, as the tokenizer gives them without special tokens.
 
-    This tokenizer drops white space and never joins across it, so ids of a text are those of its words between spaces.
-    Words seen lately are looked up; when half the cache is full, the older half goes."""
+    A tokenizer of the known kind drops white space and never joins across it, so ids of a text are those of its words
+    between spaces.  Words seen lately are looked up; when half the cache is full, the older half goes."""
+    t, letters = _tokenizer(path)
+    far = [i for i, x in enumerate(texts) if letters is None or _FAR.search(x)]
+    whole = dict(zip(far, (np.array(e.ids, "<u4") for e in t.encode_batch([texts[i] for i in far], add_special_tokens=False)), strict=True))
     known = _cache.setdefault(path, [{}, {}])
-    words = [t.split(" ") for t in texts]
+    words = [[] if i in whole else _MARKS.sub(r" \1\2", x.lower()).split(" ") for i, x in enumerate(texts)]
     new = {w for ws in words for w in ws}.difference(known[0])
     if len(known[0]) + len(new) > CACHE_WORDS // 2 and known[0]:
         known[:] = [{}, known[0]]
         new = {w for ws in words for w in ws}
-    older = known[1]
-    for w in [w for w in new if w in older]:
-        known[0][w] = older[w]
-        new.discard(w)
-    known[0] |= _encode_words(list(new), path)
-    get = known[0].__getitem__
-    return [np.frombuffer(b"".join(map(get, ws)), "<u4") for ws in words]
+    recent, older = known
+    for w in new:
+        recent[w] = older[w] if w in older else _word_ids(w, path)
+    get = recent.__getitem__
+    return [whole[i] if i in whole else np.frombuffer(b"".join(map(get, ws)), "<u4") for i, ws in enumerate(words)]
 
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, part long, nth long"
@@ -176,7 +180,7 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     # the first rank of each partition's pieces of a length: one row for each partition in a window
     w = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("part", "length", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"))
-    ranked = pieces.join(first, ["part", "length"]).withColumn("rank", F.col("first") + F.col("nth")).drop("first", "part", "nth")
+    ranked = pieces.join(first.hint("merge"), ["part", "length"]).withColumn("rank", F.col("first") + F.col("nth")).drop("first", "part", "nth")
     sent = spark.sparkContext.broadcast(table)
     at = {c: ranked.columns.index(c) for c in ("length", "rank")}
 
