@@ -5,7 +5,7 @@ its own sequence; classes whose sequences share their first values are a region
 that follow, neighbours share the longest prefixes.  A region starts at the first of DEPTHS values: at Jaccard 0.8 a
 pair misses all trees with probability 1e-4.  A region of at most REGION classes gives each class its next NEIGHBOURS in
 sorted order as candidates.  A larger one goes deeper until its parts are small, and at each depth also pairs every
-class with the region's first, last and hash-smallest one, which is linear in its size.  So dense regions are read
+class with the region's first one (at the first depth with the hash-smallest one too), which is linear in its size.  So dense regions are read
 deep and sparse ones shallow.
 
 Candidates whose signatures allow the threshold (4.5 deviations) are confirmed on full sets, in two rounds: first each class
@@ -134,9 +134,10 @@ def candidates(classes: DataFrame) -> DataFrame:
         large = members.where(F.col("n") > REGION)
         if large.isEmpty():
             break
-        middle = large.groupBy("region").agg(F.min(F.struct(F.xxhash64("id", "region").alias("h"), "id")).alias("m")).select("region", F.col("m.id").alias("mid"))
-        hubs = large.join(_small(middle, many), "region")
-        found.append(hubs.select("id", F.explode(F.array("low", "high", "mid")).alias("hub")).where("id <> hub").select(*pair(F.col("id"), F.col("hub"))))
+        found.append(large.select("id", F.col("low").alias("hub")).where("id <> hub").select(*pair(F.col("id"), F.col("hub"))))
+        if not level:
+            middle = large.groupBy("region").agg(F.min(F.struct(F.xxhash64("id", "region").alias("h"), "id")).alias("m")).select("region", F.col("m.id").alias("mid"))
+            found.append(large.join(_small(middle, many), "region").select("id", F.col("mid").alias("hub")).where("id <> hub").select(*pair(F.col("id"), F.col("hub"))))
         if level + 1 == len(DEPTHS):
             break
         deeper = large.select("id", "tree").join(classes, "id")
