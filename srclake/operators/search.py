@@ -84,23 +84,60 @@ def definitions(tags: DataFrame, term: str, kinds: list[str] | None = None) -> D
     return t if not kinds else t.where(F.col("kind").isin(*kinds))
 
 
-def proximity_matches(positions: list[int], terms: list[int], query_terms: int, doc_terms: int, max_gap: int = MAX_GAP, min_terms: int = MIN_TERMS, swapped: bool = True) -> list[tuple[int, int, float]]:
-    """SR8: (first, last, score) of the chains in one document.  positions ascend; terms: the query index of each.
-
-    A chain goes on while the gap is at most max_gap and the term is new to it (and in query order unless swapped).  Its
-    score is n + 1 less the mean over its neighbouring pairs of the squared difference of document and query distance,
-    in units of (Q - 1)(D + 1)."""
-    out, i, n = [], 0, len(positions)
-    unit = max(1, (query_terms - 1) * (doc_terms + 1))
-    while i < n:
-        chain = [i]
-        while (j := chain[-1] + 1) < n and positions[j] - positions[chain[-1]] <= max_gap and terms[j] not in {terms[k] for k in chain} and (swapped or terms[j] > terms[chain[-1]]):
-            chain.append(j)
-        if len(chain) >= min_terms:
-            pairs = list(zip(chain, chain[1:], strict=False))
-            off = sum((((positions[b] - positions[a]) - (terms[b] - terms[a])) / unit) ** 2 for a, b in pairs) / len(pairs)
-            out.append((positions[chain[0]], positions[chain[-1]], len(chain) + 1 - off))
-        i = chain[-1] + 1 if len(chain) > 1 else i + 1
+def proximity_matches(places: list[list[int]], max_gap: int = MAX_GAP, min_terms: int = MIN_TERMS, swapped: bool = True) -> list[tuple[int, int, float]]:
+    """SR8: (first, last, score) of the matches in one document.  places: ascending positions of each query term.
+
+    Every term stands at one of its positions, no two at the same.  From the lowest on, terms belong to a match while
+    the next one is at most max_gap away; then the lowest moves on to its next position, and so forth, as long as
+    enough terms are left to beat the best match's size.  If order counts, terms that step back are left out.  The score
+    is n + 1 less the mean over all pairs of (distance in the document - distance in the query)^2, in units of
+    ((Q - 1)(max_gap + 1))^2."""
+    at = {t: 0 for t, ps in enumerate(places) if ps}
+    unit = max(1, (len(places) - 1) * (max_gap + 1)) ** 2
+    out: list[tuple[int, int, float]] = []
+    best, size = 0.0, 0
+
+    def settle() -> list[tuple[int, int]]:
+        while True:
+            taken: dict[int, int] = {}
+            clash = None
+            for t in sorted(at):
+                p = places[t][at[t]]
+                if p in taken:
+                    clash = t
+                    break
+                taken[p] = t
+            if clash is None:
+                return sorted(taken.items())
+            step(clash)
+
+    def step(t: int) -> None:
+        at[t] += 1
+        if at[t] == len(places[t]):
+            del at[t]
+
+    while len(now := settle()) >= max(min_terms, size):
+        run = [now[0]]
+        for p, t in now[1:]:
+            if p - run[-1][0] > max_gap:
+                break
+            run.append((p, t))
+        if len(run) >= min_terms:
+            if not swapped:
+                kept = run[:1]
+                for p, t in run[1:]:
+                    if t >= kept[-1][1]:
+                        kept.append((p, t))
+                run = kept
+            n = len(run)
+            if n >= min_terms:
+                off = sum(((q - p) - (u - t)) ** 2 for i, (p, t) in enumerate(run) for q, u in run[i + 1 :]) / (n * (n - 1) / 2)
+                value = n + 1 - off / unit
+                if value > 0:
+                    out.append((run[0][0], run[-1][0], value))
+                if value > best:
+                    best, size = value, n
+        step(now[0][1])
     return out
 
 
@@ -111,13 +148,11 @@ def proximity(posts: DataFrame, terms: list[str], doc: str = "doc_id", max_gap:
     kind = f"{doc} long, first int, last int, score double"
     if len(terms) < 2:
         return posts.sparkSession.createDataFrame([], kind)
-    index = {t: i for i, t in reversed(list(enumerate(terms)))}
-    size = posts.groupBy(doc).agg((F.max("position") + 1).alias("size"))
-    hits = posts.where(F.col("term").isin(*index)).join(size, doc)
+    hits = posts.where(F.col("term").isin(*terms))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        found = proximity_matches(pdf["position"].tolist(), [index[t] for t in pdf["term"]], len(terms), int(pdf["size"].iloc[0]), max_gap, min_terms, swapped)
+        by_term = {t: sorted(g.tolist()) for t, g in pdf.groupby("term")["position"]}
+        found = proximity_matches([by_term.get(t, []) for t in terms], max_gap, min_terms, swapped)
         best = max(found, key=lambda m: (m[2], -m[0]), default=None)
         return pd.DataFrame([(pdf[doc].iloc[0], *best)] if best else [], columns=[doc, "first", "last", "score"])
 
