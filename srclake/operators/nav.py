@@ -223,7 +223,7 @@ class Navigation:
         rec = self.f["record"].select("entity_hash", "qualified_name", F.lit("Type").alias("kind"))
         typed = self.f["typed_entity"].select("entity_hash", "qualified_name", "kind")
         named = fn.unionByName(rec).unionByName(typed).groupBy("entity_hash").agg(F.min(F.struct("kind", "qualified_name")).alias("p"))
-        v = F.map_from_entries(F.array(F.struct(F.lit("Kind"), F.col("p.kind")), F.struct(F.lit("Name"), F.element_at(F.split("p.qualified_name", "::"), -1)), F.struct(F.lit("Qualified name"), F.col("p.qualified_name"))))
+        v = F.create_map(F.lit("Kind"), F.col("p.kind"), F.lit("Name"), F.element_at(F.split("p.qualified_name", "::"), -1), F.lit("Qualified name"), F.col("p.qualified_name"))
         return q.join(named, F.col("q_hash") == F.col("entity_hash")).select("query_id", v.alias("properties"))
 
     def source_text(self, ids) -> DataFrame:

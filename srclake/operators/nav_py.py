@@ -83,7 +83,7 @@ class PythonNavigation:
     def properties(self, ids) -> DataFrame:
         """PY12."""
         s = lambda c: F.col(c).cast("string")
-        m = F.map_from_entries(F.array(F.struct(F.lit("Full name"), F.col("full_name")), F.struct(F.lit("Builtin"), s("is_builtin")), F.struct(F.lit("Function call"), s("is_call")), F.struct(F.lit("Type hint"), F.coalesce("type_hint", F.lit("")))))
+        m = F.create_map(F.lit("Full name"), F.col("full_name"), F.lit("Builtin"), s("is_builtin"), F.lit("Function call"), s("is_call"), F.lit("Type hint"), F.coalesce("type_hint", F.lit("")))
         return self.names.where(F.col("id").isin(*ids)).select(F.col("id").alias("query_id"), m.alias("properties"))
 
     def source_text(self, ids) -> DataFrame:
