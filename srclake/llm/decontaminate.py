@@ -47,7 +47,7 @@ def build_index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 row = [ids[i:j], null[i:j].astype(np.uint8), first.astype(np.uint32), s[new], np.append(new, len(s)).astype(np.uint32), order]
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=["docs", "null_id", "first", "terms", "starts", "positions"])
 
-    return documents.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, INDEX)
+    return documents.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_bytes.tidy(run), INDEX)
 
 
 class Segment:
@@ -179,7 +179,7 @@ def search(index: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "i
                     lists.setdefault(d, set()).add(x)
                 yield pa.RecordBatch.from_arrays([pa.array(seg.docs, pa.int64(), mask=seg.null), pa.array(np.diff(seg.first)), pa.array(run[seg.first[1:]] - run[seg.first[:-1]]), pa.array([sorted(lists.get(d, ())) for d in range(len(seg.docs))], pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
 
-    return found.mapInArrow(finish, "doc_id long, n_words long, n_hit long, items array<string>")
+    return found.mapInArrow(_bytes.tidy(finish), "doc_id long, n_words long, n_hit long, items array<string>")
 
 
 def _search_block(sent):
@@ -217,7 +217,7 @@ def near(index: DataFrame, words: list[str], span: int) -> DataFrame:
                 hits = seg.near(keys, span)
                 yield pa.RecordBatch.from_arrays([pa.array([None if seg.null[d] else int(seg.docs[d]) for d, _, _ in hits], pa.int64()), pa.array([a for _, a, _ in hits], pa.int64()), pa.array([b for *_, b in hits], pa.int64())], names=["doc_id", "first_word", "last_word"])
 
-    return index.mapInArrow(run, "doc_id long, first_word long, last_word long")
+    return index.mapInArrow(_bytes.tidy(run), "doc_id long, first_word long, last_word long")
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:

@@ -116,7 +116,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             at = np.flatnonzero(both)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(both[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    sums = labelled.select(F.col(text_col), F.col(lang_col)).mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = labelled.select(F.col(text_col), F.col(lang_col)).mapInArrow(_bytes.tidy(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = sums.toArrow()  # at most BUCKETS + 256 a language
     langs = sorted(set(rows["lang"].to_pylist()))
     if not langs:
@@ -220,7 +220,7 @@ def predict(documents: DataFrame, model: dict, text_col: str = "text", switch: f
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "lang_pred", "score", *(["spans"] if spans else [])])
 
     ddl = documents.limit(0).selectExpr("*", *(["CAST(NULL AS string) AS lang_pred", "CAST(0 AS double) AS score"] + (["CAST(NULL AS array<struct<lang:string,first_word:int,n_words:int>>) AS spans"] if spans else []))).schema
-    return documents.mapInArrow(run, ddl)
+    return documents.mapInArrow(_bytes.tidy(run), ddl)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

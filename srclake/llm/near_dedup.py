@@ -80,7 +80,7 @@ def signatures(documents: DataFrame, n: int, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "n_shingles", "key", "sig"])
 
     rows = documents.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
-    return rows.mapInArrow(run, "row long, doc_id long, n_shingles long, key long, sig binary")
+    return rows.mapInArrow(_bytes.tidy(run), "row long, doc_id long, n_shingles long, key long, sig binary")
 
 
 def _sigs(column: pa.Array) -> np.ndarray:
@@ -111,7 +111,7 @@ def _regions(classes: DataFrame, level: int, of_tree: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(who), t, np.int32)), pa.array(ids[who]), pa.array(label.view(np.int64))], names=["region", "tree", "id", "label"])
 
     cols = ["id", "sig", *(["tree"] if of_tree else [])]
-    return classes.select(*cols).mapInArrow(run, "region long, tree int, id long, label long")
+    return classes.select(*cols).mapInArrow(_bytes.tidy(run), "region long, tree int, id long, label long")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame
                 keep = est >= least
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(est[keep])], names=["a", "b", "est"])
 
-    return x.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, est double")
+    return x.select("a", "b", "sa", "sb").mapInArrow(_bytes.tidy(run), "a long, b long, est double")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> DataFrame:
@@ -186,7 +186,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> Dat
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return x.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return x.select("a", "b", "ta", "tb").mapInArrow(_bytes.tidy(run), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

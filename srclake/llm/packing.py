@@ -31,7 +31,7 @@ SEQUENCE = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; more are forgotten all at once.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 240_000
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -117,7 +117,7 @@ def tokenize(documents: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "part", "nth"])
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, PIECES)
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(_bytes.tidy(run), PIECES)
 
 
 def shortest_pack_first(histogram: dict[int, int], sequence: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -194,7 +194,7 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t["base"][k] + rank - t["low"][k]), pa.array(t["offset"][k])], names=[*batch.schema.names, "sequence_id", "offset"])
 
     schema = ranked.selectExpr("*", "CAST(0 AS long) AS sequence_id", "CAST(0 AS long) AS offset").schema
-    return ranked.mapInArrow(run, schema).drop("rank")
+    return ranked.mapInArrow(_bytes.tidy(run), schema).drop("rank")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

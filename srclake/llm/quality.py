@@ -85,7 +85,7 @@ def statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 s = _stats(buf, st, en, first, offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.arange(0, s.size + 1, N_STATS, dtype=np.int32)), pa.array(s.ravel()))], names=["doc_id", "stats"])
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, stats array<double>")
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(_bytes.tidy(run), "doc_id long, stats array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -138,7 +138,7 @@ def fit(train: DataFrame, parts: int = 64) -> dict:
         for f, m in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["fold", "sums"])
 
-    sums = train.select("stats", "label", "fold").coalesce(parts).mapInArrow(equations, "fold int, sums binary")
+    sums = train.select("stats", "label", "fold").coalesce(parts).mapInArrow(_bytes.tidy(equations), "fold int, sums binary")
     sums = sums.repartition(4).mapInArrow(_sum_up, "fold int, sums binary")
     d = FEATURES + N_STATS + 2
     by_fold: dict[int, np.ndarray] = {}
@@ -167,7 +167,7 @@ def fit(train: DataFrame, parts: int = 64) -> dict:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(s[at])], names=["bin", "n", "s"])
 
-    got = train.select("stats", "label", "fold").mapInArrow(bins, "bin int, n double, s double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).orderBy("bin").collect()
+    got = train.select("stats", "label", "fold").mapInArrow(_bytes.tidy(bins), "bin int, n double, s double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).orderBy("bin").collect()
     return {"kernel": kernel, "weights": weights, "map": isotonic([(r["bin"] + 0.5) / BINS * 2 - 0.5 for r in got], [r["n"] for r in got], [r["s"] for r in got])}
 
 
@@ -199,7 +199,7 @@ def score(stats: DataFrame, model: dict) -> DataFrame:
                 out = np.clip(np.interp(m["kernel"](_matrix(batch.column(1))) @ m["weights"], *m["map"]), 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "score"])
 
-    return stats.select("doc_id", "stats").mapInArrow(run, "doc_id long, score double")
+    return stats.select("doc_id", "stats").mapInArrow(_bytes.tidy(run), "doc_id long, score double")
 
 
 def classify(documents: DataFrame, labels: DataFrame, trains, label_col: str = "quality") -> DataFrame:
