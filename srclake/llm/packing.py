@@ -17,6 +17,7 @@ import bisect
 import functools
 import json
 import re
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -31,7 +32,7 @@ SEQUENCE = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; more are forgotten all at once.
-CACHE_WORDS = 240_000
+CACHE_WORDS = 400_000
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -65,11 +66,17 @@ def _tokenizer(path: str):
     return t, {c: "".join(letter[b] for b in chr(c).encode()) for c in range(33, 0x180)}
 
 
-def _word_ids(word: str, path: str) -> bytes:
+def _learn(words, recent: dict[str, bytes], older: dict[str, bytes], path: str) -> None:
+    """Puts each word's ids in recent, from older where it is there."""
     t, letters = _tokenizer(path)
-    if _PLAIN.fullmatch(word):
-        return np.array([x.id for x in t.model.tokenize(word.translate(letters))], "<u4").tobytes()
-    return np.array(t.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    plain, pieces, encode = _PLAIN.fullmatch, t.model.tokenize, t.encode
+    for w in words:
+        if w in older:
+            recent[w] = older[w]
+        elif plain(w):
+            recent[w] = array("I", [x.id for x in pieces(w if w.isascii() else w.translate(letters))]).tobytes()
+        else:
+            recent[w] = array("I", encode(w, add_special_tokens=False).ids).tobytes()
 
 
 def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
@@ -87,8 +94,7 @@ def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
         known[:] = [{}, known[0]]
         new = {w for ws in words for w in ws}
     recent, older = known
-    for w in new:
-        recent[w] = older[w] if w in older else _word_ids(w, path)
+    _learn(new, recent, older, path)
     get = recent.__getitem__
     return [whole[i] if i in whole else np.frombuffer(b"".join(map(get, ws)), "<u4") for i, ws in enumerate(words)]
 
