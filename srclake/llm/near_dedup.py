@@ -34,8 +34,8 @@ THRESHOLD = 80  # per cent
 MINHASHES = 128
 TREES = 24
 DEPTHS = (5, 9, 14, 20, 28)
-REGION = 16
-NEIGHBOURS = 8
+REGION = 64
+NEIGHBOURS = 10
 SEED = 11
 
 _A = np.random.default_rng(SEED).integers(0, 1 << 63, MINHASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
