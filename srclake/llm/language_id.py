@@ -210,8 +210,8 @@ def predict(documents: DataFrame, model: dict, text_col: str = "text", switch: f
                 for d in np.flatnonzero(total > 0):
                     preds[i + d] = langs[win[d]]
                 scores[i : i + n] = np.where(total > 0, share * post, 0)
-                if spans:
-                    new = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])])) if len(doc) else []
+                if spans and len(doc):
+                    new = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])]))
                     for a, b in zip(new, [*new[1:], len(doc)], strict=True):
                         found[i + doc[a]].append({"lang": langs[labels[a]], "first_word": int(a - first[doc[a]]), "n_words": int(b - a)})
             cols = [*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
