@@ -707,3 +707,6 @@ def _(x):
 def _(x):
     return x.files().groupBy("hash").agg(F.max(F.length("content")).cast("long").alias("n"), F.count("*").alias("files"))
 
+
+
+from . import nav_bindings  # noqa: E402, F401  registers its queries
