@@ -200,9 +200,19 @@ def connection_parts(text) -> Column:
     return F.str_to_map(F.regexp_replace(_c(text), "^[^:]*:", ""), F.lit(";"), F.lit("="))
 
 
-def connection_with(text, key: str, value: str) -> Column:
+def connection_with(text, key: str, value) -> Column:
     """SNK2: the connection string with one part replaced or added."""
     system = F.regexp_extract(_c(text), "^([^:]*):", 1)
-    merged = F.map_concat(F.map_filter(connection_parts(text), lambda k, v: k != key), F.create_map(F.lit(key), F.lit(value)))
+    merged = F.map_concat(F.map_filter(connection_parts(text), lambda k, v: k != key), F.create_map(F.lit(key), value if isinstance(value, Column) else F.lit(value)))
     pairs = F.transform(F.array_sort(F.map_keys(merged)), lambda k: F.concat(k, F.lit("="), merged[k]))
     return F.concat(system, F.lit(":"), F.array_join(pairs, ";"))
+
+
+def path_tokens(path) -> Column:
+    """FN10: the parts of a path."""
+    return F.filter(F.split(_c(path), "/"), lambda p: p != "")
+
+
+def as_json(*columns: str) -> Column:
+    """FN19, SNK5: a row's columns as JSON."""
+    return F.to_json(F.struct(*columns))

@@ -212,3 +212,13 @@ class Graph:
     def with_attribute(self, node, key: str, value: str) -> Graph:
         new = F.when(F.col("id") == node, F.map_concat(F.map_filter("attrs", lambda k, v: k != key), F.create_map(F.lit(key), F.lit(value)))).otherwise(F.col("attrs"))
         return Graph(self.nodes.withColumn("attrs", new), self.edges)
+
+
+#: GR28: diagram menus and legends (static dimensions).
+DIAGRAM_TYPES = {"file": ["Component users", "Include dependency", "Interface"], "directory": ["External dependency", "External users", "Subsystem dependency"], "function": ["Function call"], "type": ["Detailed class", "Class collaboration"], "python": ["Function call", "Module", "Usage", "Class"]}
+LEGENDS = {"Function call": [("centre", "The function that the diagram is about"), ("callee", "A function that it calls"), ("caller", "A function that calls it")], "Detailed class": [("class", "The class that the diagram is about"), ("inherits", "Edge from a class to its base")], "Interface": [("PROVIDE", "The header whose declarations the file defines"), ("USE", "A file that is used"), ("INCLUDE", "A file that is included")]}
+
+
+def legend(spark, diagram: str) -> DataFrame:
+    """GR28."""
+    return spark.createDataFrame(LEGENDS.get(diagram, []), "mark string, meaning string")

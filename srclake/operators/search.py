@@ -244,3 +244,19 @@ def valid_regex(pattern: str) -> bool:
 
 
 SEARCH_TYPES = ["Text search", "Definition search", "File name search", "Log search"]
+
+
+def matched(*matches: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """SR11: line matches of several matchers together; a document without any is in none of them and so drops out."""
+    out = matches[0].select(doc, "line", "first", "last")
+    for m in matches[1:]:
+        out = out.unionByName(m.select(doc, "line", "first", "last"))
+    return out.distinct()
+
+
+def log_spans(best: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """SR20: (line, ordinal) of the first and last term of each document's best proximity match, best score first."""
+    t = token_lines(docs, doc, text).withColumn("_p", F.row_number().over(Window.partitionBy(doc).orderBy("line", "ordinal")) - 1)
+    a = t.select(doc, F.col("_p").alias("first"), F.col("line").alias("first_line"), F.col("ordinal").alias("first_ordinal"))
+    b = t.select(doc, F.col("_p").alias("last"), F.col("line").alias("last_line"), F.col("ordinal").alias("last_ordinal"))
+    return best.join(a, [doc, "first"]).join(b, [doc, "last"]).orderBy(F.desc("score"), doc)

@@ -478,6 +478,23 @@ def _(x):
     return search.proximity(_posts(x), ["with", "from", "this"])
 
 
+@query("sr20_log_spans")
+def _(x):
+    d = x.table("documents")
+    return search.log_spans(search.proximity(search.postings(d), ["with", "from", "this"]), d)
+
+
+@query("fn10_path_tokens", f"SELECT page_id, array_to_string([p FOR p IN string_split(path, '/') IF p <> ''], ' ') AS tokens FROM {v.URLS}")
+def _(x):
+    return x.url_files().select("page_id", F.array_join(expr.path_tokens("path"), " ").alias("tokens"))
+
+
+@query("snk2_connection", "SELECT c_custkey, 'pgsql:host=' || c_mktsegment || ';port=' || c_nationkey AS conn FROM customer")
+def _(x):
+    t = F.concat(F.lit("pgsql:port=1;host="), F.col("c_mktsegment"))
+    return x.table("customer").select("c_custkey", expr.connection_with(t, "port", F.col("c_nationkey").cast("string")).alias("conn"))
+
+
 @query("sr9_overlap", f"WITH m AS (SELECT doc_id, position AS first, position + 3 + (position % 3) AS last FROM {v.POSTINGS} WHERE term = 'with'), n AS (SELECT *, lead(last) OVER (PARTITION BY doc_id ORDER BY first, last) AS e FROM m) SELECT doc_id, first, last FROM n WHERE e IS NULL OR e > last")
 def _(x):
     m = _posts(x).where("term = 'with'").select("doc_id", F.col("position").alias("first"), (F.col("position") + 3 + F.col("position") % 3).alias("last"))

@@ -79,6 +79,14 @@ class Workspaces:
         return self.listing.orderBy("id")
 
 
+class Plugins:
+    """SV2: the registered operators, by name."""
+
+    @staticmethod
+    def all() -> list[str]:
+        return sorted(_OPERATORS)
+
+
 class History:
     def __init__(self, commits: DataFrame):
         self.commits = commits
