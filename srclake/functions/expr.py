@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 SOURCE_SUFFIXES = (".c", ".cc", ".cpp", ".cxx")
 HEADER_SUFFIXES = (".h", ".hh", ".hpp", ".hxx")
-OBJECT_SUFFIXES = (".o", ".so", ".dylib")
+OBJECT_SUFFIXES = (".o", ".so", ".dll")
 TOKEN = r"[\p{Lu}\p{Ll}\p{Lt}\p{Lm}\p{Lo}\p{Nd}\p{Pc}#]+"
 
 
@@ -66,7 +66,8 @@ def named(code, names: dict[int, str]) -> Column:
 def last_parts(path, n: int) -> Column:
     """PRD13: the last n parts of a path, after '...' if there are more."""
     parts = F.split(_c(path), "/")
-    return F.when(F.size(parts) <= n, _c(path)).otherwise(F.concat(F.lit(".../"), F.array_join(F.slice(parts, -n, n), "/")))
+    more = F.size(parts) - F.startswith(_c(path), F.lit("/")).cast("int") > n
+    return F.when(more, F.concat(F.lit(".../"), F.array_join(F.slice(parts, -n, n), "/"))).otherwise(_c(path))
 
 
 def extension(path) -> Column:
@@ -94,9 +95,9 @@ def line_count(text) -> Column:
 
 
 def without_blank_lines(text) -> Column:
-    """FN6: no lines of white space alone, no runs of newlines."""
-    kept = F.filter(F.split(_c(text), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\x0b\x0c]+", "")) != "")
-    return F.array_join(kept, "\n")
+    """FN6: lines of white space alone lose it if a newline follows, and runs of newlines become one."""
+    bare = F.regexp_replace(_c(text), r"(^|\n)[ \t\r\x0B\x0C]+(?=\n)", "$1")
+    return F.regexp_replace(bare, r"\n+", "\n")
 
 
 def text_range(text, start_line, start_col, end_line, end_col) -> Column:

@@ -11,28 +11,27 @@ from pyspark.sql import functions as F
 from ..functions import expr
 
 #: Comment marks by file type (fixed values): single-line mark, block start, block end.
-COMMENTS = {"CPP": ("//", "/*", "*/"), "C": ("//", "/*", "*/"), "JAVA": ("//", "/*", "*/"), "JS": ("//", "/*", "*/"), "PY": ("#", "'''", "'''"), "SH": ("#", "", ""), "SQL": ("--", "/*", "*/")}
+COMMENTS = {
+    "CPP": ("//", "/*", "*/"), "Java": ("//", "/*", "*/"), "Erlang": ("#", "", ""), "Bash": ("#", "", ""), "Perl": ("#", "", ""),
+    "Python": ("#", '"""', '"""'), "Sql": ("--", "/*", "*/"), "Ruby": ("#", "=begin", "\n=end"),
+}
 ORIGINAL, NONBLANK, CODE = 1, 2, 3
 
 
 def without_comments(text: str, single: str, start: str, end: str) -> str:
     """Q7: single-line marks go first, to the end of their line, wherever they stand; then blocks.
 
-    A block's end is looked for after its start mark; what is cut reaches to the end mark plus the start mark's length.
-    A block without an end is cut to the end of the text."""
+    A block's end is looked for after its start mark, and the cut reaches the start mark's length beyond it.  A block
+    without an end is cut to the end of the text, but one within the first characters loses only what the wrapped length
+    says.  After a cut the search goes on where a mark could have been joined."""
     if single:
         text = "\n".join(line.split(single, 1)[0] for line in text.split("\n"))
-    if start:
-        out, at = [], 0
-        while (a := text.find(start, at)) >= 0:
-            out.append(text[at:a])
-            b = text.find(end, a + len(start))
-            if b < 0:
-                at = len(text)
-                break
-            at = b + len(start)
-        out.append(text[at:])
-        text = "".join(out)
+    size, at = len(start), 0
+    while start and (a := text.find(start, at)) >= 0:
+        b = text.find(end, a + size)
+        cut = b - a + size if b >= 0 else ((1 << 64) - 1 - a + size) % (1 << 64)
+        text = text[:a] + (text[a + cut :] if cut else "")
+        at = max(0, a - size + 1)
     return text
 
 

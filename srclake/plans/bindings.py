@@ -305,10 +305,10 @@ def _(x):
     return x.files().where(metrics.in_scope("path", ["/src1", "/src2/en"])).agg(F.count("*").alias("n"))
 
 
-_LINES = "[x FOR x IN string_split(content, chr(10)) IF trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> '']"
+_BARE = r"regexp_replace(array_to_string([CASE WHEN i < len(ls) AND regexp_full_match(ls[i], '[ \t\r\x0B\x0C]*') THEN '' ELSE ls[i] END FOR i IN range(1, len(ls) + 1)], chr(10)), '\n+', chr(10), 'g')"
 
 
-@query("mt14_loc", f"SELECT id, type, metric FROM (SELECT id, unnest([1, 2, 3]) AS type, unnest([CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) END, CASE WHEN len({_LINES}) = 0 THEN 0 ELSE len({_LINES}) END, CASE WHEN len({_LINES}) = 0 THEN 0 ELSE len({_LINES}) END]) AS metric FROM {v.FILES}) WHERE metric > 0")
+@query("mt14_loc", f"SELECT id, type, CAST(metric AS INTEGER) AS metric FROM (SELECT id, unnest([1, 2, 3]) AS type, unnest([len(ls), n, n]) AS metric FROM (SELECT id, content, ls, CASE WHEN x = '' THEN 0 ELSE len(string_split(x, chr(10))) END AS n FROM (SELECT id, content, ls, {_BARE} AS x FROM (SELECT id, content, string_split(content, chr(10)) AS ls FROM {v.FILES}))) WHERE content <> '') WHERE metric > 0")
 def _(x):
     return loc.lines_of_code(x.files())
 
@@ -679,7 +679,7 @@ def _(x):
     return x.files().select("id", expr.last_parts("path", 2).alias("label"))
 
 
-@query("prd14_file_class", f"SELECT page_id, CASE WHEN regexp_extract(lower(path), '\\.[^./]+$', 0) IN ('.c', '.cc', '.cpp', '.cxx') THEN 'source' WHEN regexp_extract(lower(path), '\\.[^./]+$', 0) IN ('.h', '.hh', '.hpp', '.hxx') THEN 'header' WHEN regexp_extract(lower(path), '\\.[^./]+$', 0) IN ('.o', '.so', '.dylib') THEN 'object' ELSE 'other' END AS class FROM {v.URLS}")
+@query("prd14_file_class", f"SELECT page_id, CASE WHEN regexp_extract(lower(path), '\\.[^./]+$', 0) IN ('.c', '.cc', '.cpp', '.cxx') THEN 'source' WHEN regexp_extract(lower(path), '\\.[^./]+$', 0) IN ('.h', '.hh', '.hpp', '.hxx') THEN 'header' WHEN regexp_extract(lower(path), '\\.[^./]+$', 0) IN ('.o', '.so', '.dll') THEN 'object' ELSE 'other' END AS class FROM {v.URLS}")
 def _(x):
     return x.url_files().select("page_id", expr.file_class("path").alias("class"))
 

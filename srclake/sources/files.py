@@ -13,12 +13,23 @@ from ..functions import expr
 from ..operators import paths
 from ..operators.graph import Graph
 
-#: Suffixes that are not indexed (fixed values) and the largest file that is.
-SKIPPED_SUFFIXES = (".o", ".a", ".so", ".class", ".jar", ".zip", ".gz", ".png", ".jpg", ".gif", ".pdf", ".metrics.dat")
+#: Suffixes that are not indexed (fixed values; compared in lower case), and the size of the largest file that is.
+SKIPPED_SUFFIXES = (".doc", ".rtf", ".htm", ".html", ".xml", ".cc.d", ".cc.opts", ".bin", ".hhk", ".hhc", ".output", ".output.0", ".output.1", ".metrics.dat", ".pp")
 MAX_INDEXED = 1 << 20
 CPP_SUFFIXES = (".c", ".cc", ".cpp", ".cxx")
-#: Generic kinds of definition tags, by the tagger's names.
-KINDS = {"class": "Type", "struct": "Type", "union": "Type", "enum": "Type", "interface": "Type", "typedef": "Type", "function": "Function", "method": "Function", "prototype": "Function", "member": "Field", "field": "Field", "variable": "Variable", "enumerator": "Constant", "constant": "Constant", "macro": "Macro", "namespace": "Module", "package": "Module", "module": "Module", "label": "Label", "file": "File"}
+#: Generic kinds of definition tags, by the tagger's names (fixed values); declarations only are no definitions.
+KIND_NAMES = {
+    "Type": ["struct", "class", "interface", "typedef", "union", "enum", "table", "type", "record", "Exception", "namelist"],
+    "Macro": ["define", "macro"],
+    "Function": ["subroutine", "function", "method", "procedure", "singleton method", "jsfunction", "Constructor", "entry"],
+    "Field": ["member", "field", "property"],
+    "Variable": ["externvar", "variable", "local", "external variable declarations", "var"],
+    "Constant": ["enumerator", "constant", "enum constant", "null"],
+    "Label": ["label"],
+    "Module": ["namespace", "package", "module", "component", "program", "block data", "common"],
+}
+NOT_DEFINITIONS = ["prototype", "subroutine declaration", "event", "section", "command"]
+KINDS = {name: kind for kind, names in KIND_NAMES.items() for name in names}
 
 
 def walk(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -103,8 +114,8 @@ def use_edges(nodes: DataFrame) -> DataFrame:
 
 
 def tag_kind(kind):
-    """SRC18."""
-    return F.coalesce(expr.named(kind, KINDS), F.lit("Other"))
+    """SRC18: the generic kind; null for what is no definition."""
+    return F.when(~F.col(kind).isin(*NOT_DEFINITIONS), F.coalesce(expr.named(F.col(kind), KINDS), F.lit("Other")))
 
 
 def git_log(spark: SparkSession, dump: str) -> DataFrame:

@@ -96,6 +96,9 @@ def test_lines_of_code(spark):
     f = spark.createDataFrame([(1, "CPP", text), (2, "CPP", ""), (3, "Unknown", "a\n\nb")], "id long, type string, content string")
     assert rows(loc.lines_of_code(f), "id", "type", "metric") == [(1, 1, 5), (1, 2, 3), (1, 3, 2), (3, 1, 3), (3, 2, 2), (3, 3, 2)]
     assert loc.without_comments("a /* b */ c", "//", "/*", "*/") == "a  c"
+    assert loc.without_comments("abc /* open", "//", "/*", "*/") == "abc "
+    assert loc.without_comments("x\n=begin\ny\n=end\nz", "#", "=begin", "\n=end") == "x\nz"
+    assert loc.without_comments("ab //* c\n */ d", "//", "/*", "*/") == "ab \n */ d"
 
 
 def test_containment(spark):
@@ -158,7 +161,7 @@ def test_expressions(spark):
     assert get(expr.text_range("t", F.lit(1), F.lit(1), F.lit(None).cast("int"), F.lit(1))) == ""
     assert get(expr.html_escape("t")).endswith("&lt;&amp;&gt;")
     assert get(expr.ancestors("p")) == ["/p", "/p/q"] and get(expr.file_class("p")) == "source"
-    assert get(expr.last_parts("p", 2)) == ".../q/r.CPP"
+    assert get(expr.last_parts("p", 2)) == ".../q/r.CPP" and get(expr.last_parts("p", 3)) == "/p/q/r.CPP"
     assert get(expr.word_places(F.lit("a b ab a"), "a")) == [1, 8]
     assert get(expr.fnv1a(F.lit("a"))) == 0xAF63DC4C8601EC8C - (1 << 64)
     assert get(expr.connection_with(F.lit("pgsql:host=a;port=1"), "port", "2")) == "pgsql:host=a;port=2"
