@@ -156,18 +156,18 @@ def _contained(op: str, name: str):
 
 @query("jn6_calls_within", _contained("<", "jn6"))
 def _(x):
-    return ranges.within(x.nodes("the"), x.scopes()).groupBy(F.col("outer.file_id").alias("file_id"), F.col("outer.scope").alias("scope")).agg(F.count("*").alias("n"))
+    return ranges.within(x.nodes("the"), x.scopes()).groupBy(F.col("outer.file_id").alias("file_id"), F.col("outer.scope").cast("long").alias("scope")).agg(F.count("*").alias("n"))
 
 
 @query("jn7_enclosing", f"SELECT file_id, line, ordinal, min(scope) AS scope FROM (SELECT doc_id AS file_id, line, ordinal FROM {v.TOKEN_LINES} WHERE term = 'with') t JOIN {v.SCOPES} s USING (file_id) WHERE line BETWEEN start_line AND end_line GROUP BY 1, 2, 3")
 def _(x):
     e = ranges.enclosing(x.nodes("with"), x.scopes(), bucket_lines=64)
-    return e.groupBy(F.col("inner.file_id").alias("file_id"), F.col("inner.start_line").alias("line"), F.col("inner.start_col").alias("ordinal")).agg(F.min("outer.scope").alias("scope"))
+    return e.groupBy(F.col("inner.file_id").alias("file_id"), F.col("inner.start_line").cast("long").alias("line"), F.col("inner.start_col").cast("long").alias("ordinal")).agg(F.min("outer.scope").cast("long").alias("scope"))
 
 
 @query("jn8_inclusive", _contained("<=", "jn8"))
 def _(x):
-    return ranges.within_inclusive(x.nodes("the"), x.scopes(), "file_id").groupBy(F.col("outer.file_id").alias("file_id"), F.col("outer.scope").alias("scope")).agg(F.count("*").alias("n"))
+    return ranges.within_inclusive(x.nodes("the"), x.scopes(), "file_id").groupBy(F.col("outer.file_id").alias("file_id"), F.col("outer.scope").cast("long").alias("scope")).agg(F.count("*").alias("n"))
 
 
 @query("jn9_innermost", f"SELECT doc_id AS point_id, CASE WHEN lines >= 3 THEN 1 ELSE 0 END::BIGINT AS id FROM (SELECT doc_id, len(string_split(text, chr(10))) AS lines FROM documents) WHERE lines >= 3")
@@ -439,7 +439,7 @@ def _(x):
 
 @query("sr3_phrase", f"WITH p AS (SELECT * FROM {v.POSTINGS} WHERE term IN ('of', 'the')) SELECT a.doc_id, a.position FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.position = a.position + 1 WHERE a.term = 'of' AND b.term = 'the'")
 def _(x):
-    return search.phrase(_posts(x), ["of", "the"])
+    return search.phrase(_posts(x), ["of", "the"]).select("doc_id", long("position"))
 
 
 @query("sr4_wildcard", f"SELECT doc_id, count(*) AS hits FROM {v.POSTINGS} WHERE term LIKE '%tion_n%' GROUP BY doc_id")
@@ -498,12 +498,12 @@ def _(x):
 @query("sr9_overlap", f"WITH m AS (SELECT doc_id, position AS first, position + 3 + (position % 3) AS last FROM {v.POSTINGS} WHERE term = 'with'), n AS (SELECT *, lead(last) OVER (PARTITION BY doc_id ORDER BY first, last) AS e FROM m) SELECT doc_id, first, last FROM n WHERE e IS NULL OR e > last")
 def _(x):
     m = _posts(x).where("term = 'with'").select("doc_id", F.col("position").alias("first"), (F.col("position") + 3 + F.col("position") % 3).alias("last"))
-    return search.without_overlaps(m)
+    return search.without_overlaps(m).select("doc_id", long("first"), long("last"))
 
 
 @query("sr10_line_matches", f"WITH t AS (SELECT *, ordinal - row_number() OVER (PARTITION BY doc_id, line ORDER BY ordinal) AS g FROM {v.TOKEN_LINES} WHERE term IN ('of', 'the')) SELECT doc_id, line, min(ordinal) AS first, max(ordinal) AS last, count(*) AS tokens FROM t GROUP BY doc_id, line, g")
 def _(x):
-    return search.line_matches(search.token_lines(x.table("documents")), ["of", "the"])
+    return search.line_matches(search.token_lines(x.table("documents")), ["of", "the"]).select("doc_id", *map(long, ("line", "first", "last", "tokens")))
 
 
 @query("sr12_near_best", "SELECT o_custkey AS doc_id, o_orderkey, o_totalprice AS score FROM (SELECT *, max(o_totalprice) OVER (PARTITION BY o_custkey) AS b FROM orders) WHERE o_totalprice >= b - 1000")
