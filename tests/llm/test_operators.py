@@ -318,6 +318,26 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(d.limit(0)).count() == 0
 
 
+def removed_by_brute_force(lines):
+    """Lines that share a component with an earlier one, links by edit similarity."""
+    parent = list(range(len(lines)))
+    for j, b in enumerate(lines):
+        for i, a in enumerate(lines[:j]):
+            if abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+                parent = [parent[i] if p == parent[j] else p for p in parent]
+    return {i for i, p in enumerate(parent) if p in parent[:i]}
+
+
+def test_lines_at_the_threshold(spark):
+    """Every sixth word put for another: further apart than few bits of a SimHash, within the similarity."""
+    rng = random.Random(16)
+    lines = [" ".join(f"word{rng.randrange(10**5):05}" for _ in range(n)) for n in (5, 6, 7, 8, 9, 10, 11, 12, 13, 20, 30, 60, 150)]
+    edited = [" ".join(w if i % 6 != 2 else f"other{rng.randrange(10**4):04}" for i, w in enumerate(x.split())) for x in lines]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs(spark, [(i, x, None) for i, x in enumerate(lines + edited)])).collect()}
+    want = removed_by_brute_force(lines + edited)
+    assert {i for i in got if got[i]} == want and len(want) == len(lines) - 1  # of nine words, 18 of 89 letters differ
+
+
 # --- 7
 
 
