@@ -338,6 +338,24 @@ def test_lines_at_the_threshold(spark):
     assert {i for i in got if got[i]} == want and len(want) == len(lines) - 1  # of nine words, 18 of 89 letters differ
 
 
+def test_large_buckets_of_lines(spark, monkeypatch):
+    """One frequent run of words in all lines, and near copies of one line around the threshold."""
+    monkeypatch.setattr(line_dedup, "BUCKET", 4)
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(10**4):04}"
+    lines = ["the same first words " + " ".join(word() for _ in range(6)) for _ in range(30)]
+    lines += [x[:-1] + "x" for x in lines[::3]]
+    base = [word() for _ in range(12)]
+    for _ in range(40):
+        w = list(base)
+        for i in rng.sample(range(12), rng.randrange(1, 4)):
+            w[i] = word()
+        lines.append(" ".join(w))
+    rng.shuffle(lines)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs(spark, [(i, x, None) for i, x in enumerate(lines)])).collect()}
+    assert {i for i in got if got[i]} == removed_by_brute_force(lines)
+
+
 # --- 7
 
 
