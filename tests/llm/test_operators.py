@@ -356,6 +356,14 @@ def test_large_buckets_of_lines(spark, monkeypatch):
     assert {i for i in got if got[i]} == removed_by_brute_force(lines)
 
 
+def test_lines_of_any_length(spark):
+    long = " ".join(f"w{i}" for i in range(33_000))
+    han = "".join(chr(0x4E00 + i * 37) for i in range(40))
+    lines = [long, long.replace("w500 ", "other "), han, han, han[:20] + "\u4e01" + han[21:], "two words", "two words"]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs(spark, [(i, x, None) for i, x in enumerate(lines)])).collect()}
+    assert [got[i] for i in range(len(lines))] == [0, 1, 0, 1, 1, 0, 0]
+
+
 # --- 7
 
 
