@@ -10,7 +10,8 @@ keys of their lower-cased bytes.
 Queries are sent out in blocks of BLOCK_WORDS words, so what is broadcast is bounded; each block reads the index once.
 
 Defined results: null texts and texts without words have no postings and one row with zeros; items without words find
-nothing.  Repeated document rows are rows of their own; a repeated item_id counts once for a document.  Empty tables
+nothing.  Repeated document rows are rows of their own; a repeated item_id counts once for a document.
+The windows of an item without id are hit like all others, but it is in no list of items.  Empty tables
 give no rows, or rows without hits.  Other columns are ignored.
 """
 
@@ -128,7 +129,7 @@ def windows(items: DataFrame, n: int, id_col: str = "item_id", text_col: str = "
     """Blocks of the items' n-word windows: (item ids, item number of each window, window keys, window sizes)."""
     import itertools
 
-    rows = items.select(F.col(id_col).cast("string").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).where("id IS NOT NULL")
+    rows = items.select(F.col(id_col).cast("string").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
     def block(held):
         ids, item, keys, sizes = [], [], [], []
@@ -176,7 +177,8 @@ def search(index: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "i
                 run = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])
                 lists: dict[int, set] = {}
                 for d, x in zip(np.frombuffer(r["hit_docs"] or b"", np.uint32).tolist(), r["hit_items"] or [], strict=True):
-                    lists.setdefault(d, set()).add(x)
+                    if x is not None:
+                        lists.setdefault(d, set()).add(x)
                 yield pa.RecordBatch.from_arrays([pa.array(seg.docs, pa.int64(), mask=seg.null), pa.array(np.diff(seg.first)), pa.array(run[seg.first[1:]] - run[seg.first[:-1]]), pa.array([sorted(lists.get(d, ())) for d in range(len(seg.docs))], pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
 
     return found.mapInArrow(_bytes.tidy(finish), "doc_id long, n_words long, n_hit long, items array<string>")
@@ -198,7 +200,7 @@ def _search_block(sent):
                     doc = np.searchsorted(seg.first, start, side="right") - 1
                     pairs = np.unique(np.stack([doc, item[who]]), axis=1)
                     r["hit"] = hit.tobytes()
-                    r["hit_items"] = (r["hit_items"] or []) + [ids[x] for x in pairs[1]]
+                    r["hit_items"] = (r["hit_items"] or []) + [ids[x] for x in pairs[1]]  # None: an item without id
                     r["hit_docs"] = (r["hit_docs"] or b"") + pairs[0].astype(np.uint32).tobytes()
                 yield pa.RecordBatch.from_pylist([r], schema=batch.schema)
 

@@ -154,6 +154,14 @@ def test_decontamination(spark, monkeypatch):
     assert decontaminate.contaminated(d.limit(0), b).count() == 0
 
 
+def test_benchmark_item_without_id(spark):
+    item = " ".join(f"w{i}" for i in range(15))
+    d = docs(spark, [(1, "a " + item, "en"), (2, "w1 w2", "en")])
+    b = spark.createDataFrame([(None, item, 0)], "item_id long, text string, doc_id int")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.contaminated(d, b).collect()}
+    assert got == {1: (16, 15, [], True), 2: (2, 0, [], False)}
+
+
 def test_proximity(spark):
     d = docs(spark, [(1, "a x x b a b", None), (2, "a x x x b", None), (3, None, None)])
     got = decontaminate.near(decontaminate.build_index(d), ["a", "B"], 4).collect()
