@@ -2,10 +2,10 @@
 
 Documents are tokenized; one longer than the sequence is cut into whole sequences and a rest.  The histogram of piece
 lengths (as many bins as a sequence has tokens) goes to the driver, where lengths are placed longest first, each time
-into the pack that is shortest so far, if the piece still fits there; many equal packs are one pattern with a count.  A
-last pass cuts the pieces of the packs that stayed least full to fill others' gaps.  Patterns are joined back to
-pieces by each piece's rank among those of its length: ranks come from counts by (partition, length), summed up over
-partitions, so no group of equal lengths is gathered.
+into the pack that is shortest so far, if the piece still fits there; many equal packs are one pattern with a count.
+Pieces are cut at whole sequences only, so gaps stay as padding.  Patterns are joined back to pieces by each piece's
+rank among those of its length: ranks come from counts by (partition, length), summed up over partitions, so no group of
+equal lengths is gathered.
 
 Defined results: null and empty texts are the end token alone.  Repeated rows are pieces of their own.  Empty tables
 give no rows.  Other columns are kept by `pack`, ignored by `tokenize`.
@@ -32,7 +32,7 @@ SEQUENCE = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; more are forgotten all at once.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -79,13 +79,21 @@ def _learn(words, recent: dict[str, bytes], older: dict[str, bytes], path: str)
             recent[w] = array("I", encode(w, add_special_tokens=False).ids).tobytes()
 
 
+def _is_far(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+        return "<|" in text
+    except UnicodeEncodeError:
+        return bool(_FAR.search(text))
+
+
 def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of each text, as the tokenizer gives them without special tokens.
 
     A tokenizer of the known kind drops white space and never joins across it, so ids of a text are those of its words
     between spaces.  Words seen lately are looked up; when half the cache is full, the older half goes."""
     t, letters = _tokenizer(path)
-    far = [i for i, x in enumerate(texts) if letters is None or _FAR.search(x)]
+    far = [i for i, x in enumerate(texts) if letters is None or _is_far(x)]
     whole = dict(zip(far, (np.array(e.ids, "<u4") for e in t.encode_batch([texts[i] for i in far], add_special_tokens=False)), strict=True))
     known = _cache.setdefault(path, [{}, {}])
     words = [[] if i in whole else _MARKS.sub(r" \1\2", x.lower()).split(" ") for i, x in enumerate(texts)]
