@@ -123,8 +123,9 @@ def external(dir_edges: DataFrame, root: str) -> DataFrame:
 
 def external_users(dir_edges: DataFrame, root: str) -> DataFrame:
     """GR18: directories that reach, by any number of edges, a subdirectory of the root (not the root itself, Q11)."""
-    below = dir_edges.select(F.col("dst_dir").alias("start")).where(expr.under("start", F.lit(root)) & (F.col("start") != root)).distinct()
-    return closure(dir_edges, below, True, "src_dir", "dst_dir").where(~expr.under("node", F.lit(root))).select("node").distinct()
+    below = dir_edges.select(F.col("dst_dir").alias("dir")).where(expr.under("dir", F.lit(root)) & (F.col("dir") != root))
+    reached = impact(dir_edges, below, "src_dir", "dst_dir", "dir")
+    return reached.where(~expr.under("dir", F.lit(root))).select(F.col("dir").alias("node"))
 
 
 def internal(dir_edges: DataFrame, root: str) -> DataFrame:

@@ -103,3 +103,18 @@ def repository_of(paths: DataFrame, repositories: DataFrame) -> DataFrame:
     from . import paths as p
 
     return p.longest_prefix(paths, repositories)
+
+
+def blob_id(trees: DataFrame, oid: str, path: str) -> DataFrame:
+    """HS7: id of the blob at a path of a commit's tree.  trees: commit_oid, path, blob_oid."""
+    return trees.where((F.col("commit_oid") == oid) & (F.col("path") == path)).select("blob_oid")
+
+
+def blob_content(blobs: DataFrame, blob_oid: str) -> DataFrame:
+    """HS7.  blobs: oid, content."""
+    return blobs.where(F.col("oid") == blob_oid).select("content")
+
+
+def repository_list(repositories: DataFrame) -> DataFrame:
+    """HS7: id, path, head of all repositories, by path; `available` if they have a head."""
+    return repositories.select("id", "path", "head", F.col("head").isNotNull().alias("available")).orderBy("path")

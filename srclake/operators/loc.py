@@ -51,7 +51,13 @@ def lines_of_code(files: DataFrame, done: DataFrame | None = None, file: str = "
     python=False leaves comments in, for text without comment marks, and stays within built-in functions."""
     f = files if done is None else files.join(done.select(file), file, "left_anti")
     squeezed = expr.without_blank_lines(content)
-    code = code_text(F.col(content), F.col(kind)) if python else squeezed
+    # only texts with comment marks go through Python
+    marked = F.lit(False)
+    for name, (single, start, _) in COMMENTS.items():
+        has = [F.contains(F.col(content), F.lit(m)) for m in (single, start) if m]
+        marked = marked | ((F.col(kind) == name) & (has[0] | has[-1]))
+    marked = F.coalesce(marked, F.lit(False))
+    code = F.when(marked, code_text(F.when(marked, F.col(content)), F.col(kind))).otherwise(squeezed) if python else squeezed
     n = F.array(*(F.struct(F.lit(t).alias("type"), F.coalesce(expr.line_count(c), F.lit(0)).alias("metric")) for t, c in ((ORIGINAL, F.col(content)), (NONBLANK, squeezed), (CODE, code))))
     return f.select(file, F.explode(n).alias("m")).select(file, "m.type", "m.metric").where("metric > 0")
 

@@ -57,4 +57,25 @@ def with_field_values(index: DataFrame, values: DataFrame, key: str, columns: li
     return x.select(*(F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in index.columns))
 
 
-PHASES = ["mark", "cleanup", "parse", "index", "parse indexed"]  # IN7
+#: IN7: a run's phases; a plug-in's `parse` comes before the index if it doesn't need it, after it if it does.
+PHASES = ["mark", "cleanup", "parse", "index", "parse indexed"]
+
+
+def incremental_run(facts: dict[str, DataFrame], files: DataFrame, old: DataFrame, new: DataFrame, includes: DataFrame, parse, percent: int = 10) -> tuple[dict[str, DataFrame], dict]:
+    """IN3, IN5, IN7: marks changed files and their includers, drops the facts of all of them and adds what `parse` makes
+    of those that are still there; beyond `percent` of changed files everything is parsed anew.
+
+    facts: tables with file_id; files: file_id, path of all known and new files; old, new: path, hash; includes: includer,
+    included (file ids); parse: DataFrame of file_id, path -> dict of tables.  Facts and report (changed, total, full)."""
+    changed = changes(old, new, added=True)
+    ids = changed.join(files, "path").select("file_id", "status")
+    n, total = changed.where("status <> 'ADDED'").count(), old.count()
+    full = needs_full_rebuild(n, total, percent)
+    marked = files.select("file_id") if full else dependents(includes, ids.select("file_id"))
+    present = files.join(new.select("path"), "path", "left_semi").join(marked.distinct(), "file_id", "left_semi")
+    parsed = parse(present.select("file_id", "path"))
+    out = {}
+    for name, table in facts.items():
+        kept = table.limit(0) if full else cleaned(table, marked)
+        out[name] = kept.unionByName(parsed[name]) if name in parsed else kept
+    return out, {"changed": n, "total": total, "full": full}

@@ -22,8 +22,12 @@ class Navigation:
 
     # -- selectors
 
-    def _queried(self, ids: list[int]) -> DataFrame:
-        return self.nodes.where(F.col("id").isin(*ids)).select(F.col("id").alias("query_id"), F.col("entity_hash").alias("q_hash"))
+    def _chosen(self, ids: list[int] | DataFrame) -> DataFrame:
+        """Nodes by id: a list, or a table with a column id."""
+        return self.nodes.join(ids.select("id").distinct(), "id", "left_semi") if isinstance(ids, DataFrame) else self.nodes.where(F.col("id").isin(*ids))
+
+    def _queried(self, ids: list[int] | DataFrame) -> DataFrame:
+        return self._chosen(ids).select(F.col("id").alias("query_id"), F.col("entity_hash").alias("q_hash"))
 
     def _same_entity(self, ids: list[int], cond: Column | None = None, known_end: bool = True) -> DataFrame:
         """N(node, P): nodes of the same entity with a known end and P."""
@@ -192,7 +196,7 @@ class Navigation:
     def expansion(self, ids):
         """RF24: the node with its expansion as value."""
         e = self.f["macro_expansion"]
-        n = self.nodes.where(F.col("id").isin(*ids))
+        n = self._chosen(ids)
         return n.join(e, F.col("id") == F.col("ast_node_id")).select(F.col("id").alias("query_id"), *(F.col("expansion").alias(c) if c == "ast_value" else F.col(c) for c in NODE))
 
     def undefinition(self, ids):
@@ -229,7 +233,7 @@ class Navigation:
     def source_text(self, ids) -> DataFrame:
         """RF29: text of the node's range (FN3)."""
         files = self.f["file"].select(F.col("id").alias("file_id"), "content_hash").join(self.f["file_content"].select(F.col("hash").alias("content_hash"), "content"), "content_hash")
-        n = self.nodes.where(F.col("id").isin(*ids)).join(files, "file_id")
+        n = self._chosen(ids).join(files, "file_id")
         return n.select(F.col("id").alias("query_id"), expr.text_range("content", "start_line", "start_col", "end_line", "end_col").alias("text"))
 
     def documentation(self, ids) -> DataFrame:

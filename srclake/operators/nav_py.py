@@ -14,8 +14,12 @@ class PythonNavigation:
         """names: py_name; contents: file_id, content."""
         self.names, self.contents = names, contents
 
+    def _chosen(self, ids) -> DataFrame:
+        """Names by id: a list, or a table with a column id."""
+        return self.names.join(ids.select("id").distinct(), "id", "left_semi") if isinstance(ids, DataFrame) else self.names.where(F.col("id").isin(*ids))
+
     def _queried(self, ids) -> DataFrame:
-        return self.names.where(F.col("id").isin(*ids)).select(*(F.col(c).alias(f"n_{c}") for c in ("id", "ref_id", "parent", "parent_function")))
+        return self._chosen(ids).select(*(F.col(c).alias(f"n_{c}") for c in ("id", "ref_id", "parent", "parent_function")))
 
     def _rows(self, ids, on: str, cond: str = "true") -> DataFrame:
         x = self._queried(ids).join(self.names, F.expr(on)).where(cond)
@@ -84,11 +88,11 @@ class PythonNavigation:
         """PY12."""
         s = lambda c: F.col(c).cast("string")
         m = F.create_map(F.lit("Full name"), F.col("full_name"), F.lit("Builtin"), s("is_builtin"), F.lit("Function call"), s("is_call"), F.lit("Type hint"), F.coalesce("type_hint", F.lit("")))
-        return self.names.where(F.col("id").isin(*ids)).select(F.col("id").alias("query_id"), m.alias("properties"))
+        return self._chosen(ids).select(F.col("id").alias("query_id"), m.alias("properties"))
 
     def source_text(self, ids) -> DataFrame:
         """PY12."""
-        n = self.names.where(F.col("id").isin(*ids)).join(self.contents, "file_id")
+        n = self._chosen(ids).join(self.contents, "file_id")
         return n.select(F.col("id").alias("query_id"), expr.text_range("content", "line_start", "column_start", "line_end", "column_end").alias("text"))
 
     def line_text(self, file_id: int, line: int) -> DataFrame:

@@ -16,12 +16,18 @@ def with_ancestors(df: DataFrame, path: str, name: str = "dir") -> DataFrame:
 def members(files: DataFrame, dirs: DataFrame, path: str = "path", directory: str = "dir", raw_prefix: bool = False) -> DataFrame:
     """JN11: (directory, file row) for files under each directory.
 
-    An equi-join on exploded ancestors; raw_prefix keeps the string-prefix semantics by a join on the first part."""
+    An equi-join on exploded ancestors; raw_prefix keeps the string-prefix semantics, with an equality on the characters
+    that the shortest directory has (without any, a nested loop)."""
     if not raw_prefix:
         each = files.withColumn("_dir", F.explode(F.concat(expr.ancestors(path), F.array(path))))
         return each.join(dirs.select(F.col(directory).alias("_dir")).distinct(), "_dir").withColumnRenamed("_dir", directory)
-    d = dirs.select(F.col(directory).alias("_dir")).distinct()
-    return files.join(d, expr.under(F.col(path), F.col("_dir"), raw_prefix=True)).withColumnRenamed("_dir", directory)
+    # equality on the first characters, as many as the shortest directory has up to its first wildcard
+    d = dirs.select(F.col(directory).alias("_dir")).distinct().withColumn("_fixed", F.length(F.regexp_extract("_dir", "^[^%_\\\\]*", 0)))
+    n = d.agg(F.min("_fixed")).first()[0]
+    if not n:
+        return files.join(d, expr.under(F.col(path), F.col("_dir"), raw_prefix=True)).drop("_fixed").withColumnRenamed("_dir", directory)
+    x = files.withColumn("_head", F.substring(path, 1, n)).join(d.withColumn("_head", F.substring("_dir", 1, n)), "_head")
+    return x.where(expr.under(F.col(path), F.col("_dir"), raw_prefix=True)).drop("_head", "_fixed").withColumnRenamed("_dir", directory)
 
 
 def directories(files: DataFrame, path: str = "path") -> DataFrame:

@@ -141,22 +141,47 @@ def proximity_matches(places: list[list[int]], max_gap: int = MAX_GAP, min_terms
     return out
 
 
-def proximity(posts: DataFrame, terms: list[str], doc: str = "doc_id", max_gap: int = MAX_GAP, min_terms: int = MIN_TERMS, swapped: bool = True) -> DataFrame:
-    """SR7, SR8: the best chain of each document: doc, first, last, score.  Fewer than two terms find nothing.
+def proximity_all(posts: DataFrame, terms: list[str], doc: str = "doc_id", max_gap: int = MAX_GAP, min_terms: int = MIN_TERMS, swapped: bool = True) -> DataFrame:
+    """SR7, SR8: all matches of each document: doc, first, last, score.  Fewer than two terms find nothing.
 
-    Only positions of the query's terms are grouped, one document at a time."""
+    Only positions of the query's terms are gathered, one document's in a row."""
     kind = f"{doc} long, first int, last int, score double"
     if len(terms) < 2:
         return posts.sparkSession.createDataFrame([], kind)
-    hits = posts.where(F.col("term").isin(*terms))
+    hits = posts.where(F.col("term").isin(*terms)).groupBy(F.col(doc).cast("long").alias(doc)).agg(F.collect_list(F.struct("term", "position")).alias("hits"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for ident, found in zip(pdf[doc], pdf["hits"], strict=True):
+                places = {t: [] for t in terms}
+                for h in found:
+                    places[h["term"]].append(h["position"])
+                out += [(ident, *m) for m in proximity_matches([sorted(places[t]) for t in terms], max_gap, min_terms, swapped)]
+            yield pd.DataFrame(out, columns=[doc, "first", "last", "score"])
+
+    return hits.mapInPandas(run, kind)
+
+
+def proximity(posts: DataFrame, terms: list[str], doc: str = "doc_id", max_gap: int = MAX_GAP, min_terms: int = MIN_TERMS, swapped: bool = True) -> DataFrame:
+    """SR8: the best match of each document, the first of equal ones."""
+    found = proximity_all(posts, terms, doc, max_gap, min_terms, swapped)
+    best = found.groupBy(doc).agg(F.max_by(F.struct("first", "last", "score"), F.struct("score", -F.col("first"), -F.col("last"))).alias("m"))
+    return best.select(doc, "m.*")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_term = {t: sorted(g.tolist()) for t, g in pdf.groupby("term")["position"]}
-        found = proximity_matches([by_term.get(t, []) for t in terms], max_gap, min_terms, swapped)
-        best = max(found, key=lambda m: (m[2], -m[0]), default=None)
-        return pd.DataFrame([(pdf[doc].iloc[0], *best)] if best else [], columns=[doc, "first", "last", "score"])
 
-    return hits.groupBy(doc).applyInPandas(run, kind)
+def log_query(line: str) -> list[str]:
+    """SR7: the terms of a pasted log line, each once; fewer than MIN_TERMS find nothing."""
+    import re
+
+    found = dict.fromkeys(t.lower() for t in re.findall(r"[^\W_]+(?:_+[^\W_]+)*|#\w+", line))
+    return list(found) if len(found) >= MIN_TERMS else []
+
+
+def log_search(docs: DataFrame, line: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """SR7, SR9, SR20: all matches of a log line without those that contain another, as (line, ordinal) spans."""
+    terms = log_query(line)
+    return log_spans(without_overlaps(proximity_all(postings(docs, doc, text), terms, doc), doc), docs, doc, text)
 
 
 def without_overlaps(matches: DataFrame, doc: str = "doc_id", start: str = "first", end: str = "last") -> DataFrame:
@@ -190,7 +215,8 @@ def boost(path, parsed) -> Column:
 
 
 def relevance(posts: DataFrame, terms: list[str], n_docs: int, doc: str = "doc_id") -> DataFrame:
-    """SR19: TF-IDF sum (match sets agree with the reference, ranking is our own)."""
+    """SR19: TF-IDF sum (match sets agree with the reference, ranking is our own).  What is broadcast has a row for each
+    query term."""
     tf = posts.where(F.col("term").isin(*terms)).groupBy(doc, "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     return tf.join(F.broadcast(df), "term").groupBy(doc).agg(F.sum(F.sqrt("tf") * (1 + F.log(F.lit(n_docs) / (F.col("df") + 1)))).alias("score"))
@@ -243,6 +269,12 @@ def valid_regex(pattern: str) -> bool:
     return True
 
 
+def boosted(scored: DataFrame, files: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """SR13: scores times the boost of each document's file.  files: doc, path, parsed."""
+    b = files.select(doc, boost(F.col("path"), F.col("parsed")).alias("_b"))
+    return scored.join(b, doc).withColumn("score", F.col("score") * F.col("_b")).drop("_b")
+
+
 SEARCH_TYPES = ["Text search", "Definition search", "File name search", "Log search"]
 
 
@@ -255,7 +287,7 @@ def matched(*matches: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def log_spans(best: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """SR20: (line, ordinal) of the first and last term of each document's best proximity match, best score first."""
+    """SR20: (line, ordinal) of the first and last term of proximity matches, best score first."""
     t = token_lines(docs, doc, text).withColumn("_p", F.row_number().over(Window.partitionBy(doc).orderBy("line", "ordinal")) - 1)
     a = t.select(doc, F.col("_p").alias("first"), F.col("line").alias("first_line"), F.col("ordinal").alias("first_ordinal"))
     b = t.select(doc, F.col("_p").alias("last"), F.col("line").alias("last_line"), F.col("ordinal").alias("last_ordinal"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import graph, history, loc, maintenance, metrics, paths, ranges, search
+from .. import store
+from ..operators import graph, history, index, loc, maintenance, metrics, paths, ranges, search
 from . import views as v
 from .views import Views
 
@@ -156,7 +158,7 @@ def _contained(op: str, name: str):
 
 @query("jn6_calls_within", _contained("<", "jn6"))
 def _(x):
-    return ranges.within(x.nodes("the"), x.scopes()).groupBy(F.col("outer.file_id").alias("file_id"), F.col("outer.scope").cast("long").alias("scope")).agg(F.count("*").alias("n"))
+    return ranges.within(x.nodes("the"), x.scopes(), bucket_lines=64).groupBy(F.col("outer.file_id").alias("file_id"), F.col("outer.scope").cast("long").alias("scope")).agg(F.count("*").alias("n"))
 
 
 @query("jn7_enclosing", f"SELECT file_id, line, ordinal, min(scope) AS scope FROM (SELECT doc_id AS file_id, line, ordinal FROM {v.TOKEN_LINES} WHERE term = 'with') t JOIN {v.SCOPES} s USING (file_id) WHERE line BETWEEN start_line AND end_line GROUP BY 1, 2, 3")
@@ -167,22 +169,22 @@ def _(x):
 
 @query("jn8_inclusive", _contained("<=", "jn8"))
 def _(x):
-    return ranges.within_inclusive(x.nodes("the"), x.scopes(), "file_id").groupBy(F.col("outer.file_id").alias("file_id"), F.col("outer.scope").cast("long").alias("scope")).agg(F.count("*").alias("n"))
+    return ranges.within_inclusive(x.nodes("the"), x.scopes(), "file_id", bucket_lines=64).groupBy(F.col("outer.file_id").alias("file_id"), F.col("outer.scope").cast("long").alias("scope")).agg(F.count("*").alias("n"))
 
 
-@query("jn9_innermost", f"SELECT doc_id AS point_id, CASE WHEN lines >= 3 THEN 1 ELSE 0 END::BIGINT AS id FROM (SELECT doc_id, len(string_split(text, chr(10))) AS lines FROM documents) WHERE lines >= 3")
+@query("jn9_innermost", "SELECT doc_id AS point_id, ((lines - 1) // 2)::BIGINT AS id FROM (SELECT doc_id, len(string_split(text, chr(10))) AS lines FROM documents WHERE text IS NOT NULL)")
 def _(x):
     s = x.scopes().select("file_id", F.col("scope").cast("long").alias("id"), F.lit(True).alias("visible"), "start_line", "start_col", "end_line", "end_col")
     whole = x.scopes().groupBy("file_id").agg(F.max("end_line").alias("e")).select("file_id", F.lit(-1).cast("long").alias("id"), F.lit(True).alias("visible"), F.lit(1).alias("start_line"), F.lit(0).alias("start_col"), F.col("e").cast("int").alias("end_line"), F.lit(1_000_001).alias("end_col"))
-    p = x.table("documents").where(F.size(F.split("text", "\n")) >= 3).select(F.col("doc_id").alias("file_id"), F.col("doc_id").alias("point_id"), F.lit(3).alias("line"), F.lit(0).alias("col"))
+    p = x.table("documents").where("text IS NOT NULL").select(F.col("doc_id").alias("file_id"), F.col("doc_id").alias("point_id"), F.size(F.split("text", "\n")).alias("line"), F.lit(0).alias("col"))
     return ranges.innermost(p, s.unionByName(whole)).select("point_id", "id")
 
 
-@query("jn10_shortest_at", f"SELECT doc_id AS point_id, arg_min(ordinal, length(term) * 1000000 + ordinal)::BIGINT AS id FROM {v.TOKEN_LINES} WHERE line = 1 AND ordinal <= 4 GROUP BY doc_id")
+@query("jn10_shortest_at", f"SELECT doc_id * 1000000 + line AS point_id, arg_min(ordinal, length(term) * 1000000 + ordinal)::BIGINT AS id FROM {v.TOKEN_LINES} GROUP BY doc_id, line")
 def _(x):
-    t = search.token_lines(x.table("documents")).where("line = 1 AND ordinal <= 4")
+    t = search.token_lines(x.table("documents"))
     n = t.select(F.col("doc_id").alias("file_id"), F.col("ordinal").cast("long").alias("id"), F.col("term").alias("value"), F.col("line").alias("line_start"), F.lit(0).alias("column_start"), F.lit(9).alias("column_end"))
-    p = x.table("documents").select(F.col("doc_id").alias("file_id"), F.col("doc_id").alias("point_id"), F.lit(1).alias("line"), F.lit(5).alias("col"))
+    p = t.select(F.col("doc_id").alias("file_id"), (F.col("doc_id") * 1_000_000 + F.col("line")).alias("point_id"), "line", F.lit(5).alias("col")).distinct()
     return ranges.shortest_at(p, n).select("point_id", "id")
 
 
@@ -210,11 +212,12 @@ def _(x):
     return y.join(x.table("supplier"), (F.col("s_suppkey") == F.col("l_suppkey")) & (F.col("s_nationkey") == F.col("c_nationkey"))).select("c_custkey", "s_suppkey").distinct()
 
 
-@query("jn14_two_hop", "SELECT l_suppkey AS start, l_partkey AS node FROM lineitem WHERE l_suppkey <= 5")
+@query("jn14_two_hop", "SELECT a.l_suppkey AS start, b.l_partkey AS node FROM lineitem a JOIN lineitem b USING (l_orderkey)")
 def _(x):
-    li = x.table("lineitem").withColumn("action_id", F.monotonically_increasing_id())
-    t = li.select(F.col("l_suppkey").alias("file_id"), "action_id").where("file_id <= 5")
-    return x.table("lineitem").where("l_suppkey <= 5").select(F.col("l_suppkey").alias("start"), F.col("l_partkey").alias("node")) if t is None else t.join(li.select("action_id", F.col("l_partkey").alias("node")), "action_id").select(F.col("file_id").alias("start"), "node")
+    li = x.table("lineitem")
+    targets = li.select(F.col("l_suppkey").alias("file_id"), F.col("l_orderkey").alias("action_id"))
+    sources = li.select(F.col("l_partkey").alias("file_id"), F.col("l_orderkey").alias("action_id"))
+    return graph.build_sources(targets, sources, targets.select("file_id").distinct())
 
 
 @query("jn15_longest_prefix", f"SELECT path, max(root) AS root FROM (SELECT u.path, r.root, row_number() OVER (PARTITION BY u.path ORDER BY length(r.root) DESC) AS n FROM (SELECT DISTINCT path FROM {v.URLS}) u JOIN (SELECT DISTINCT regexp_extract(path, '^(/[^/]+)', 1) AS root FROM {v.URLS} UNION SELECT DISTINCT regexp_extract(path, '^(/[^/]+/[^/]+)', 1) FROM {v.URLS}) r ON r.root <> '' AND {v.under('u.path', 'r.root')}) WHERE n = 1 GROUP BY path")
@@ -350,9 +353,19 @@ def _(x):
     return graph.impact(e, _start(x).withColumnRenamed("start", "file_id"))
 
 
-@query("gr4_topo_levels")
+_UPWARD = f"(SELECT DISTINCT least(lhs, rhs) AS lhs, greatest(lhs, rhs) AS rhs FROM {v.RELATIONS} WHERE kind = '{_KIND}' AND lhs <> rhs)"
+
+
+@query("gr4_topo_levels", f"WITH RECURSIVE l(id, d) AS (SELECT lhs, 0 FROM {_UPWARD} UNION SELECT rhs, 0 FROM {_UPWARD} UNION SELECT e.rhs, d + 1 FROM l JOIN {_UPWARD} e ON e.lhs = l.id) SELECT id, CAST(max(d) AS INTEGER) AS level FROM l GROUP BY id")
+def _(x):
+    e = x.relations(_KIND).where("lhs <> rhs").select(F.least("lhs", "rhs").alias("lhs"), F.greatest("lhs", "rhs").alias("rhs"))
+    n = e.select(F.col("lhs").alias("id")).unionByName(e.select(F.col("rhs").alias("id"))).distinct()
+    return graph.topological_levels(n, e, "id", "lhs", "rhs")
+
+
+@query("gr4_topo_cycles")
 def _(x):
-    e = x.relations(_KIND).where("lhs < rhs AND rhs - lhs < 40")
+    e = x.relations(_KIND)
     n = e.select(F.col("lhs").alias("id")).unionByName(e.select(F.col("rhs").alias("id"))).distinct()
     return graph.topological_levels(n, e, "id", "lhs", "rhs")
 
@@ -372,12 +385,11 @@ def _(x):
     return paths.children(x.tree(), "/EUROPE")
 
 
-@query("gr8_neighbours", f"SELECT DISTINCT lhs AS start, rhs AS node FROM {v.RELATIONS} WHERE kind = 'view' OR kind = '{_KIND}' AND lhs <= 20 AND false OR kind = '{_KIND}' AND lhs <= 20")
+@query("gr8_neighbours", f"SELECT DISTINCT lhs AS start, rhs AS node FROM {v.RELATIONS} WHERE kind IN ('view', '{_KIND}')")
 def _(x):
     e = x.relations().select(F.col("lhs").alias("src"), F.col("rhs").alias("dst"), F.col("kind").alias("type"))
-    a = graph.neighbours(e, e.where(f"type = '{_KIND}' AND src <= 20").select(F.col("src").alias("start")), _KIND)
-    b = graph.neighbours(e, e.select(F.col("src").alias("start")), "view")
-    return a.unionByName(b).distinct()
+    starts = e.select(F.col("src").alias("start"))
+    return graph.neighbours(e, starts, _KIND).unionByName(graph.neighbours(e, starts, "view")).distinct()
 
 
 _DIR_EDGES = f"(SELECT DISTINCT a.dir AS src_dir, b.dir AS dst_dir FROM {v.EDGES} e JOIN {v.DIRS} a ON a.file = e.src JOIN {v.DIRS} b ON b.file = e.dst WHERE a.dir <> b.dir)"
@@ -392,9 +404,13 @@ def _(x):
     return _dir_edges(x)
 
 
-@query("gr14_dir_implements", f"SELECT dst_dir AS src_dir, src_dir AS dst_dir FROM {_DIR_EDGES}")
+_PROVIDES = _DIR_EDGES.replace(v.EDGES, "(SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R')")
+
+
+@query("gr14_dir_implements", f"SELECT * FROM {_PROVIDES}")
 def _(x):
-    return graph.lifted(x.file_edges().select(F.col("dst").alias("src"), F.col("src").alias("dst")), x.file_dirs())
+    provides = x.table("lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+    return graph.lifted(provides, x.file_dirs())
 
 
 @query("gr17_external_deps", f"SELECT src_dir, dst_dir FROM {_DIR_EDGES} WHERE starts_with(src_dir, '/ASIA/') AND NOT starts_with(dst_dir, '/ASIA/')")
@@ -402,9 +418,15 @@ def _(x):
     return graph.external(_dir_edges(x), "/ASIA")
 
 
-@query("gr18_external_users", f"SELECT DISTINCT src_dir AS node FROM {_DIR_EDGES} WHERE starts_with(dst_dir, '/parts/')")
+_PART_DIRS = f"(SELECT DISTINCT '/' || a.p_brand || '/' || a.p_type AS src_dir, '/' || b.p_brand || '/' || b.p_type AS dst_dir FROM {v.DEPS} d JOIN part a ON a.p_partkey = entity JOIN part b ON b.p_partkey = dependency WHERE a.p_type < b.p_type)"
+
+
+@query("gr18_external_users", f"WITH RECURSIVE e AS (SELECT * FROM {_PART_DIRS} WHERE src_dir <> dst_dir), b(node) AS (SELECT dst_dir FROM e WHERE starts_with(dst_dir, '/Brand#1/') UNION SELECT e.src_dir FROM b JOIN e ON e.dst_dir = b.node) SELECT node FROM b WHERE NOT starts_with(node, '/Brand#1/')")
 def _(x):
-    return graph.external_users(_dir_edges(x), "/parts")
+    f = x.types().select(F.col("entity").alias("file"), expr.parent("path").alias("dir"), F.split("path", "/")[2].alias("type"))
+    # upward in type, so that not every directory reaches every other
+    d = x.dependencies().join(f.select(F.col("file").alias("entity"), F.col("type").alias("a")), "entity").join(f.select(F.col("file").alias("dependency"), F.col("type").alias("b")), "dependency").where("a < b")
+    return graph.external_users(graph.lifted(d, f.select("file", "dir"), "entity", "dependency"), "/Brand#1")
 
 
 @query("gr20_internal_deps", f"WITH e AS (SELECT DISTINCT '/' || a.p_brand || '/' || a.p_type AS src_dir, '/' || b.p_brand || '/' || b.p_type AS dst_dir FROM {v.DEPS} d JOIN part a ON a.p_partkey = entity JOIN part b ON b.p_partkey = dependency) SELECT * FROM e WHERE src_dir <> dst_dir AND {v.under('src_dir', chr(39) + '/Brand#1' + chr(39))} AND {v.under('dst_dir', chr(39) + '/Brand#1' + chr(39))}")
@@ -420,6 +442,61 @@ def _(x):
     return graph.merged_edges(y.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"), "c_mktsegment").distinct(), "c_mktsegment")
 
 
+#: Files are suppliers (by key) and parts (1000000 + key): suppliers use parts, a part provides the part of half its number.
+_FILE_EDGES = "(SELECT DISTINCT l_suppkey AS src, 1000000 + l_partkey AS dst, 'USE' AS type FROM lineitem UNION ALL SELECT 1000000 + p_partkey, 1000000 + p_partkey // 2, 'PROVIDE' FROM part WHERE p_partkey >= 2)"
+_HELD = "(SELECT DISTINCT 2000000 + s_nationkey AS t, s_suppkey AS f FROM supplier)"
+
+
+def _file_edges(x) -> DataFrame:
+    use = x.table("lineitem").select(F.col("l_suppkey").alias("src"), (1_000_000 + F.col("l_partkey")).alias("dst"), F.lit("USE").alias("type")).distinct()
+    key = F.col("p_partkey")
+    return use.unionByName(x.table("part").where("p_partkey >= 2").select((1_000_000 + key).alias("src"), (1_000_000 + F.floor(key / 2)).alias("dst"), F.lit("PROVIDE").alias("type")))
+
+
+@query("gr9_use", f"SELECT dst AS start, src AS node FROM {_FILE_EDGES} WHERE type = 'USE'")
+def _(x):
+    e = _file_edges(x)
+    return graph.neighbours(e, e.select(F.col("dst").alias("start")), "USE", True)
+
+
+@query("gr10_provide", f"SELECT src AS start, dst AS node FROM {_FILE_EDGES} WHERE type = 'PROVIDE'")
+def _(x):
+    e = _file_edges(x)
+    return graph.neighbours(e, e.select(F.col("src").alias("start")), "PROVIDE")
+
+
+@query("gr11_contains", f"SELECT DISTINCT f AS start, t AS node FROM {_HELD}")
+def _(x):
+    s = x.table("supplier")
+    targets = s.select((2_000_000 + F.col("s_nationkey")).alias("file_id"), F.col("s_nationkey").alias("action_id")).distinct()
+    sources = s.select(F.col("s_suppkey").alias("file_id"), F.col("s_nationkey").alias("action_id"))
+    return graph.build_targets(targets, sources, sources.select("file_id").distinct())
+
+
+@query("gr15_component_users", f"WITH RECURSIVE h AS (SELECT 1000020 AS node UNION SELECT dst FROM {_FILE_EDGES} WHERE src = 1000020 AND type = 'PROVIDE'), u(node) AS (SELECT node FROM h UNION SELECT e.src FROM u JOIN {_FILE_EDGES} e ON e.dst = u.node AND e.type = 'USE') SELECT src, dst, type FROM {_FILE_EDGES} WHERE src = 1000020 AND type = 'PROVIDE' UNION SELECT src, dst, type FROM {_FILE_EDGES} WHERE type = 'USE' AND dst IN (SELECT node FROM u) UNION SELECT t, f, 'CONTAINS' FROM {_HELD} WHERE f IN (SELECT node FROM u)")
+def _(x):
+    s = x.table("supplier")
+    targets = s.select((2_000_000 + F.col("s_nationkey")).alias("file_id"), F.col("s_nationkey").alias("action_id")).distinct()
+    sources = s.select(F.col("s_suppkey").alias("file_id"), F.col("s_nationkey").alias("action_id"))
+    return graph.component_users(_file_edges(x), targets, sources, 1_000_020)
+
+
+def _walk(kind: str, a: str, b: str) -> str:
+    near = f"(WITH RECURSIVE n(node, d) AS (SELECT 1000020, 0 UNION SELECT e.{b}, d + 1 FROM n JOIN {_FILE_EDGES} e ON e.{a} = n.node AND e.type = '{kind}' WHERE d < 2) SELECT node FROM n)"
+    return f"SELECT src, dst, type FROM {_FILE_EDGES} WHERE type = '{kind}' AND {a} IN {near}"
+
+
+@query("gr16_include_dependency", " UNION ".join(_walk(k, a, b) for k in ("USE", "PROVIDE") for a, b in (("src", "dst"), ("dst", "src"))))
+def _(x):
+    return graph.include_dependency(_file_edges(x), 1_000_020)
+
+
+@query("gr19_interface", f"SELECT src, dst, type FROM {_FILE_EDGES} WHERE src = 1000020 OR dst = 1000020 UNION SELECT o_custkey, 1000020, 'INCLUDE' FROM orders WHERE o_orderpriority = '1-URGENT'")
+def _(x):
+    inc = x.table("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("includer"), F.lit(1_000_020).cast("long").alias("included"))
+    return graph.interface(_file_edges(x), inc, 1_000_020)
+
+
 # --- search -------------------------------------------------------------------------------------------------------
 
 
@@ -427,6 +504,13 @@ def _posts(x) -> DataFrame:
     return search.postings(x.table("documents"))
 
 
+def _index(x):
+    """A search index of the documents, built in the shared folder."""
+    d = x.table("documents")
+    docs = d.select("doc_id", F.col("text").alias("content"), F.col("doc_id").cast("string").alias("name"), F.concat(F.lit("/"), "source", F.lit("/"), "lang").alias("dir"), F.concat(F.lit("text/"), "lang").alias("mime"))
+    return index.build(docs, f"{store.folder(x.spark)}/index-{uuid.uuid4().hex}")
+
+
 @query("sr1_or", f"SELECT doc_id, count(DISTINCT term) AS terms, count(*) AS hits FROM {v.POSTINGS} WHERE term IN ('with', 'from', 'nicht') GROUP BY doc_id")
 def _(x):
     return search.any_of(_posts(x), ["with", "from", "nicht"])
@@ -437,7 +521,7 @@ def _(x):
     return search.boolean(_posts(x), ["the", "with"], ["from"])
 
 
-@query("sr3_phrase", f"WITH p AS (SELECT * FROM {v.POSTINGS} WHERE term IN ('of', 'the')) SELECT a.doc_id, a.position FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.position = a.position + 1 WHERE a.term = 'of' AND b.term = 'the'")
+@query("sr3_phrase", f"SELECT doc_id, position FROM (SELECT *, lead(term) OVER (PARTITION BY doc_id ORDER BY position) AS following FROM {v.POSTINGS}) WHERE term = 'of' AND following = 'the'")
 def _(x):
     return search.phrase(_posts(x), ["of", "the"]).select("doc_id", long("position"))
 
@@ -473,15 +557,64 @@ def _(x):
     return search.definitions(t, "Brand#7").where("kind LIKE '%A%'").select("doc_id", "kind")
 
 
-@query("sr8_proximity")
+_NEXT = f"(SELECT *, min(CASE WHEN term = 'from' THEN position END) OVER w AS f, min(CASE WHEN term = 'with' THEN position END) OVER w AS u FROM {v.POSTINGS} WHERE term IN ('with', 'from') WINDOW w AS (PARTITION BY doc_id ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))"
+#: Of two terms each place matches the other's next one, if it is near enough.
+_MATCHES = f"(SELECT doc_id, position AS first, n AS last, 3 - (n - position - step) * (n - position - step) / 441.0::DOUBLE AS score FROM (SELECT doc_id, position, CASE WHEN term = 'with' THEN f ELSE u END AS n, CASE WHEN term = 'with' THEN 1 ELSE -1 END AS step FROM {_NEXT}) WHERE n - position <= 20)"
+
+
+@query("sr8_proximity", f"SELECT doc_id, first, last, round(score, 9) AS score FROM {_MATCHES}")
+def _(x):
+    return search.proximity_all(_posts(x), ["with", "from"]).select("doc_id", long("first"), long("last"), F.round("score", 9).alias("score"))
+
+
+@query("sr8_best_of_three")
 def _(x):
     return search.proximity(_posts(x), ["with", "from", "this"])
 
 
-@query("sr20_log_spans")
+_PLACES = f"(SELECT doc_id, line, ordinal, row_number() OVER (PARTITION BY doc_id ORDER BY line, ordinal) - 1 AS p FROM {v.TOKEN_LINES})"
+
+
+@query("sr20_log_spans", f"SELECT doc_id, first, last, a.line AS first_line, a.ordinal AS first_ordinal, b.line AS last_line, b.ordinal AS last_ordinal FROM (SELECT *, lead(last) OVER (PARTITION BY doc_id ORDER BY first, last) AS e FROM {_MATCHES}) m JOIN {_PLACES} a USING (doc_id) JOIN {_PLACES} b USING (doc_id) WHERE (e IS NULL OR e > last) AND a.p = first AND b.p = last")
+def _(x):
+    return search.log_search(x.table("documents"), "with from", "doc_id").select("doc_id", *map(long, ("first", "last", "first_line", "first_ordinal", "last_line", "last_ordinal")))
+
+
+@query("sr7_log_terms", f"SELECT doc_id, count(*) AS n FROM {_MATCHES} GROUP BY doc_id")
+def _(x):
+    return search.proximity_all(_posts(x), search.log_query("with from with")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("src16_index", f"SELECT doc_id, count(DISTINCT term) AS terms, count(*) AS hits FROM {v.POSTINGS} WHERE term IN ('with', 'from', 'nicht') GROUP BY doc_id")
+def _(x):
+    return _index(x).any_of(["with", "from", "nicht"])
+
+
+@query("src16_fields", f"SELECT field, term, count(*) AS n FROM (SELECT 'dir' AS field, unnest([source, lang]) AS term FROM documents UNION ALL SELECT 'mime', 'text/' || lang FROM documents UNION ALL SELECT 'name', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id IS NOT NULL) WHERE term IS NOT NULL GROUP BY field, term")
+def _(x):
+    p = _index(x).postings.where("field IN ('dir', 'mime', 'name')")
+    return p.groupBy(F.col("field").cast("string").alias("field"), "term").agg(F.count("*").alias("n"))
+
+
+@query("sr10_indexed", f"WITH t AS (SELECT *, ordinal - row_number() OVER (PARTITION BY doc_id, line ORDER BY ordinal) AS g FROM {v.TOKEN_LINES} WHERE term IN ('of', 'the')) SELECT doc_id, line, min(ordinal) AS first, max(ordinal) AS last, count(*) AS tokens FROM t GROUP BY doc_id, line, g")
+def _(x):
+    return _index(x).line_matches(["of", "the"]).select("doc_id", *map(long, ("line", "first", "last", "tokens")))
+
+
+_TFIDF = "(SELECT doc_id, sum(sqrt(tf) * (1 + ln(n / (df + 1)))) AS score FROM (SELECT doc_id, term, count(*) AS tf, count(*) OVER (PARTITION BY term) AS df FROM {posts} WHERE term IN ('with', 'from') GROUP BY doc_id, term), (SELECT count(*)::DOUBLE AS n FROM documents) GROUP BY doc_id)".format(posts=v.POSTINGS)
+
+
+@query("sr19_relevance", f"SELECT doc_id, round(score, 6) AS score FROM {_TFIDF}")
 def _(x):
     d = x.table("documents")
-    return search.log_spans(search.proximity(search.postings(d), ["with", "from", "this"]), d)
+    return search.relevance(search.postings(d), ["with", "from"], d.count()).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("sr13_boost", f"SELECT doc_id, round(score * (1 + CASE WHEN lang = 'en' THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END), 6) AS score FROM {_TFIDF} JOIN documents USING (doc_id)")
+def _(x):
+    d = x.table("documents")
+    f = d.select("doc_id", F.when(F.col("lang") == "en", "a.cc").otherwise("a.txt").alias("path"), (F.col("doc_id") % 3 == 0).alias("parsed"))
+    return search.boosted(search.relevance(search.postings(d), ["with", "from"], d.count()), f).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("fn10_path_tokens", f"SELECT page_id, array_to_string([p FOR p IN string_split(path, '/') IF p <> ''], ' ') AS tokens FROM {v.URLS}")
@@ -557,6 +690,48 @@ def _(x):
     return history.blame_hunks(x.table("conversations"), "conv_id", "turn", "role")
 
 
+@query("hs4_reference_top", "SELECT CAST(n_regionkey AS VARCHAR) AS oid, r_name AS type FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 7")
+def _(x):
+    n = x.table("nation").select(F.col("n_nationkey").alias("name"), F.col("n_regionkey").cast("string").alias("oid"))
+    return history.reference_top(n, x.table("region").select(F.col("r_regionkey").cast("string").alias("oid"), F.col("r_name").alias("type")), 7)
+
+
+_CHANGED = f"(SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'A' WHEN b.path IS NULL THEN 'D' ELSE 'M' END AS status FROM (SELECT path, content FROM {v.FILES} WHERE n_chars < 4000) a FULL JOIN (SELECT path, CASE WHEN type = 'de' THEN content || chr(10) ELSE content END AS content FROM {v.FILES} WHERE n_chars > 300) b ON a.path = b.path WHERE a.content IS DISTINCT FROM b.content)"
+
+
+def _trees(x) -> tuple[DataFrame, DataFrame]:
+    f = x.files()
+    return f.where("n_chars < 4000").select("path", "content"), f.where("n_chars > 300").select("path", F.when(F.col("type") == "de", F.concat("content", F.lit("\n"))).otherwise(F.col("content")).alias("content"))
+
+
+@query("hs5_diff_names", f"SELECT path, status FROM {_CHANGED}")
+def _(x):
+    return history.diff_table(*_trees(x), compact=True)
+
+
+@query("hs5_diff_pathspec", f"SELECT path, status FROM {_CHANGED} WHERE path LIKE '/src1/%'")
+def _(x):
+    return history.diff_table(*_trees(x), pathspec="/src1/*", compact=True)
+
+
+@query("hs5_diff")
+def _(x):
+    return history.diff_table(*_trees(x))
+
+
+@query("hs7_blob", "SELECT p_partkey AS blob_oid FROM part WHERE p_brand = 'Brand#7' AND p_name = (SELECT min(p_name) FROM part WHERE p_brand = 'Brand#7')")
+def _(x):
+    p = x.table("part").select(F.col("p_brand").alias("commit_oid"), F.col("p_name").alias("path"), F.col("p_partkey").alias("blob_oid"))
+    first = p.where("commit_oid = 'Brand#7'").agg(F.min("path")).first()[0]
+    return history.blob_id(p, "Brand#7", first)
+
+
+@query("hs7_repositories", "SELECT s_suppkey AS id, s_name AS path, CASE WHEN s_acctbal > 0 THEN s_nationkey END AS head, s_acctbal > 0 AS available FROM supplier")
+def _(x):
+    s = x.table("supplier")
+    return history.repository_list(s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("path"), F.when(F.col("s_acctbal") > 0, F.col("s_nationkey")).alias("head")))
+
+
 @query("in1_change_detect", f"SELECT path, CASE WHEN id % 10 = 0 THEN 'DELETED' ELSE 'MODIFIED' END AS status FROM {v.FILES} WHERE id % 10 = 0 OR id % 7 = 3")
 def _(x):
     f = x.files().select("path", "hash", "id", "content")
@@ -564,10 +739,13 @@ def _(x):
     return maintenance.changes(f.select("path", "hash"), new)
 
 
-@query("in2_dependents", f"WITH RECURSIVE b(file_id) AS (SELECT DISTINCT lhs FROM {_E} WHERE lhs <= 3 UNION SELECT e.lhs FROM b JOIN {_E} e ON e.rhs = b.file_id) SELECT file_id FROM b")
+_HARD = f"(SELECT DISTINCT user_id AS file_id FROM events WHERE event_type = '{_KIND}' AND value >= 99)"
+
+
+@query("in2_dependents", f"WITH RECURSIVE b(file_id) AS (SELECT file_id FROM {_HARD} UNION SELECT e.lhs FROM b JOIN {_E} e ON e.rhs = b.file_id) SELECT file_id FROM b")
 def _(x):
     e = x.relations(_KIND).select(F.col("lhs").alias("includer"), F.col("rhs").alias("included"))
-    return maintenance.dependents(e, e.where("includer <= 3").select(F.col("includer").alias("file_id")))
+    return maintenance.dependents(e, x.table("events").where((F.col("event_type") == _KIND) & (F.col("value") >= 99)).select(F.col("user_id").alias("file_id")))
 
 
 @query("in4_cleanup", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
@@ -684,7 +862,7 @@ def _(x):
     return x.url_files().select("page_id", expr.file_class("path").alias("class"))
 
 
-@query("fn1_fnv1a")
+@query("fn1_fnv1a", "SELECT c_custkey, CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END::BIGINT AS h FROM (SELECT c_custkey, list_reduce([CAST(unicode(c) AS HUGEINT) FOR c IN string_split(c_name, '')], lambda a, b: (xor(a, b) * 1099511628211) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT) AS h FROM customer)")
 def _(x):
     return x.table("customer").select("c_custkey", expr.fnv1a("c_name").alias("h"))
 
@@ -709,9 +887,9 @@ def _(x):
     return _posts(x).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("terms"), F.max("term").alias("last"))
 
 
-@query("fn17_line_column", f"SELECT id, len(string_split(substr(content, 1, 200), chr(10)))::BIGINT AS line, (length(string_split(substr(content, 1, 200), chr(10))[-1]) + 1)::BIGINT AS col FROM {v.FILES}")
+@query("fn17_line_column", f"SELECT id, len(string_split(substr(content, 1, length(content) // 2), chr(10)))::BIGINT AS line, (length(string_split(substr(content, 1, length(content) // 2), chr(10))[-1]) + 1)::BIGINT AS col FROM {v.FILES}")
 def _(x):
-    p = expr.line_and_column("content", F.lit(200))
+    p = expr.line_and_column("content", F.floor(F.length("content") / 2))
     return x.files().select("id", p["line"].cast("long").alias("line"), p["column"].cast("long").alias("col"))
 
 

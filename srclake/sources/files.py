@@ -39,7 +39,8 @@ def walk(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 def is_plain_text(content):
     """SRC4 (approximation): no NUL and valid UTF-8."""
-    return (F.locate("00", F.hex(content)) % 2 != 1) & F.is_valid_utf8(content.cast("string"))
+    text = content.cast("string")
+    return ~F.contains(text, F.lit("\x00")) & F.is_valid_utf8(text)
 
 
 def register(walked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,11 +7,19 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df stored with checkpoint() in spark.checkpoint.dir; where that is unset (tests) a temporary folder is set."""
-    spark = df.sparkSession
+def folder(spark) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset (tests) a temporary one is set."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="srclake-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="srclake-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df stored with checkpoint() in the shared folder."""
+    folder(df.sparkSession)
     return df.checkpoint()
 
 

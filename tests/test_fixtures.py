@@ -234,3 +234,81 @@ def test_sources(spark, tmp_path):
     (r,) = files.build_actions(spark, str(tmp_path / "cc.json")).collect()
     assert (r["type"], r["sources"], r["targets"]) == ("Compile", ["a.cpp"], ["a.o"])
     assert files.inputs_and_outputs("ld a.o b.o -o app") == (["a.o", "b.o"], ["app"], "Link")
+
+
+def test_fnv1a_and_plain_text(spark):
+    from srclake.functions import expr
+    from srclake.sources import files
+
+    def fnv(x):
+        h = 0xCBF29CE484222325
+        for b in x.encode():
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+        return h - (1 << 64) if h >> 63 else h
+
+    texts = ["", "a", "/src/é.cpp", "x" * 500, None, "b"]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", expr.fnv1a("x").alias("h")).collect()
+    assert {r["i"]: r["h"] for r in got} == {i: None if x is None else fnv(x) for i, x in enumerate(texts)}
+    assert spark.createDataFrame([(None,)], "x string").select(expr.fnv1a("x").alias("h")).collect()[0]["h"] is None
+    raw = [b"plain", b"P\x05\x00", b"\x50\x0a", b"\x00", b"\xff\xfe", b"", "é".encode()]
+    plain = spark.createDataFrame([(bytearray(x),) for x in raw], "c binary").select(files.is_plain_text(F.col("c")).alias("p")).collect()
+    assert [r["p"] for r in plain] == [True, False, True, False, False, True, True]
+
+
+def test_topological_levels_with_cycles(spark):
+    import random
+
+    from srclake.operators import graph
+
+    rng = random.Random(1)
+    edges = {(a, b) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(35)) if a != b} | {(40, 41), (41, 40), (0, 40)}
+    nodes = {x for e in edges for x in e} | {99}
+    want, live, left, level = {}, set(edges), set(nodes), 0
+    while left:
+        free = {n for n in left if all(b != n for _, b in live)} or set(left)
+        want |= dict.fromkeys(free, level)
+        left, live, level = left - free, {(a, b) for a, b in live if a not in free}, level + 1
+    got = graph.topological_levels(spark.createDataFrame([(n,) for n in nodes], "id long"), spark.createDataFrame(list(edges), "src long, dst long"))
+    assert {r["id"]: r["level"] for r in got.collect()} == want
+
+
+def test_log_search(spark):
+    from srclake.operators import search
+
+    d = spark.createDataFrame([(1, "x error here\nat disk full"), (2, "error"), (3, None)], "doc_id long, text string")
+    assert search.log_query("Error: disk full, error") == ["error", "disk", "full"] and search.log_query("one, one!") == []
+    got = search.log_search(d, "error disk full").collect()
+    assert {(r["doc_id"], r["first_line"], r["first_ordinal"], r["last_line"], r["last_ordinal"]) for r in got} == {(1, 1, 1, 2, 2)}
+    assert search.log_search(d, "error").count() == 0
+
+
+def test_incremental_run(spark):
+    from srclake.operators import maintenance
+
+    files = spark.createDataFrame([(i, f"/f{i}") for i in range(40)], "file_id long, path string")
+    old = spark.createDataFrame([(f"/f{i}", "a") for i in range(30)], "path string, hash string")
+    new = spark.createDataFrame([(f"/f{i}", "b" if i == 3 else "a") for i in range(1, 31)], "path string, hash string")  # 0 deleted, 3 changed, 30 added
+    includes = spark.createDataFrame([(5, 3), (6, 5), (7, 8)], "includer long, included long")
+    facts = {"loc": spark.createDataFrame([(i, "old") for i in range(30)], "file_id long, what string"), "log": spark.createDataFrame([(3, "x"), (9, "x")], "file_id long, what string")}
+    parse = lambda f: {"loc": f.select("file_id", F.lit("new").alias("what"))}
+    out, report = maintenance.incremental_run(facts, files, old, new, includes, parse)
+    assert report == {"changed": 2, "total": 30, "full": False}
+    loc = {r["file_id"]: r["what"] for r in out["loc"].collect()}
+    assert set(loc) == set(range(1, 31)) and {i for i, w in loc.items() if w == "new"} == {3, 5, 6, 30}
+    assert [r["file_id"] for r in out["log"].collect()] == [9]
+    out, report = maintenance.incremental_run(facts, files, old, new, includes, parse, percent=5)
+    assert report["full"] and {r["what"] for r in out["loc"].collect()} == {"new"} and out["log"].count() == 0
+
+
+def test_search_index(spark, tmp_path):
+    from srclake.operators import index
+
+    d = spark.createDataFrame([(1, "int main\nreturn main", "a.cc", "/src/a.cc", True), (2, "main", "b.txt", "/doc/b.txt", False), (3, None, None, None, None)], "doc_id long, content string, name string, path string, parsed boolean")
+    ix = index.build(d, str(tmp_path / "ix"))
+    assert {(r["doc_id"], r["hits"]) for r in ix.any_of(["main"]).collect()} == {(1, 2), (2, 1)}
+    assert [r["doc_id"] for r in ix.boolean(["main"], ["int"]).collect()] == [2]
+    assert {(r["doc_id"], r["line"], r["first"]) for r in ix.line_matches(["main"]).collect()} == {(1, 1, 1), (1, 2, 1), (2, 1, 0)}
+    assert [r["doc_id"] for r in ix.any_of(["doc"], "path").collect()] == [2]
+    assert [r["doc_id"] for r in ix.ranked(["main"]).collect()] == [1, 2]
+    plan = ix.of("content", "main")._jdf.queryExecution().executedPlan().toString()
+    assert "field#" in plan and "PartitionFilters: [isnotnull(field" in plan and "PushedFilters: [In(term" in plan or "EqualTo(term,main)" in plan
