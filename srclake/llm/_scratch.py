@@ -15,20 +15,30 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="srclake-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def save(df: DataFrame, tag: str, codec: str = "zstd") -> tuple[DataFrame, str]:
-    """Write df as Parquet in the shared folder; the table read back, and its path."""
+def save(df: DataFrame, tag: str, codec: str = "zstd", by: str | None = None) -> tuple[DataFrame, str]:
+    """Write df as Parquet in the shared folder, in a folder for each value of `by`; the table read back, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    out = df.write.option("compression", codec)
+    (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def append(df: DataFrame, tag: str, path: str | None) -> str:
+    """Write df's rows to the table at path, a new one if there is none; its path."""
+    path = path or f"{shared_dir(df.sparkSession)}/llm-{tag}-{uuid.uuid4().hex}"
+    df.write.mode("append").parquet(path)
+    return path
+
+
 def saved(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return save(df, tag, codec)[0]
 
