@@ -1,14 +1,18 @@
 """License scans with DataFrame functions only: phrase places, and an exact set-similarity join of blocks and templates.
 
-A text block (a line) holds a template if at least `threshold` of the template's distinct words are among the block's.
-The join orders words by their frequency over all blocks, rarest first.  A template of n words that needs a of them
-must share one of its n - a + 1 rarest with the block (prefix filter); a block of fewer than a words can't hold it
-(length filter); and from the first shared word on, enough words must be left on both sides (positional filter).  What
-passes is counted exactly, so nothing that meets the threshold is lost.
+A text block (LINES consecutive lines, as notices are wrapped; one for each line) holds a template if at least
+`threshold` of the template's distinct words are among the block's.  The join orders the templates' words by the number
+of documents they are in, rarest first.  A template of n words that needs a of them must share one of its n - a + 1
+rarest with the block, and only those are joined (prefix filter); a block of fewer than a template words can't hold it
+(length filter); and from the shared word on, a words must be left in the block's order (positional filter).  What
+passes is verified on the sets, so nothing that meets the threshold is lost.
+
+Every text is normalised once, for its phrase places and its template words, which are stored.  The same filters on
+whole documents then choose the few texts that are read again and cut into blocks.
 
 Defined results: a null text is empty: no words, no places, null first and last word, no labels, score 0.  Words,
-places and blocks are those of the whole text, however long.  Repeated rows get a row each; rows that share a doc_id
-share the method's labels.  Empty tables give no rows.  Other columns are ignored.
+places and blocks are those of the whole text, however long.  Repeated rows get a row each; labels are those of a row's
+own text, also where rows share a doc_id or have none.  Empty tables give no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _scratch
+
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,26 +41,29 @@ TEMPLATES = [
     ("text:mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("text:mpl", "this source code form is subject to the terms of the mozilla public license"),
 ]
-#: The templates' words are sent to all executors; more than this many template rows are joined by a shuffle instead.
-BROADCAST_WORDS = 100_000
-
+#: Lines of a block.
+LINES = 3
+#: The templates' words are sent to all executors, so there may be no more.
+MOST_WORDS = 10_000
+#: Rows of 8 bytes that may be broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
-def normal(text: Column) -> Column:
-    """The text's words, lower-cased in A-Z, with one space before, between and after (one space if there are none)."""
-    spaced = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NON_WORD, " ")
-    return F.concat(F.lit(" "), F.trim(spaced), F.lit(" "))
 
-
-def word_count(norm: Column) -> Column:
-    spaces = F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit("")))
-    return F.when(norm == "  ", F.lit(0)).otherwise(spaces - 1).cast("long")
+def words_of(text: Column) -> Column:
+    """The text's words, lower-cased in A-Z."""
+    text = F.coalesce(text, F.lit(""))
+    # lower() is faster, and makes ASCII letters of these two only
+    low = F.when(text.contains("\u0130") | text.contains("\u212a"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    return F.array_remove(F.split(low, NON_WORD), "")
 
 
 def phrase_places(docs: DataFrame, phrases: dict[str, str], norm: str = "norm") -> DataFrame:
-    """Adds n_base, first_word, last_word and base (labels) from the padded word string."""
+    """Adds n_base, first_word, last_word and base (labels) from the words with one space before, between and after."""
     n = F.col(norm)
     either = "|".join(re.escape(p) for p in phrases)
-    hit = n.rlike(f" (?:{either}) ")
+    hit = F.lit(False)
+    for p in phrases:
+        hit = hit | n.contains(f" {p} ")
     count = sum((F.when(n.contains(f" {p} "), F.regexp_count(n, F.lit(rf" (?={re.escape(p)} )"))).otherwise(0) for p in phrases), F.lit(0))
     before = lambda part: (F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))).cast("long")
     first = before(F.regexp_extract(n, rf"(?s)^(.*?) (?:{either}) ", 1))
@@ -63,56 +72,54 @@ def phrase_places(docs: DataFrame, phrases: dict[str, str], norm: str = "norm")
     return docs.withColumns({"n_base": F.when(hit, count).otherwise(0).cast("long"), "first_word": F.when(hit, first), "last_word": F.when(hit, last), "base": F.when(hit, labels).otherwise(F.array().cast("array<string>"))})
 
 
-def template_index(templates: DataFrame, frequencies: DataFrame, threshold: float) -> DataFrame:
-    """Each template's words in global order: label, word, rank, position (from 1), size, need, in_prefix."""
-    from pyspark.sql import Window
-
-    words = templates.select("label", F.explode(F.array_distinct(F.split(F.trim(normal(F.col("wording"))), " "))).alias("word")).where("word <> ''")
-    ranked = words.join(frequencies, "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    w = Window.partitionBy("label").orderBy("df", "word")
-    out = ranked.withColumns({"position": F.row_number().over(w), "size": F.count("*").over(Window.partitionBy("label"))})
-    out = out.withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("size") * threshold - 1e-9).cast("int")))
+def template_index(templates: DataFrame, order: list[str], threshold: float) -> DataFrame:
+    """Each template's words in global order: label, word, position (from 1), size, need, in_prefix, wording."""
+    words = templates.select("label", F.array_intersect(F.array(*map(F.lit, order)), words_of(F.col("wording"))).alias("wording"))
+    sized = words.withColumn("size", F.size("wording")).where("size > 0")
+    sized = sized.withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("size") * threshold - 1e-9).cast("int")))
+    out = sized.select("label", "size", "need", "wording", F.posexplode("wording").alias("position", "word")).withColumn("position", F.col("position") + 1)
     return out.withColumn("in_prefix", F.col("position") <= F.col("size") - F.col("need") + 1)
 
 
-def containment_join(blocks: DataFrame, index: DataFrame, rows: int) -> DataFrame:
-    """All (key, block, label, containment) that meet the threshold.  blocks: key, block, words (distinct)."""
-    small = F.broadcast if rows <= BROADCAST_WORDS else (lambda df: df)
-    tokens = blocks.withColumn("n", F.size("words")).select("key", "block", "n", F.explode("words").alias("word"))
-    shared = tokens.join(small(index), "word").where(F.col("n") >= F.col("need"))  # length filter
-    # of one block and template: positions of shared words in the template; the first one must lie in the prefix, and
-    # from it on at least `need` words must be left
-    pairs = shared.groupBy("key", "block", "label").agg(F.min("position").alias("first"), F.max("in_prefix").alias("in_prefix"), F.count("*").alias("overlap"), F.first("size").alias("size"), F.first("need").alias("need"))
-    fits = pairs.where("in_prefix AND size - first + 1 >= need AND overlap >= need")
-    return fits.select("key", "block", "label", (F.col("overlap") / F.col("size")).alias("containment"))
+def containment_join(blocks: DataFrame, index: DataFrame, *key: str) -> DataFrame:
+    """key, label and containment of all blocks that meet the threshold.  blocks: key, words (distinct template words,
+    in global order)."""
+    heads = F.broadcast(index.where("in_prefix").drop("position", "in_prefix"))  # MOST_WORDS rows
+    tokens = blocks.select(*key, "words", F.posexplode("words").alias("at", "word"))
+    # length and positional filter: the words from this one on
+    met = tokens.join(heads, "word").where(F.size("words") - F.col("at") >= F.col("need"))
+    pairs = met.drop("at", "word").dropDuplicates([*key, "label"])
+    verified = pairs.withColumn("overlap", F.size(F.array_intersect("wording", "words"))).where("overlap >= need")
+    return verified.select(*key, "label", (F.col("overlap") / F.col("size")).alias("containment"))
 
 
-def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.8, text_col: str = "text", id_col: str = "doc_id", separator: str = "\n") -> DataFrame:
-    """Per row: id, n_words, n_base, first_word, last_word, base (labels), found (array of label and containment)."""
+def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.8, text_col: str = "text", id_col: str = "doc_id", lines: int = LINES) -> DataFrame:
+    """Per row: id, n_words, n_base, first_word, last_word, base (labels), found (labels), best (largest containment)."""
     spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
-    wording = spark.createDataFrame(templates, "label string, wording string")
     vocabulary = sorted({w for _, t in templates for w in re.sub(NON_WORD, " ", t.translate(str.maketrans(UPPER, LOWER))).split(" ") if w})
-    known = spark.createDataFrame([(w,) for w in vocabulary], "word string")
-    small = F.broadcast if len(vocabulary) <= BROADCAST_WORDS else (lambda df: df)
-
-    lines = lambda d: d.select("key", F.posexplode(F.split("text", re.escape(separator))).alias("block", "line"))
-    words = F.array_distinct(F.split(F.trim(normal(F.col("line"))), " "))
-    seen = lines(docs).select(F.explode(words).alias("word")).join(small(known), "word").groupBy("word").agg(F.count("*").alias("df"))
-    frequencies = spark.createDataFrame(seen.collect(), seen.schema)  # a row for each word of the templates at most
-    index = template_index(wording, frequencies, threshold)
-    rarest = sorted({r["word"] for r in index.where("in_prefix").select("word").collect()})
-    if rarest:
-        # prefix filter, first on whole texts and then on blocks
-        has = lambda c: normal(c).rlike(f" (?:{'|'.join(map(re.escape, rarest))}) ")
-        blocks = lines(docs.where(has(F.col("text")))).where(has(F.col("line"))).select("key", "block", words.alias("words"))
-        found = containment_join(blocks, index, sum(len(t.split()) for _, t in templates))
-    else:
-        found = docs.select("key", F.lit(0).alias("block"), F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
-    labels = found.groupBy("key").agg(F.sort_array(F.collect_set("label")).alias("found"), F.max("containment").alias("best"))
-    base = phrase_places(docs.select("key", normal(F.col("text")).alias("norm")), phrases).withColumn("n_words", word_count(F.col("norm"))).drop("norm")
-    out = base.join(labels.withColumnRenamed("key", "k"), base["key"].eqNullSafe(F.col("k")), "left")
-    return out.select(F.col("key").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base", F.coalesce("found", F.array().cast("array<string>")).alias("found"), F.coalesce("best", F.lit(0.0)).alias("best"))
+    if len(vocabulary) > MOST_WORDS:
+        raise ValueError(f"the templates have {len(vocabulary)} words, {MOST_WORDS} at most are allowed")
+    in_order = lambda words, order: F.array_intersect(F.array(*map(F.lit, order)).cast("array<string>"), words)
+    docs = documents.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    one = docs.select("row", "id", F.explode(F.array(words_of(F.col("text")))).alias("all"))
+    one = one.select("row", "id", F.size("all").cast("long").alias("n_words"), F.explode(F.array(F.struct(F.concat(F.lit(" "), F.array_join("all", " "), F.lit(" ")).alias("norm"), in_order(F.col("all"), vocabulary).alias("words")))).alias("w"))
+    base = phrase_places(one.select("row", "id", "n_words", "w.norm", "w.words"), phrases).drop("norm")
+    base = _scratch.saved(base, "places", "snappy")
+
+    seen = {r["word"]: r["df"] for r in base.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")).collect()}  # MOST_WORDS rows
+    order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
+    index = template_index(spark.createDataFrame(templates, "label string, wording string"), order, threshold)
+    whole = base.where(F.size("words") > 0).select("row", in_order(F.col("words"), order).alias("words"))
+    maybe = _scratch.saved(containment_join(whole, index, "row").select("row").distinct(), "maybe", "snappy")
+    small = F.broadcast if maybe.count() <= BROADCAST_ROWS else (lambda df: df)
+    texts = docs.select("row", "text").join(small(maybe), "row", "left_semi")
+    split = texts.select("row", F.explode(F.array(F.split("text", "\n"))).alias("all"))
+    cut = split.select("row", F.posexplode(F.transform("all", lambda _, i: F.array_join(F.slice(F.col("all"), i + 1, F.lit(lines)), " "))).alias("block", "text"))
+    blocks = cut.select("row", "block", in_order(words_of(F.col("text")), order).alias("words"))
+    found = containment_join(blocks, index, "row", "block")
+    labels = found.groupBy("row").agg(F.sort_array(F.collect_set("label")).alias("found"), F.max("containment").alias("best"))
+    out = base.join(labels, "row", "left")
+    return out.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base", F.coalesce("found", F.array().cast("array<string>")).alias("found"), F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
 def op5_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -128,27 +135,30 @@ def op5_license_scan(spark, sf_dir: str) -> DataFrame:
 _NORMAL = r"""' ' || trim(regexp_replace(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') || ' '"""
 _EITHER = "|".join(PHRASES)
 OP5_SQL = f"""
-WITH d AS (SELECT doc_id, {_NORMAL.format("text")} AS n, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, n, CASE WHEN n = '  ' THEN [] ELSE string_split(trim(n, ' '), ' ') END AS ws FROM d),
+WITH r AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT r, doc_id, {_NORMAL.format("text")} AS n, text FROM r),
+w AS (SELECT r, doc_id, n, CASE WHEN n = '  ' THEN [] ELSE string_split(trim(n, ' '), ' ') END AS ws FROM d),
 p(phrase, label) AS (VALUES {", ".join(f"('{p}', '{label}')" for p, label in PHRASES.items())}),
 places AS (
-  SELECT doc_id, label, i FROM (SELECT doc_id, ws, n FROM w WHERE regexp_matches(n, ' ({_EITHER}) ')) x,
+  SELECT r, label, i FROM (SELECT r, ws, n FROM w WHERE regexp_matches(n, ' ({_EITHER}) ')) x,
          p, unnest(range(0, len(ws))) u(i)
   WHERE list_slice(ws, i + 1, i + len(string_split(phrase, ' '))) = string_split(phrase, ' ')
 ),
-b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS base FROM places GROUP BY doc_id),
+b AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS base FROM places GROUP BY r),
 t(label, wording) AS (VALUES {", ".join(f"('{label}', '{t}')" for label, t in TEMPLATES)}),
 tw AS (SELECT label, list_distinct(string_split(wording, ' ')) AS tws FROM t),
-l AS (SELECT doc_id, list_distinct(string_split(trim({_NORMAL.format("line")}, ' '), ' ')) AS lws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE line IS NOT NULL),
+s AS (SELECT r, string_split(text, chr(10)) AS ls FROM d),
+k AS (SELECT r, array_to_string(list_slice(ls, i, i + {LINES - 1}), ' ') AS block FROM s, unnest(range(1, len(ls) + 1)) u(i)),
+l AS (SELECT r, list_distinct(string_split(trim({_NORMAL.format("block")}, ' '), ' ')) AS lws FROM k),
 m AS (
-  SELECT doc_id, label, CAST(len(list_intersect(lws, tws)) AS DOUBLE) / len(tws) AS c
+  SELECT r, label, CAST(len(list_intersect(lws, tws)) AS DOUBLE) / len(tws) AS c
   FROM l, tw WHERE len(list_intersect(lws, tws)) >= ceil(len(tws) * 0.8 - 1e-9)
 ),
-f AS (SELECT doc_id, list_distinct(list(label)) AS found, max(c) AS best FROM m GROUP BY doc_id)
+f AS (SELECT r, list_distinct(list(label)) AS found, max(c) AS best FROM m GROUP BY r)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
        CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        coalesce(array_to_string(base, ','), '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ',') AS labels,
        CASE WHEN coalesce(n_base, 0) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
-FROM w LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id)
+FROM w LEFT JOIN b USING (r) LEFT JOIN f USING (r)
 """
