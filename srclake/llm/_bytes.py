@@ -33,6 +33,17 @@ NONSPACE[32] = NONSPACE[9:14] = False
 _powers: dict[str, np.ndarray] = {}
 
 
+#: Rows of an Arrow batch: some MB of texts.
+BATCH_ROWS = 1000
+
+
+def modest(spark) -> None:
+    """Batches of few rows, unless the session has a number of its own: whole batches are held on both sides of a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def tidy(run):
     """run, which afterwards gives the memory of its batches back to the system: Python workers live on for other tasks,
     and an executor has several."""

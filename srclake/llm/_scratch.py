@@ -6,6 +6,8 @@ made and set on the context.  A table written here cuts the lineage: a lost exec
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -23,10 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def save(df: DataFrame, tag: str, codec: str = "zstd", by: str | None = None) -> tuple[DataFrame, str]:
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Tables that are saved within are deleted at the end, but for those saved with kept=True."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        drop(spark, *made)
+
+
+def save(df: DataFrame, tag: str, codec: str = "zstd", by: str | None = None, kept: bool = False) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder, in a folder for each value of `by`; the table read back, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}"
+    if not kept and _made.get() is not None:
+        _made.get().append(path)
     out = df.write.option("compression", codec)
     (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
