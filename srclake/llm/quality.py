@@ -24,6 +24,7 @@ FEATURES = 192
 FOLDS = 3
 RIDGE = 1e-3
 BINS = 2048
+FEW = 4
 WIDTH = 3.0
 SEED = 20
 N_STATS = 24
@@ -116,7 +117,7 @@ def _sum_up(batches):
         yield pa.RecordBatch.from_arrays([pa.array([fold], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["fold", "sums"])
 
 
-def fit(train: DataFrame, parts: int = 64) -> dict:
+def fit(train: DataFrame) -> dict:
     """Model from rows of stats, label (0 or 1) and fold (0 to FOLDS - 1)."""
     spark = train.sparkSession
     cols = [f(F.col("stats")[i]).alias(f"{name}{i}") for i in range(N_STATS) for name, f in (("m", F.avg), ("s", F.stddev_pop))]
@@ -138,11 +139,15 @@ def fit(train: DataFrame, parts: int = 64) -> dict:
         for f, m in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["fold", "sums"])
 
-    sums = train.select("stats", "label", "fold").coalesce(parts).mapInArrow(_bytes.tidy(equations), "fold int, sums binary")
-    sums = sums.repartition(4).mapInArrow(_sum_up, "fold int, sums binary")
+    # a tree of sums: of each partition, of about the square root of their number, of FEW
+    rows = train.select("stats", "label", "fold")
+    parts = rows.rdd.getNumPartitions()
+    sums = rows.mapInArrow(_bytes.tidy(equations), "fold int, sums binary")
+    for n in [int(parts**0.5)] * (parts > FEW**2) + [FEW]:
+        sums = sums.repartition(n).mapInArrow(_sum_up, "fold int, sums binary")
     d = FEATURES + N_STATS + 2
     by_fold: dict[int, np.ndarray] = {}
-    for r in sums.collect():  # at most 4 matrices a fold
+    for r in sums.collect():  # at most FEW matrices a fold
         by_fold[r["fold"]] = by_fold.get(r["fold"], 0) + np.frombuffer(bytes(r["sums"]), np.float64).reshape(d, d)
     whole = sum(by_fold.values())
 
@@ -204,6 +209,7 @@ def score(stats: DataFrame, model: dict) -> DataFrame:
 
 def classify(documents: DataFrame, labels: DataFrame, trains, label_col: str = "quality") -> DataFrame:
     """doc_id and score of every document, learned from labelled documents for whose doc_id `trains` holds."""
+    _bytes.modest(documents.sparkSession)
     stats = _scratch.saved(statistics(documents), "stats")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).where(F.col("label").isNotNull())
     train = stats.where(trains("doc_id")).join(known, "doc_id")
