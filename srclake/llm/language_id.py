@@ -7,9 +7,11 @@ letters; its score is that share of the scored letters times the language's post
 
 Trigram counts are summed over all training documents: a table of at most BUCKETS rows a language.
 
+Words of a script that no language uses take part only in texts that have no others: there every language is a candidate,
+and the score is that of the trigrams' posterior times FOREIGN.
+
 Defined results: a text that is null, empty or without letters is "und" with score 0, as is every text if nothing was
-learned.  Words of a script that no language uses are scored for none and take no part.  Ties go to the language first
-in order of name.  Repeated rows are rows of their own and count each in training; empty tables give no rows.  Whole
+learned.  Bytes that are no UTF-8 are read as U+FFFD, no letter.  Ties go to the language first in order of name.  Repeated rows are rows of their own and count each in training; empty tables give no rows.  Whole
 texts are read, however long; other columns are ignored.
 """
 
@@ -30,6 +32,8 @@ BUCKETS = 1 << 16
 SWITCH = 12.0
 #: A language uses a script if this share of its training letters is of it.
 SCRIPT_SHARE = 0.01
+#: Score of a text in scripts of no learned language, as a share of what it would be otherwise.
+FOREIGN = 0.1
 GROUP_BYTES = 1 << 20
 UND = "und"
 #: First code points of script ranges; letters from one entry to the next are of one script.
@@ -40,24 +44,21 @@ _SAME = {0x1E00: 0x0, 0x2000: 0x0, 0xFF00: 0x0, 0x1F00: 0x370, 0xFB1D: 0x590, 0x
 
 @functools.cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Of each code point below 0x30000 (letters beyond count as Han): script number, 0 if not a letter; lower case."""
+    """Of each code point up to the end of the last Han block: script number, 0 if not a letter; lower case."""
     starts = sorted(SCRIPT_STARTS)
     names = sorted({_SAME.get(s, s) for s in starts})
     number = {s: names.index(_SAME.get(s, s)) + 1 for s in starts}
-    n = 0x30000
+    n = 0x33480
     where = np.searchsorted(np.array(starts), np.arange(n), side="right") - 1
     script = np.array([number[s] for s in starts], np.uint8)[where]
     lower = np.arange(n, dtype=np.uint32)
     for cp in range(n):
         c = chr(cp)
-        if cp >= 0x3400 and cp not in range(0xA000, 0xAC00) and not 0xF900 <= cp < 0x20000:
-            if not (cp < 0x9FFF or 0xAC00 <= cp < 0xD7A4 or cp >= 0x20000):
-                script[cp] = 0
-            continue
         if not unicodedata.category(c).startswith(("L", "M")):
             script[cp] = 0
         elif len(low := c.lower()) == 1:
             lower[cp] = ord(low)
+    script[-1] = 0  # all code points beyond are no letters
     return script, lower
 
 
@@ -71,7 +72,7 @@ def letters(column: pa.Array):
         lead = (text & 0xC0) != 0x80
         at = np.concatenate([[0], np.cumsum(lead)])[offsets[i : j + 1] - offsets[i]]  # code points before each document
         cp = np.frombuffer(text.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
-        cp = np.minimum(cp, 0x2FFFF)
+        cp = np.minimum(cp, len(script_of) - 1)
         script, low = script_of[cp], lower_of[cp]
         n = len(cp)
         edge = np.zeros(n + 1, bool)
@@ -116,6 +117,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             at = np.flatnonzero(both)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(both[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
+    _bytes.modest(labelled.sparkSession)
     sums = labelled.select(F.col(text_col), F.col(lang_col)).mapInArrow(_bytes.tidy(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = sums.toArrow()  # at most BUCKETS + 256 a language
     langs = sorted(set(rows["lang"].to_pylist()))
@@ -190,7 +192,10 @@ def predict(documents: DataFrame, model: dict, text_col: str = "text", switch: f
             preds, scores, found = [UND] * len(batch), np.zeros(len(batch)), [[] for _ in range(len(batch))]
             for i, n, doc, length, script, bucket, word in letters(batch.column(at)) if langs else ():
                 allowed = m["scripts"][script]
-                take = allowed.any(axis=1)
+                known = allowed.any(axis=1)
+                have = np.bincount(doc[known], minlength=n) > 0
+                take = known | ~have[doc]  # texts without a word of a known script: all their words, for all languages
+                allowed = np.where(known[:, None], allowed, True)
                 per = np.add.reduceat(m["table"][bucket], np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64), axis=0) if len(length) else np.zeros((0, len(langs)), np.float32)
                 s = np.where(allowed, per, per.min(axis=1, keepdims=True) - 20 if len(per) else 0)[take]
                 doc, length = doc[take], length[take]
@@ -209,7 +214,7 @@ def predict(documents: DataFrame, model: dict, text_col: str = "text", switch: f
                 share = by[np.arange(n), win] / np.maximum(total, 1)
                 for d in np.flatnonzero(total > 0):
                     preds[i + d] = langs[win[d]]
-                scores[i : i + n] = np.where(total > 0, share * post, 0)
+                scores[i : i + n] = np.where(total > 0, share * post, 0) * np.where(have, 1.0, FOREIGN)
                 if spans and len(doc):
                     new = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])]))
                     for a, b in zip(new, [*new[1:], len(doc)], strict=True):
