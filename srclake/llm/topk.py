@@ -1,12 +1,15 @@
 """Exact top-k search by integer inner product: tiled matrix products, partial selection per tile, tree merging.
 
-Components become floor(scale * x).  Queries are taken in blocks of a fixed number of rows, so what is sent to the
-executors is bounded whatever the table's size; every block meets every row (a stated query set against all rows).
+Components become floor(scale * x).  Queries are stored once, dealt into blocks of a fixed number of components; every
+block is sent to the executors and meets every row (a stated query set against all rows), so what is sent at once is
+bounded whatever the table's size.  A block's lists are stored before the next block is read, so the plan doesn't grow
+with the queries.
 
 Defined results: vectors that are null, or hold a null, NaN or infinite component, neither ask nor answer.  Vectors of
-another dimension than the query's are not its candidates.  Rows that share the query's id count as its own.  Repeated
-candidate rows each take a rank; equal scores go to the smaller id.  An empty table gives no rows.  Columns other than
-the id and the vector are ignored.
+another dimension than the query's are not its candidates.  Rows that share the query's id count as its own.  Query rows
+that share an id are queries of their own: each has its own ranks.  Repeated candidate rows each take a rank; equal
+scores go to the smaller id.  Scores beyond 64 bits become the largest or smallest 64-bit integer.  An empty table gives
+no rows.  Columns other than the id and the vector are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _scratch
+
 #: Components of queries sent out at once: 2 M doubles are 16 MB.
 BLOCK_COMPONENTS = 2 << 20
 #: Scores held by one tile: 4 M doubles are 32 MB.
@@ -72,28 +77,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     base = ints(vectors)
     asked = ints(queries)
     dims = asked.select(F.max(F.size("v")).alias("d"), F.count("*").alias("n")).first()
-    parts = []
-    if dims["n"]:
-        per = max(1, BLOCK_COMPONENTS // max(1, dims["d"]))
-        blocks = -(-dims["n"] // per)
+    blocks = -(-dims["n"] // max(1, BLOCK_COMPONENTS // max(1, dims["d"] or 1)))
+    if blocks <= 1:
+        out = _block(spark, base, asked, k, 0)
+    else:
+        path = None
+        deal = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block")
+        stored, _ = _scratch.save(asked.select("*", deal).repartition("block"), "queries", "snappy", "block")
         for b in range(blocks):
-            block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-            parts.append(_block(spark, base, block, k))
-    empty = spark.createDataFrame([], "query_id long, id long, score long")
-    out = empty
-    for p in parts:
-        out = out.unionByName(p) if out is not empty else p
-    # tree merge: the lists of some hundred tiles, then those of all
-    for keys in (["query_id", F.pmod(F.spark_partition_id(), F.lit(64))], ["query_id"]):
+            path = _scratch.append(_merged(_block(spark, base, stored.where(F.col("block") == b), k, b), k), "lists", path)
+        out = spark.read.parquet(path)
+    return _merged(out, k, 64).select(F.col("query").getField("id").alias("query_id"), "rank", "id", "score")
+
+
+def _merged(lists: DataFrame, k: int, parts: int = 0) -> DataFrame:
+    """Tree merge: the lists of some tiles (by `parts` groups of partitions), then those of all."""
+    for keys in ([["query", F.pmod(F.spark_partition_id(), F.lit(parts))]] if parts else []) + [["query"]]:
         w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("id"))
-        out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return out.select("query_id", "rank", "id", "score")
+        lists = lists.drop("rank").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return lists
 
 
-def _block(spark, base: DataFrame, block: DataFrame, k: int) -> DataFrame:
-    got = block.toArrow()
+def _block(spark, base: DataFrame, block: DataFrame, k: int, number: int) -> DataFrame:
+    """query (its block, row and id), id, score of the best of each partition."""
+    got = block.select("id", "v").toArrow()  # BLOCK_COMPONENTS numbers
     ids = got["id"].to_numpy()
-    by_dim = {d: (ids[rows], m) for d, (rows, m) in (_matrix(got["v"].combine_chunks()) if len(ids) else {}).items()}
+    by_dim = {d: (ids[rows], m, rows) for d, (rows, m) in (_matrix(got["v"].combine_chunks()) if len(ids) else {}).items()}
     sent = spark.sparkContext.broadcast(by_dim)
 
     def run(batches):
@@ -112,7 +121,7 @@ def _block(spark, base: DataFrame, block: DataFrame, k: int) -> DataFrame:
             for d, (rows, x) in _matrix(batch.column(1)).items():
                 if d not in asked:
                     continue
-                qid, q = asked[d]
+                qid, q, _ = asked[d]
                 tile = max(1, TILE_SCORES // max(1, len(qid)))
                 for at in range(0, len(rows), tile):
                     part = slice(at, at + tile)
@@ -122,9 +131,11 @@ def _block(spark, base: DataFrame, block: DataFrame, k: int) -> DataFrame:
         for d in list(held):
             flush(d)
             r, v, s = held[d][0]
-            yield pa.RecordBatch.from_arrays([pa.array(asked[d][0][r]), pa.array(v), pa.array(s)], names=["query_id", "id", "score"])
+            qid, _, rows = asked[d]
+            query = pa.StructArray.from_arrays([pa.array(np.full(len(r), number, np.int32)), pa.array(rows[r].astype(np.int64)), pa.array(qid[r])], names=["block", "nth", "id"])
+            yield pa.RecordBatch.from_arrays([query, pa.array(v), pa.array(s)], names=["query", "id", "score"])
 
-    return base.mapInArrow(run, "query_id long, id long, score long")
+    return base.mapInArrow(run, "query struct<block: int, nth: long, id: long>, id long, score long")
 
 
 def op7_topk_search(spark, sf_dir: str) -> DataFrame:
