@@ -1,7 +1,7 @@
 """Graph operators over edge tables (GR*).
 
-Loops run on the driver, one bounded set of joins a round; each round's table is cut with checkpoint() in the shared
-folder, so a lost executor repeats one round at most.
+Loops run on the driver, one bounded set of joins a round; each round's new rows are cut with checkpoint() in the shared
+folder, once, so a lost executor repeats one round at most.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ def bfs(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, src:
     """GR1: start, node, depth of all nodes reached from each start (true depth; the start itself only if on a cycle)."""
     e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("node")).distinct()
     front = starts.select(F.col(start).alias("start"), F.col(start).alias("_s")).distinct()
-    seen, depth = None, 0
+    seen, depth = None, 0  # the union of the rounds' tables, each stored once
     while max_depth is None or depth < max_depth:
         depth += 1
         step = front.join(e, "_s").select("start", "node").distinct()
@@ -26,7 +26,7 @@ def bfs(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, src:
         step = cut(step.withColumn("depth", F.lit(depth)))
         if step.isEmpty():
             break
-        seen = step if seen is None else cut(seen.unionByName(step))
+        seen = step if seen is None else seen.unionByName(step)
         front = step.select("start", F.col("node").alias("_s"))
     if seen is None:
         return front.select("start", F.col("_s").alias("node"), F.lit(0).alias("depth")).limit(0)
@@ -70,7 +70,7 @@ def impact(includes: DataFrame, modified: DataFrame, includer: str = "includer",
         step = cut(front.withColumnRenamed("node", "_s").join(e, "_s").select("node").distinct().join(seen, "node", "left_anti"))
         if step.isEmpty():
             return seen.withColumnRenamed("node", file)
-        seen, front = cut(seen.unionByName(step)), step
+        seen, front = seen.unionByName(step), step
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, node: str = "id", src: str = "src", dst: str = "dst") -> DataFrame:
@@ -84,7 +84,7 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, node: str = "id", src
         free = cut(free.withColumn("level", F.lit(level)))
         if free.isEmpty():
             free = cut(left.withColumn("level", F.lit(level)))
-        out = free if out is None else cut(out.unionByName(free))
+        out = free if out is None else out.unionByName(free)
         left = cut(left.join(free, "id", "left_anti"))
         live = cut(live.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
         level += 1
