@@ -904,4 +904,4 @@ def _(x):
 
 
 
-from . import nav_bindings  # noqa: E402, F401  registers its queries
+from . import more_bindings, nav_bindings  # noqa: E402, F401  register their queries
