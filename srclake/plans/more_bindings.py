@@ -122,9 +122,9 @@ def _(x):
     return search.matched(search.line_matches(t, ["with"]), search.line_matches(t, ["of", "with"])).select("doc_id", *map(long, ("line", "first", "last")))
 
 
-@query("sr14_whole_value", f"SELECT id FROM {v.FILES} WHERE regexp_full_match(lower(path), '/src[0-3]/(en|de)/.*7')")
+@query("sr14_whole_value", f"SELECT id FROM {v.FILES} WHERE regexp_full_match(lower(path), '/src[0-9]+/(en|de)/.*7')")
 def _(x):
-    return x.files().where(expr.matches_whole("path", "/src[0-3]/(en|de)/.*7")).select("id")
+    return x.files().where(expr.matches_whole("path", "/src[0-9]+/(en|de)/.*7")).select("id")
 
 
 @query("in5_metric_cleanup", f"SELECT id, type, value FROM {v.METRICS} WHERE id NOT IN (SELECT p_partkey FROM part WHERE p_size > 25)")
