@@ -3,9 +3,10 @@
 Every word has a symbol: short words by their key, longer ones by their last three bytes.  The states emit symbols; a
 word given its symbol has the add-one relative frequency of its corpus count among that symbol's words, so
 p(text) = p(symbols) * product of p(word | symbol) sums to one over texts, all unknown words of a symbol counting as one.
-Baum-Welch counts of all training documents are summed across partitions in each of ITERATIONS rounds; the states'
-starting point alone comes from the first INIT_TOKENS training tokens.  The scaled forward recursion gives each text's
-exact likelihood.
+Baum-Welch counts are summed across partitions in every round.  From a seeded start at the corpus's symbol frequencies,
+START_ROUNDS rounds take another share of all chunks each, by a hash, and mix its counts into those of the rounds before
+(stepwise EM); then ITERATIONS rounds take all chunks.  So what the states learn from grows with the corpus.  The scaled forward recursion gives each
+text's exact likelihood.
 
 Corpus counts: documents are stored as chunks, each with its distinct word keys.  Keys are dealt by ranges; each range
 sums its counts over all chunks and sends them back to the chunks that asked.  A word takes one entry in a chunk,
@@ -14,7 +15,8 @@ gathered in one place.
 
 Defined results: null and empty texts are the end token alone.  Without training documents every count is 0.  A null
 doc_id counts as training.  Repeated rows are documents of their own.  Empty tables give no rows; other columns are
-ignored.  Words are compared by 64-bit keys of their lower-cased bytes.
+ignored.  Words are compared by 64-bit keys of their lower-cased bytes, be
+they UTF-8 or not.
 """
 
 from __future__ import annotations
@@ -30,8 +32,7 @@ from .language_id import remainder
 
 STATES = 8
 ITERATIONS = 2
-INIT_TOKENS = 300_000
-INIT_ROUNDS = 15
+START_ROUNDS = 8
 SHORT = 5
 SYMBOLS_SHORT = SYMBOLS_LONG = 1 << 14
 SYMBOLS = 1 + SYMBOLS_SHORT + SYMBOLS_LONG
@@ -189,37 +190,26 @@ def maximised(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, overall:
     return Hmm(s / s.sum(), m / m.sum(axis=1, keepdims=True), e / e.sum(axis=0, keepdims=True))
 
 
-def _tokens(row: dict, only_training: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and first tokens of a chunk's documents."""
-    sym = _get(row, "sym", np.uint16)[_get(row, "idx", np.uint32)]
+def _training_tokens(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and first tokens of a chunk's training documents."""
     first = _get(row, "first", np.uint32).astype(np.int64)
-    if only_training:
-        keep = _get(row, "held", np.uint8) == 0
-        length = np.diff(first)
-        sym = sym[np.repeat(keep, length)]
-        first = np.concatenate([[0], np.cumsum(length[keep])])
-    return sym, first
+    keep = _get(row, "held", np.uint8) == 0
+    length = np.diff(first)
+    sym = _get(row, "sym", np.uint16)[_get(row, "idx", np.uint32)[np.repeat(keep, length)]]
+    return sym, np.concatenate([[0], np.cumsum(length[keep])])
 
 
-def starting_point(stored: DataFrame, overall: np.ndarray) -> Hmm:
-    """States fitted to the first training tokens, from a seeded random start with slow moves."""
+def starting_point(overall: np.ndarray) -> Hmm:
+    """A seeded start with slow moves: the corpus's symbol frequencies, with noise."""
     rng = np.random.default_rng(SEED)
-    sym, first = np.zeros(0, np.uint16), np.zeros(1, np.int64)
-    lowest = stored.agg(F.min("chunk")).first()[0]
-    for row in stored.where(F.col("chunk") == F.lit(lowest)).select("first", "held", "idx", "sym").collect():
-        sym, first = _tokens(row.asDict(), True)
-    last = max(1, int(np.searchsorted(first, INIT_TOKENS)))
-    first = first[: last + 1]
-    sym = sym[: first[-1]]
     noise = rng.gamma(1.0, size=(SYMBOLS, STATES)) * overall[:, None]
-    hmm = Hmm(np.full(STATES, 1 / STATES), 0.9 * np.eye(STATES) + 0.1 / STATES, noise / noise.sum(axis=0))
-    for _ in range(INIT_ROUNDS if len(sym) else 0):
-        hmm = maximised(*hmm.expected(sym, first)[:3], overall)
-    return hmm
+    return Hmm(np.full(STATES, 1 / STATES), 0.9 * np.eye(STATES) + 0.1 / STATES, noise / noise.sum(axis=0))
 
 
-def baum_welch(stored: DataFrame, hmm: Hmm, overall: np.ndarray) -> Hmm:
-    """One round over all training documents."""
+def baum_welch(stored: DataFrame, hmm: Hmm, nth: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, moves and emissions over all training documents, or over those of the nth share of chunks."""
+    if nth is not None:
+        stored = stored.where(F.pmod(F.xxhash64("chunk"), F.lit(START_ROUNDS)) == nth)
     spark = stored.sparkSession
     sent = spark.sparkContext.broadcast(hmm)
     s = STATES
@@ -228,7 +218,7 @@ def baum_welch(stored: DataFrame, hmm: Hmm, overall: np.ndarray) -> Hmm:
         small, emits = np.zeros(s + s * s), np.zeros((SYMBOLS, s))
         for batch in batches:
             for row in batch.to_pylist():
-                sym, first = _tokens(row, True)
+                sym, first = _training_tokens(row)
                 if len(sym):
                     a, b, e, _ = sent.value.expected(sym, first)
                     small += np.concatenate([a, b.ravel()])
@@ -251,19 +241,27 @@ def baum_welch(stored: DataFrame, hmm: Hmm, overall: np.ndarray) -> Hmm:
     for r in parts:
         small += np.frombuffer(bytes(r["small"]), np.float64)
         emits[np.frombuffer(bytes(r["at"]), np.uint16)] += np.frombuffer(bytes(r["emits"]), np.float64).reshape(-1, s)
-    return maximised(small[:s], small[s:].reshape(s, s), emits, overall)
+    return small[:s], small[s:].reshape(s, s), emits
 
 
-def score(documents: DataFrame, held: Column, iterations: int = ITERATIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(documents: DataFrame, held_out: Column, iterations: int = ITERATIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = documents.sparkSession
     ranges = max(1, min(1 << 14, _scratch.input_bytes(documents) // RANGE_BYTES))
-    stored = _scratch.saved(chunks(documents, held, id_col, text_col), "chunks")
+    stored = _scratch.saved(chunks(documents, held_out, id_col, text_col), "chunks")
     counts, tokens, words = corpus_counts(stored, ranges)
     overall = (tokens + 1.0) / (tokens.sum() + SYMBOLS)
-    hmm = starting_point(stored, overall)
+    hmm = starting_point(overall)
+    held = None
+    for k in range(START_ROUNDS):
+        new = [START_ROUNDS * x for x in baum_welch(stored, hmm, k)]
+        if not new[0].any():
+            continue  # a share without training documents
+        step = (k + 2) ** -0.7
+        held = new if held is None else [(1 - step) * a + step * b for a, b in zip(held, new, strict=True)]
+        hmm = maximised(*held, overall)
     for _ in range(iterations):
-        hmm = baum_welch(stored, hmm, overall)
+        hmm = maximised(*baum_welch(stored, hmm), overall)
     within = np.log10(tokens + words + 1.0)  # of a symbol
     every = np.log10(float(tokens.sum() + words.sum() + 1))
     n_train = int(tokens.sum())
