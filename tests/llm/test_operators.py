@@ -89,9 +89,12 @@ def test_language_id(spark):
     test = docs(spark, [(1, EN, None), (2, DE, None), (3, RU, None), (4, f"{EN} {EN} {DE}", None), (5, None, None), (6, "", None), (7, "12 34 !!", None), (8, "你好", None), (None, EN, "x"), (1, EN, None), (9, EN * 3000, None)])
     out = language_id.predict(test, model, spans=True).collect()
     by = {r["doc_id"]: r for r in out}
-    assert [by[i]["lang_pred"] for i in (1, 2, 3, 4, 5, 6, 7, 8, 9)] == ["en", "de", "ru", "en", "und", "und", "und", "und", "en"]
+    assert [by[i]["lang_pred"] for i in (1, 2, 3, 4, 5, 6, 7, 8, 9)] == ["en", "de", "ru", "en", "und", "und", "und", by[8]["lang_pred"], "en"]
+    assert by[8]["lang_pred"] in model["langs"] and by[8]["score"] <= language_id.FOREIGN
     assert [(s["lang"]) for s in by[4]["spans"]] == ["en", "de"] and by[4]["spans"][1]["n_words"] == len(DE.split())
     assert len(out) == 11 and all(0 <= r["score"] <= 1 for r in out) and by[5]["score"] == 0
+    tie = language_id.train(docs(spark, [(1, "abc abc", "x"), (2, "abc abc", "w")]))
+    assert [r["lang_pred"] for r in language_id.predict(docs(spark, [(1, "abc", None), (2, "\U00031000", None), (3, "\u4dc0 \U000f0000", None)]), tie).collect()] == ["w", "w", "und"]
     empty = language_id.train(d.limit(0))
     assert [r["lang_pred"] for r in language_id.predict(test.limit(2), empty).collect()] == ["und", "und"]
     assert language_id.predict(test.limit(0), model).count() == 0
@@ -223,6 +226,40 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(brute_components(texts, 4)[1]))
 
 
+def test_near_duplicates_of_one_template(spark, monkeypatch):
+    """Documents that share most of a template, below the threshold (0.76) but for planted pairs just above it (0.801)."""
+    monkeypatch.setattr(near_dedup, "REGION", 12)
+    rng = random.Random(12)
+    template = [f"t{i}" for i in range(260)]
+    own = lambda: [f"o{rng.randrange(10**7)}" for _ in range(42)]
+    texts = []
+    for k in range(60):
+        a = own()
+        b = a[:12] + own()[:30] if k % 2 else own()
+        texts += [" ".join(a + template), " ".join(b + template)]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
+    links = [(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 100 * len(a & b) >= 80 * len(a | b)]
+    assert links == [(2 * k, 2 * k + 1) for k in range(1, 60, 2)]
+    comp = [dict((j, i) for i, j in links).get(i, i) for i in range(len(texts))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, [(i, t, None) for i, t in enumerate(texts)]), 4).collect()}
+    assert [got[i] for i in range(len(texts))] == comp
+
+
+def test_prefix_join_is_exact(spark):
+    rng = random.Random(5)
+    texts = near_copies(seed=8, groups=4, each=12)
+    for i in range(20):
+        w = texts[20].split()
+        for k in rng.sample(range(len(w)), rng.randrange(1, 5)):
+            w[k] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if t and t.split()], "id long, text string").cache()
+    pairs = near_dedup.prefix_join(d.select("id", F.col("id").alias("component")), d, 4, 80)
+    got = {(r["a"], r["b"]) for r in near_dedup.confirmed(pairs, d, 4, 80).collect()}
+    sets = {r["id"]: {tuple(w[i : i + 4]) for i in range(max(len(w) - 3, 1))} for r in d.collect() for w in [words_space(r["text"])]}
+    assert got == {(i, j) for i, a in sets.items() for j, b in sets.items() if i < j and 100 * len(a & b) >= 80 * len(a | b)} and len(got) > 100
+
+
 def test_near_duplicates_edges(spark):
     d = docs(spark, [(5, EN, None), (5, DE, None), (5, EN, None), (2, EN, None), (None, EN, None), (None, None, None)])
     got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(d).collect())
@@ -252,6 +289,18 @@ def test_quality(spark):
     assert quality.classify(d.limit(0), labels, lambda c: F.lit(True)).count() == 0
 
 
+def test_normal_equations(spark):
+    """The solution equals that of ridge regression on all rows at once, over many partitions."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, quality.N_STATS))
+    y = (x[:, 0] + x[:, 1] > 0).astype(float)
+    train = spark.createDataFrame([(r.tolist(), float(v), i % quality.FOLDS) for i, (r, v) in enumerate(zip(x, y, strict=True))], "stats array<double>, label double, fold int").repartition(20)
+    model = quality.fit(train)
+    phi = quality.Kernel(x.mean(axis=0), x.std(axis=0))(x)
+    a = phi.T @ phi + quality.RIDGE * len(x) * np.eye(phi.shape[1]) / phi.shape[1]
+    assert np.allclose(model["weights"], np.linalg.solve(a, phi.T @ y), atol=1e-6)
+
+
 # --- 5
 
 
@@ -265,15 +314,24 @@ def test_license_scan(spark):
     assert license_scan.scan(d).count() == 11 and license_scan.scan(d.limit(0)).count() == 0
 
 
-def test_containment_join_is_exact(spark):
+@pytest.mark.parametrize("lines", [1, 3])
+def test_containment_join_is_exact(spark, lines):
     rng = random.Random(8)
     vocab = [f"v{i}" for i in range(14)]
     templates = [(f"t{i}", " ".join(rng.sample(vocab, rng.randrange(2, 9)))) for i in range(6)]
     texts = ["\n".join(" ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 14))) for _ in range(4)) for _ in range(40)]
-    got = {r["doc_id"]: set(r["found"]) for r in license_scan.scan(docs(spark, [(i, x, None) for i, x in enumerate(texts)]), templates, threshold=0.75).collect()}
+    got = {r["doc_id"]: set(r["found"]) for r in license_scan.scan(docs(spark, [(i, x, None) for i, x in enumerate(texts)]), templates, threshold=0.75, lines=lines).collect()}
     for i, x in enumerate(texts):
-        want = {lab for lab, tm in templates if any(len(set(line.split()) & set(tm.split())) >= math.ceil(0.75 * len(set(tm.split()))) for line in x.split("\n"))}
-        assert got[i] == want
+        blocks = [set(" ".join(x.split("\n")[k : k + lines]).split()) for k in range(4)]
+        assert got[i] == {lab for lab, tm in templates if any(len(b & set(tm.split())) >= math.ceil(0.75 * len(set(tm.split()))) for b in blocks)}
+
+
+def test_license_notices_wrapped_and_shared_ids(spark):
+    wrapped = "Permission is hereby granted, free of charge,\nto any person obtaining a copy\nof this software"
+    far = wrapped.replace("\n", "\n\n\n")
+    d = docs(spark, [(1, wrapped, None), (1, "hello world", None), (None, "MIT\nLicense", None), (None, "plain", None), (2, far, None), (3, "wor\u212a mit license \u0130", None)])
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_base"], ",".join(r["found"])) for r in license_scan.scan(d).collect())
+    assert got == [(0, 1, 0, ""), (0, 2, 1, ""), (1, 2, 0, ""), (1, 16, 0, "text:mit"), (2, 16, 0, ""), (3, 4, 1, "")]
 
 
 # --- 6
@@ -288,11 +346,10 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def test_very_long_line(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "MOST_WORDS", 20)
+def test_very_long_line(spark):
     x = " ".join(f"words{i}" for i in range(30))
-    d = docs(spark, [(1, x, None), (2, x.upper(), None), (3, x.replace("words7", "other"), None)])
-    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(d).collect()} == {1: 0, 2: 1, 3: 0}
+    d = docs(spark, [(1, x, None), (2, x.upper(), None), (3, x.replace("words7 ", "other "), None)])
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(d).collect()} == {1: 0, 2: 1, 3: 1}
 
 
 def test_simhash_and_confirmation(spark):
@@ -302,13 +359,12 @@ def test_simhash_and_confirmation(spark):
     d = docs(spark, [(i, x, None) for i, x in enumerate(lines + edited)])
     rows = d.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     table = {r["doc_id"]: r for r in line_dedup.line_table(rows).collect()}
-    one = spark.createDataFrame([(w,) for w in lines[0].split()], "w string").select(F.xxhash64("w").alias("h")).collect()
-    want = sum(1 << j for j in range(64) if sum((r["h"] >> j) & 1 for r in one) > len(one) // 2)
-    assert table[0]["bits"] % (1 << 64) == want
-    near = [i for i in range(15) if bin((table[i]["bits"] ^ table[15 + i]["bits"]) % (1 << 64)).count("1") <= line_dedup.DISTANCE]
-    assert len(near) >= 8
+    for i in (0, 20):
+        words = spark.createDataFrame([(w,) for w in (lines + edited)[i].split()], "w string").select(F.xxhash64("w").alias("h")).distinct().collect()
+        sample = sorted(r["h"] for r in words)[: line_dedup.SAMPLE]
+        assert table[i]["sim"] == sum(1 << j for j in range(60) if sum((h >> j) & 1 for h in sample) > len(sample) // 2)
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(d).collect()}
-    assert {i for i in range(15) if got[15 + i]} == set(near) and not any(got[i] for i in range(15))
+    assert all(got[15 + i] for i in range(15)) and not any(got[i] for i in range(15))
     x = [("a b c d", "a b c e"), ("aa b c d", "a b c d"), ("kitten on a mat", "sitting on the mat"), ("a b", "a b c"), ("x", "y"), ("same tail here", "other tail here")]
     pairs = spark.createDataFrame([(i, 100 + i, a, b) for i, (a, b) in enumerate(x)], "a long, b long, x string, y string")
     for least in (0.5, 0.7, 0.9):
@@ -375,7 +431,7 @@ def test_lines_of_any_length(spark):
 # --- 7
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 100]) for i in range(300)] + [(300, None), (301, [float("nan")] * 6), (302, [None] * 6), (303, [float("inf")] + [0.0] * 5), (50, [0.01] * 6), (304, [1.0]), (None, [0.0] * 6)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
@@ -391,6 +447,11 @@ def test_top_k(spark):
                 want.append([(k + 1, j, -s) for k, (s, j) in enumerate(hits)])
         assert len(want) > 1 or sorted(got[q]) == want[0]
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+    twice = spark.createDataFrame([(0, [1.0]), (0, [-1.0]), (1, [2.0]), (2, [3.0])], "vec_id long, embedding array<double>")
+    for block in (1, 1 << 20):
+        monkeypatch.setattr(topk, "BLOCK_COMPONENTS", block)
+        both = sorted((r["rank"], r["id"], r["score"]) for r in topk.top_k(twice, twice.where("vec_id = 0")).collect())
+        assert both == [(1, 1, -2 * 65536), (1, 2, 3 * 65536), (2, 1, 2 * 65536), (2, 2, -3 * 65536)]
     big = spark.createDataFrame([(0, [1e14, 1.0]), (1, [1e14, 2.0])], "vec_id long, embedding array<double>")
     assert topk.top_k(big, big.where("vec_id = 0")).first()["score"] == (1 << 63) - 1
     few = v.where("vec_id < 3")
@@ -520,5 +581,6 @@ def test_language_model(spark, monkeypatch):
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) and r["score"] < 0
         assert r["held_out"] == (r["doc_id"] is not None and r["doc_id"] % 3 == 1)
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+    assert len({(r["n_tokens"], r["score"]) for r in got if r["doc_id"] in (None, len(texts) - 3, len(texts) - 2)}) == 1  # repeated rows
     assert hmm_lm.score(d.limit(0), held).count() == 0
     assert {r["train_tokens"] for r in hmm_lm.score(d.limit(4), F.lit(True)).collect()} == {0}
