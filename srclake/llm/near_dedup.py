@@ -12,6 +12,11 @@ Candidates whose signatures allow the threshold (4.5 deviations) are confirmed o
 with its best candidate, then all that still lie in different components.  A link dropped as redundant joins classes that
 confirmed links join already; no component is lost to it.
 
+What these candidates may have missed is made up for exactly: of regions at the first depth that still hold several
+components, small ones compare all pairs of different components, and the members of large ones go through a prefix-filter
+join on their shingles, rarest first: two sets at the threshold share one of the first 20 % of the larger one's and the
+first 11 % of the smaller one's, with enough shingles left after it.  So only a pair without a common region is missed.
+
 Defined results: null texts and texts without words have an empty set and are linked with nothing.  Texts of fewer
 words than a shingle have one shingle of all their words.  Rows that share doc_id are told apart by their text; repeated
 rows fall in one class.  A null doc_id never is a component's id unless all its documents' are null.  Empty tables give
@@ -33,9 +38,9 @@ SHINGLE = 5
 THRESHOLD = 80  # per cent
 MINHASHES = 128
 TREES = 24
-DEPTHS = (5, 9, 14, 20, 28)
+DEPTHS = (5, 9, 14)
 REGION = 64
-NEIGHBOURS = 10
+NEIGHBOURS = 4
 SEED = 11
 
 _A = np.random.default_rng(SEED).integers(0, 1 << 63, MINHASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,6 +92,11 @@ def _sigs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, MINHASHES)
 
 
+def _leading(v: np.ndarray) -> np.ndarray:
+    """8 bits that keep the order of 32-bit values, of small ones too."""
+    return np.clip((v.astype(np.float32).view(np.uint32) >> np.uint32(20)).astype(np.int64) - (127 << 3), 0, 255).astype(np.uint64)
+
+
 def _regions(classes: DataFrame, level: int, of_tree: bool) -> DataFrame:
     """region, tree, id, label (the values after the region's, for the order) of each class in each tree, or in its
     column `tree`."""
@@ -106,17 +116,18 @@ def _regions(classes: DataFrame, level: int, of_tree: bool) -> DataFrame:
                 for k in range(depth):
                     key = _bytes.mix(key ^ v[:, k].astype(np.uint64))
                 label = np.zeros(len(who), np.uint64)
-                for k in range(depth, depth + 8):  # 8 bits of each of the next values
-                    label = (label << np.uint64(8)) | (v[:, k].astype(np.uint64) >> np.uint64(24))
+                for k in range(depth, depth + 8):  # exponent and 3 more bits of each of the next values
+                    label = (label << np.uint64(8)) | _leading(v[:, k])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(who), t, np.int32)), pa.array(ids[who]), pa.array(label.view(np.int64))], names=["region", "tree", "id", "label"])
 
     cols = ["id", "sig", *(["tree"] if of_tree else [])]
     return classes.select(*cols).mapInArrow(_bytes.tidy(run), "region long, tree int, id long, label long")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a < b) of class ids that are neighbours in a tree.  classes: id, sig."""
-    found, rows = [], _regions(classes, 0, False)
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a < b) of class ids that are neighbours in a tree, and the members (region, id, n) of the first depth's
+    regions of more than NEIGHBOURS.  classes: id, sig."""
+    found, rows, wide = [], _regions(classes, 0, False), None
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     for level in range(len(DEPTHS)):
         size = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("n > 1")
@@ -126,7 +137,9 @@ def candidates(classes: DataFrame) -> DataFrame:
         many = more.count()
         if not many:
             break
-        members = _scratch.saved(rows.join(_small(more, many), "region"), "members", "snappy")
+        members = _scratch.saved(rows.join(_small(more, 32 * many), "region"), "members", "snappy")
+        if not level:
+            wide = members.where(F.col("n") > NEIGHBOURS).select("region", "id", "n")
         # small regions: neighbours in sorted order
         listed = members.where(F.col("n") <= REGION).groupBy("region").agg(F.sort_array(F.collect_list(F.struct("label", "id"))).alias("m"))
         near = listed.select(F.explode(F.transform("m", lambda x, i: F.struct(x["id"].alias("x"), F.transform(F.slice("m", i + 2, NEIGHBOURS), lambda y: y["id"]).alias("ys")))).alias("p"))
@@ -137,7 +150,7 @@ def candidates(classes: DataFrame) -> DataFrame:
         found.append(large.select("id", F.col("low").alias("hub")).where("id <> hub").select(*pair(F.col("id"), F.col("hub"))))
         if not level:
             middle = large.groupBy("region").agg(F.min(F.struct(F.xxhash64("id", "region").alias("h"), "id")).alias("m")).select("region", F.col("m.id").alias("mid"))
-            found.append(large.join(_small(middle, many), "region").select("id", F.col("mid").alias("hub")).where("id <> hub").select(*pair(F.col("id"), F.col("hub"))))
+            found.append(large.join(_small(middle, 24 * many), "region").select("id", F.col("mid").alias("hub")).where("id <> hub").select(*pair(F.col("id"), F.col("hub"))))
         if level + 1 == len(DEPTHS):
             break
         deeper = large.select("id", "tree").join(classes, "id")
@@ -145,7 +158,56 @@ def candidates(classes: DataFrame) -> DataFrame:
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.where("a < b").distinct()
+    return out.where("a < b").distinct(), wide
+
+
+def still_open(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members with their component, of regions that hold several components.  members: region, id, n."""
+    named = members.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = named.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("region")
+    return named.join(split, "region")
+
+
+def all_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a < b) of different components in regions of at most REGION classes."""
+    listed = members.groupBy("region").agg(F.collect_list(F.struct("id", "component")).alias("m"))
+    x = listed.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
+    return x.where("x.component <> y.component").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def prefix_join(members: DataFrame, texts: DataFrame, n: int, threshold: int) -> DataFrame:
+    """Pairs (a < b) of different components that prefix, size and position of their shingles allow.
+
+    members: id, component (once each); texts: id, text.  A shingle's place in the order follows from the number of
+    members that have it."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for i, j, buf, st, en, first in _bytes.documents(batch.column(1), _bytes.NONSPACE):
+                sh, of = _bytes.ngram_hashes(_bytes.word_hashes(buf, st, en), first, n)
+                for d in range(j - i):
+                    own = np.unique(sh[of[d] : of[d + 1]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), ids[i + d])), pa.array(own.view(np.int64))], names=["id", "sh"])
+
+    each = _scratch.saved(texts.join(members.select("id"), "id", "left_semi").select("id", "text").mapInArrow(_bytes.tidy(run), "id long, sh long"), "shingles", "snappy")
+    often = each.groupBy("sh").agg(F.count("*").alias("df"))
+    sets = each.join(often, "sh").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("s"))  # of one document
+    t = threshold / 100
+    size = F.size("s")
+    prefix = lambda share: size - F.ceil(size * share - 1e-9).cast("int") + 1
+    # shingles of one member alone come first in the order and meet nothing
+    alone = F.size(F.filter("s", lambda x: x["df"] == 1))
+    heads = sets.join(members, "id").select("id", "component", size.alias("n"), prefix(2 * t / (1 + t)).alias("short"), alone.alias("alone"), F.transform(F.slice("s", alone + 1, F.greatest(prefix(t) - alone, F.lit(0))), lambda x: x["sh"]).alias("p"))
+    heads = _scratch.saved(heads, "prefixes", "snappy")
+    each = lambda p, name: heads.select(F.posexplode(p).alias("at", "sh"), *(F.col(c).alias(f"{name}_{c}") for c in ("id", "component", "n", "alone")), p.alias(f"{name}_p")).withColumn(f"{name}_at", F.col("at") + F.col(f"{name}_alone")).drop("at")
+    x, y = each(F.col("p"), "x"), each(F.slice("p", F.lit(1), F.greatest(F.col("short") - F.col("alone"), F.lit(0))), "y")
+    need = F.ceil((F.col("x_n") + F.col("y_n")) * (t / (1 + t)) - 1e-9)
+    left = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    smaller = (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y_id") < F.col("x_id")))
+    first = F.element_at(F.array_intersect("x_p", "y_p"), 1) == F.col("sh")  # each pair once
+    met = x.join(y, "sh").where((F.col("x_component") != F.col("y_component")) & smaller & (100 * F.col("y_n") >= threshold * F.col("x_n")) & (left >= need) & first)
+    return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -189,39 +251,74 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> Dat
     return x.select("a", "b", "ta", "tb").mapInArrow(_bytes.tidy(run), "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and row (key of doc_id and text) of every row."""
-    rows = _scratch.saved(signatures(documents, shingle, id_col, text_col), "sigs", "snappy")
+def grouped(rows: DataFrame, documents: DataFrame, shingle: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
+    """key, component_id and group of each class, stored.  rows: signatures of the documents."""
     classes = rows.where("n_shingles > 0").groupBy(F.col("key").alias("id")).agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first(F.struct("row", "sig")).alias("one"))
     classes = _scratch.saved(classes.select("id", "doc", "n_shingles", "one.row", "one.sig"), "classes", "snappy")
-    pairs = _scratch.saved(estimated(candidates(classes.select("id", "sig")), classes, threshold), "pairs", "snappy")
+    pairs, wide = candidates(classes.select("id", "sig"))
+    pairs = _scratch.saved(estimated(pairs, classes, threshold), "pairs", "snappy")
 
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = _scratch.saved(classes.select("id", "row").join(ends, "id"), "wanted", "snappy")
     keyed = documents.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    texts = _scratch.saved(keyed.join(_small(wanted, wanted.count()), "row").select("id", "text").dropDuplicates(["id"]), "texts")
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = _scratch.saved(classes.select("id", "row").join(ids, "id", "left_semi"), "wanted", "snappy")
+        return _scratch.saved(keyed.join(_small(wanted, 16 * wanted.count()), "row").select("id", "text").dropDuplicates(["id"]), "texts")
+
+    both = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
+    texts = texts_of(both(pairs))
     best = pairs.groupBy("b").agg(F.max(F.struct("est", F.col("a"))).alias("m")).select(F.col("m.a").alias("a"), "b")
     links = _scratch.saved(confirmed(best, texts, shingle, threshold), "links", "snappy")
     groups = components(links)
-    rest = pairs.select("a", "b")
-    for end in ("a", "b"):
-        rest = rest.join(groups.select(F.col("id").alias(end), F.col("component").alias(f"{end}c")), end, "left").withColumn(f"{end}c", F.coalesce(f"{end}c", end))
-    rest = _scratch.saved(rest.where("ac <> bc").select("a", "b").join(best, ["a", "b"], "left_anti"), "rest", "snappy")
-    if not rest.isEmpty():
-        links = links.unionByName(_scratch.saved(confirmed(rest, texts, shingle, threshold), "links", "snappy"))
-        groups = components(links)
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            pairs = pairs.join(groups.select(F.col("id").alias(end), F.col("component").alias(f"{end}c")), end, "left").withColumn(f"{end}c", F.coalesce(f"{end}c", end))
+        return pairs.where("ac <> bc").select("a", "b")
+
+    def add(more: DataFrame, texts: DataFrame | None) -> None:
+        nonlocal links, groups
+        if not more.isEmpty():
+            texts = texts_of(both(more)) if texts is None else texts
+            links = links.unionByName(_scratch.saved(confirmed(more, texts, shingle, threshold), "links", "snappy"))
+            groups = components(links)
+
+    known = pairs.select("a", "b")
+    rest = apart(known).join(best, ["a", "b"], "left_anti")
+    if wide is None:
+        add(_scratch.saved(rest, "rest", "snappy"), texts)
+    else:
+        left = _scratch.saved(still_open(wide, groups), "open", "snappy")
+        small = estimated(all_pairs(left.where(F.col("n") <= REGION)), classes, threshold).select("a", "b")
+        add(_scratch.saved(rest.unionByName(small.join(known, ["a", "b"], "left_anti")), "rest", "snappy"), None)
+        dense = still_open(left.where(F.col("n") > REGION).select("region", "id", "n"), groups).select("id", "component").distinct()
+        dense = _scratch.saved(dense, "dense", "snappy")
+        if not dense.isEmpty():
+            texts = texts_of(dense.select("id"))
+            add(_scratch.saved(prefix_join(dense, texts, shingle, threshold).join(known, ["a", "b"], "left_anti"), "rest", "snappy"), texts)
 
     named = classes.select("id", "doc").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    by_class = named.join(smallest, "component").select(F.col("id").alias("key"), "component_id")
-    out = rows.select("row", "doc_id", "n_shingles", "key").join(by_class, "key", "left")
+    by_class = named.join(smallest, "component").select(F.col("id").alias("key"), "component_id", F.col("component").alias("group"))
+    return _scratch.save(by_class, "by-class", "snappy", kept=True)[0]
+
+
+def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, row (key of doc_id and text) and group of every row.
+
+    Components may share a component_id, as rows may share a doc_id or have none; group tells them apart (null: no words)."""
+    _bytes.modest(documents.sparkSession)
+    rows = _scratch.saved(signatures(documents, shingle, id_col, text_col), "sigs", "snappy")
+    with _scratch.temporary(documents.sparkSession):
+        by_class = grouped(rows, documents, shingle, threshold, id_col, text_col)
+    # rows without shingles have no class: a key of their own each, so that they are not dealt to one task
+    key = F.when(F.col("n_shingles") == 0, F.xxhash64("row", F.lit(1))).otherwise(F.col("key"))
+    out = rows.select("row", "doc_id", "n_shingles", key.alias("key")).join(by_class, "key", "left")
     cid = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"), "row")
+    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"), "row", "group")
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4).drop("row")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4).drop("row", "group")
 
 
 OP3_SQL = r"""
