@@ -196,17 +196,14 @@ def prefix_join(members: DataFrame, texts: DataFrame, n: int, threshold: int) ->
     t = threshold / 100
     size = F.size("s")
     prefix = lambda share: size - F.ceil(size * share - 1e-9).cast("int") + 1
-    # shingles of one member alone come first in the order and meet nothing
-    alone = F.size(F.filter("s", lambda x: x["df"] == 1))
-    heads = sets.join(members, "id").select("id", "component", size.alias("n"), prefix(2 * t / (1 + t)).alias("short"), alone.alias("alone"), F.transform(F.slice("s", alone + 1, F.greatest(prefix(t) - alone, F.lit(0))), lambda x: x["sh"]).alias("p"))
-    heads = _scratch.saved(heads, "prefixes", "snappy")
-    each = lambda p, name: heads.select(F.posexplode(p).alias("at", "sh"), *(F.col(c).alias(f"{name}_{c}") for c in ("id", "component", "n", "alone")), p.alias(f"{name}_p")).withColumn(f"{name}_at", F.col("at") + F.col(f"{name}_alone")).drop("at")
-    x, y = each(F.col("p"), "x"), each(F.slice("p", F.lit(1), F.greatest(F.col("short") - F.col("alone"), F.lit(0))), "y")
+    heads = sets.join(members, "id").select("id", "component", size.alias("n"), prefix(2 * t / (1 + t)).alias("short"), F.posexplode(F.transform(F.slice("s", F.lit(1), prefix(t)), lambda x: x["sh"])).alias("at", "sh"))
+    heads = _scratch.saved(heads.join(often.where("df > 1").select("sh"), "sh", "left_semi"), "prefixes", "snappy")
+    x = heads.select("sh", *(F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "at")))
+    y = heads.where("at < short").select("sh", *(F.col(c).alias(f"y_{c}") for c in ("id", "component", "n", "at")))
     need = F.ceil((F.col("x_n") + F.col("y_n")) * (t / (1 + t)) - 1e-9)
     left = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
     smaller = (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y_id") < F.col("x_id")))
-    first = F.element_at(F.array_intersect("x_p", "y_p"), 1) == F.col("sh")  # each pair once
-    met = x.join(y, "sh").where((F.col("x_component") != F.col("y_component")) & smaller & (100 * F.col("y_n") >= threshold * F.col("x_n")) & (left >= need) & first)
+    met = x.join(y, "sh").where((F.col("x_component") != F.col("y_component")) & smaller & (100 * F.col("y_n") >= threshold * F.col("x_n")) & (left >= need))
     return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
