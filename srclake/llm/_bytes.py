@@ -23,6 +23,8 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: A-Z to a-z; every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Every byte as it is.
+SAME = np.arange(256, dtype=np.uint8)
 #: Bytes of words: digits, ASCII letters, all beyond ASCII.
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
@@ -118,12 +120,12 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return starts, ends, np.searchsorted(starts, offsets, side="left")
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit key of each word's bytes after A-Z is lowered."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, by: np.ndarray = LOWER) -> np.ndarray:
+    """64-bit key of each word's bytes after A-Z is lowered (or what else the table `by` says)."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     run = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((LOWER[buf].astype(np.uint64) + np.uint64(1)) * _power("p", _P, len(buf) + 1)[: len(buf)], out=run[1:])
+    np.cumsum((by[buf].astype(np.uint64) + np.uint64(1)) * _power("p", _P, len(buf) + 1)[: len(buf)], out=run[1:])
     h = (run[ends] - run[starts]) * _power("inv", _P_INV, len(buf) + 1)[starts]
     return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, decontaminate, hmm_lm, language_id, license_scan, line_dedup, near_dedup, packing, quality, topk
+from . import chat, decontaminate, hmm_lm, language_id, license_scan, line_dedup, near_dedup, ngram_quality, packing, quality, topk
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable]:
         "op8_packing": packing.op8_packing,
         "op9_chat_format": chat.op9_chat_format,
         "op10_hmm_lm": hmm_lm.op10_hmm_lm,
+        "op11_quality_rules": ngram_quality.op11_quality_rules,
     }
 
 
