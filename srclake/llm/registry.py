@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, decontaminate, hmm_lm, language_id, license_scan, line_dedup, near_dedup, ngram_quality, packing, quality, topk
+from . import chat, decontaminate, hmm_lm, language_id, license_scan, line_dedup, near_dedup, ngram_quality, packing, prefix_trie, quality, topk, vector_codes
 
 
 def queries() -> dict[str, Callable]:
@@ -20,6 +20,8 @@ def queries() -> dict[str, Callable]:
         "op9_chat_format": chat.op9_chat_format,
         "op10_hmm_lm": hmm_lm.op10_hmm_lm,
         "op11_quality_rules": ngram_quality.op11_quality_rules,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
@@ -30,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_license_scan": license_scan.OP5_SQL,
         "op7_topk_search": topk.OP7_SQL,
         "op9_chat_format": chat.OP9_SQL,
+        "op12_vector_codes": vector_codes.OP12_SQL,
+        "op13_prefix_trie": prefix_trie.OP13_SQL,
     }
