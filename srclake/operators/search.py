@@ -52,10 +52,14 @@ def _by_dictionary(posts: DataFrame, cond: Column, doc: str) -> DataFrame:
     return posts.join(wanted, "term", "left_semi").groupBy(doc).agg(F.count("*").alias("hits"))
 
 
+def like_pattern(pattern: str) -> str:
+    """SR4: a pattern of ? and * as one of LIKE."""
+    return pattern.replace("\\", "\\\\").replace("%", r"\%").replace("_", r"\_").replace("*", "%").replace("?", "_")
+
+
 def wildcard(posts: DataFrame, pattern: str, doc: str = "doc_id") -> DataFrame:
     """SR4: ? and *, also leading."""
-    like = pattern.lower().replace("%", r"\%").replace("_", r"\_").replace("*", "%").replace("?", "_")
-    return _by_dictionary(posts, F.col("term").like(like), doc)
+    return _by_dictionary(posts, F.col("term").like(like_pattern(pattern.lower())), doc)
 
 
 def regex(posts: DataFrame, pattern: str, doc: str = "doc_id") -> DataFrame:
@@ -145,16 +149,16 @@ def proximity_all(posts: DataFrame, terms: list[str], doc: str = "doc_id", max_g
     """SR7, SR8: all matches of each document: doc, first, last, score.  Fewer than two terms find nothing.
 
     Only positions of the query's terms are gathered, one document's in a row."""
-    kind = f"{doc} long, first int, last int, score double"
+    kind = f"{doc} {posts.schema[doc].dataType.simpleString()}, first int, last int, score double"
     if len(terms) < 2:
         return posts.sparkSession.createDataFrame([], kind)
-    hits = posts.where(F.col("term").isin(*terms)).groupBy(F.col(doc).cast("long").alias(doc)).agg(F.collect_list(F.struct("term", "position")).alias("hits"))
+    hits = posts.where(F.col("term").isin(*terms)).groupBy(doc).agg(F.collect_list(F.struct("term", "position")).alias("hits"))
 
     def run(batches):
         for pdf in batches:
             out = []
             for ident, found in zip(pdf[doc], pdf["hits"], strict=True):
-                places = {t: [] for t in terms}
+                places: dict[str, list[int]] = {t: [] for t in terms}
                 for h in found:
                     places[h["term"]].append(h["position"])
                 out += [(ident, *m) for m in proximity_matches([sorted(places[t]) for t in terms], max_gap, min_terms, swapped)]
@@ -171,17 +175,12 @@ def proximity(posts: DataFrame, terms: list[str], doc: str = "doc_id", max_gap:
 
 
 def log_query(line: str) -> list[str]:
-    """SR7: the terms of a pasted log line, each once; fewer than MIN_TERMS find nothing."""
-    import re
-
-    found = dict.fromkeys(t.lower() for t in re.findall(r"[^\W_]+(?:_+[^\W_]+)*|#\w+", line))
-    return list(found) if len(found) >= MIN_TERMS else []
+    """SR7: the terms of a pasted log line, by the pattern of the postings, repeats too; fewer than MIN_TERMS find
+    nothing."""
+    import regex
 
-
-def log_search(docs: DataFrame, line: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """SR7, SR9, SR20: all matches of a log line without those that contain another, as (line, ordinal) spans."""
-    terms = log_query(line)
-    return log_spans(without_overlaps(proximity_all(postings(docs, doc, text), terms, doc), doc), docs, doc, text)
+    found = [t.lower() for t in regex.findall(expr.TOKEN, line)]
+    return found if len(found) >= MIN_TERMS else []
 
 
 def without_overlaps(matches: DataFrame, doc: str = "doc_id", start: str = "first", end: str = "last") -> DataFrame:
@@ -284,11 +283,3 @@ def matched(*matches: DataFrame, doc: str = "doc_id") -> DataFrame:
     for m in matches[1:]:
         out = out.unionByName(m.select(doc, "line", "first", "last"))
     return out.distinct()
-
-
-def log_spans(best: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """SR20: (line, ordinal) of the first and last term of proximity matches, best score first."""
-    t = token_lines(docs, doc, text).withColumn("_p", F.row_number().over(Window.partitionBy(doc).orderBy("line", "ordinal")) - 1)
-    a = t.select(doc, F.col("_p").alias("first"), F.col("line").alias("first_line"), F.col("ordinal").alias("first_ordinal"))
-    b = t.select(doc, F.col("_p").alias("last"), F.col("line").alias("last_line"), F.col("ordinal").alias("last_ordinal"))
-    return best.join(a, [doc, "first"]).join(b, [doc, "last"]).orderBy(F.desc("score"), doc)

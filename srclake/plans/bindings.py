@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -500,55 +501,65 @@ def _(x):
 # --- search -------------------------------------------------------------------------------------------------------
 
 
-def _posts(x) -> DataFrame:
-    return search.postings(x.table("documents"))
+_BUILT: dict[tuple[str, str], str] = {}
 
 
-def _index(x):
-    """A search index of the documents, built in the shared folder."""
-    d = x.table("documents")
-    docs = d.select("doc_id", F.col("text").alias("content"), F.col("doc_id").cast("string").alias("name"), F.concat(F.lit("/"), "source", F.lit("/"), "lang").alias("dir"), F.concat(F.lit("text/"), "lang").alias("mime"))
-    return index.build(docs, f"{store.folder(x.spark)}/index-{uuid.uuid4().hex}")
+def _index(x) -> index.Index:
+    """The search index of the documents in the shared folder: built by the first query of an application that asks for
+    it, read by all."""
+    key = x.spark.sparkContext.applicationId, x.dir
+    if key not in _BUILT:
+        d = x.table("documents")
+        docs = d.select("doc_id", F.col("text").alias("content"), F.col("doc_id").cast("string").alias("name"), F.concat(F.lit("/"), "source", F.lit("/"), "lang").alias("dir"), F.concat(F.lit("text/"), "lang").alias("mime"))
+        folder = f"{store.folder(x.spark)}/index-{uuid.uuid4().hex}"
+        index.build(docs, folder)
+        _BUILT[key] = folder
+    return index.Index(x.spark, _BUILT[key])
 
 
 @query("sr1_or", f"SELECT doc_id, count(DISTINCT term) AS terms, count(*) AS hits FROM {v.POSTINGS} WHERE term IN ('with', 'from', 'nicht') GROUP BY doc_id")
 def _(x):
-    return search.any_of(_posts(x), ["with", "from", "nicht"])
+    return search.any_of(search.postings(x.table("documents")), ["with", "from", "nicht"])
 
 
 @query("sr2_and_not", f"SELECT doc_id FROM {v.POSTINGS} GROUP BY doc_id HAVING bool_or(term = 'the') AND bool_or(term = 'with') AND NOT bool_or(term = 'from')")
 def _(x):
-    return search.boolean(_posts(x), ["the", "with"], ["from"])
+    return _index(x).boolean(["the", "with"], ["from"])
 
 
 @query("sr3_phrase", f"SELECT doc_id, position FROM (SELECT *, lead(term) OVER (PARTITION BY doc_id ORDER BY position) AS following FROM {v.POSTINGS}) WHERE term = 'of' AND following = 'the'")
 def _(x):
-    return search.phrase(_posts(x), ["of", "the"]).select("doc_id", long("position"))
+    return _index(x).phrase(["of", "the"]).select("doc_id", long("position"))
 
 
 @query("sr4_wildcard", f"SELECT doc_id, count(*) AS hits FROM {v.POSTINGS} WHERE term LIKE '%tion_n%' GROUP BY doc_id")
 def _(x):
-    return search.wildcard(_posts(x), "*tion?n*")
+    ix = _index(x)
+    return ix.hits(ix.wildcard_terms("*tion?n*"))
 
 
 @query("sr5_regex", f"SELECT doc_id, count(*) AS hits FROM {v.POSTINGS} WHERE regexp_full_match(term, 'th(e|is|at)') GROUP BY doc_id")
 def _(x):
-    return search.regex(_posts(x), "th(e|is|at)")
+    ix = _index(x)
+    return ix.hits(ix.regex_terms("th(e|is|at)"))
 
 
 @query("sr5_fuzzy", f"SELECT doc_id, count(*) AS hits FROM {v.POSTINGS} WHERE levenshtein(term, 'from') <= 1 GROUP BY doc_id")
 def _(x):
-    return search.fuzzy(_posts(x), "from", 1)
+    ix = _index(x)
+    return ix.hits(ix.fuzzy_terms("from", 1))
 
 
 @query("sr5_range", f"SELECT doc_id, count(*) AS hits FROM {v.POSTINGS} WHERE term BETWEEN 'w' AND 'wi' GROUP BY doc_id")
 def _(x):
-    return search.term_range(_posts(x), "w", "wi")
+    ix = _index(x)
+    return ix.hits(ix.range_terms("w", "wi"))
 
 
 @query("sr5_prefix", f"SELECT doc_id, count(*) AS hits FROM {v.POSTINGS} WHERE starts_with(term, 'ing') GROUP BY doc_id")
 def _(x):
-    return search.prefix(_posts(x), "ing")
+    ix = _index(x)
+    return ix.hits(ix.prefix_terms("ing"))
 
 
 @query("sr6_definitions", "SELECT p_partkey AS doc_id, p_type AS kind FROM part WHERE lower(p_brand) = 'brand#7' AND p_type LIKE '%A%'")
@@ -564,25 +575,26 @@ _MATCHES = f"(SELECT doc_id, position AS first, n AS last, 3 - (n - position - s
 
 @query("sr8_proximity", f"SELECT doc_id, first, last, round(score, 9) AS score FROM {_MATCHES}")
 def _(x):
-    return search.proximity_all(_posts(x), ["with", "from"]).select("doc_id", long("first"), long("last"), F.round("score", 9).alias("score"))
+    return _index(x).proximity_all(["with", "from"]).select("doc_id", long("first"), long("last"), F.round("score", 9).alias("score"))
 
 
 @query("sr8_best_of_three")
 def _(x):
-    return search.proximity(_posts(x), ["with", "from", "this"])
+    return _index(x).proximity(["with", "from", "this"])
 
 
-_PLACES = f"(SELECT doc_id, line, ordinal, row_number() OVER (PARTITION BY doc_id ORDER BY line, ordinal) - 1 AS p FROM {v.TOKEN_LINES})"
+#: Places of terms: line and column from 1, of their beginning and their end.
+_AT = f"(SELECT o.doc_id, position, o.start, stop, line, o.start - l.start + 1 AS col FROM {v.OFFSETS} o ASOF JOIN {v.LINES} l ON o.doc_id = l.doc_id AND o.start >= l.start)"
 
 
-@query("sr20_log_spans", f"SELECT doc_id, first, last, a.line AS first_line, a.ordinal AS first_ordinal, b.line AS last_line, b.ordinal AS last_ordinal FROM (SELECT *, lead(last) OVER (PARTITION BY doc_id ORDER BY first, last) AS e FROM {_MATCHES}) m JOIN {_PLACES} a USING (doc_id) JOIN {_PLACES} b USING (doc_id) WHERE (e IS NULL OR e > last) AND a.p = first AND b.p = last")
+@query("sr20_log_spans", f"SELECT doc_id, first, last, a.line AS first_line, a.col AS first_col, b.line AS last_line, b.col + b.stop - b.start AS last_col FROM (SELECT *, lead(last) OVER (PARTITION BY doc_id ORDER BY first, last) AS e FROM {_MATCHES}) m JOIN {_AT} a USING (doc_id) JOIN {_AT} b USING (doc_id) WHERE (e IS NULL OR e > last) AND a.position = first AND b.position = last")
 def _(x):
-    return search.log_search(x.table("documents"), "with from", "doc_id").select("doc_id", *map(long, ("first", "last", "first_line", "first_ordinal", "last_line", "last_ordinal")))
+    return _index(x).log_search("with, from:").select("doc_id", *map(long, ("first", "last", "first_line", "first_col", "last_line", "last_col")))
 
 
 @query("sr7_log_terms", f"SELECT doc_id, count(*) AS n FROM {_MATCHES} GROUP BY doc_id")
 def _(x):
-    return search.proximity_all(_posts(x), search.log_query("with from with")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return _index(x).proximity_all(search.log_query("With -- from!")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("src16_index", f"SELECT doc_id, count(DISTINCT term) AS terms, count(*) AS hits FROM {v.POSTINGS} WHERE term IN ('with', 'from', 'nicht') GROUP BY doc_id")
@@ -592,13 +604,19 @@ def _(x):
 
 @query("src16_fields", f"SELECT field, term, count(*) AS n FROM (SELECT 'dir' AS field, unnest([source, lang]) AS term FROM documents UNION ALL SELECT 'mime', 'text/' || lang FROM documents UNION ALL SELECT 'name', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id IS NOT NULL) WHERE term IS NOT NULL GROUP BY field, term")
 def _(x):
-    p = _index(x).postings.where("field IN ('dir', 'mime', 'name')")
-    return p.groupBy(F.col("field").cast("string").alias("field"), "term").agg(F.count("*").alias("n"))
+    ix = _index(x)
+    p = functools.reduce(DataFrame.unionByName, (ix.of(f).select(F.lit(f).alias("field"), "term") for f in ("dir", "mime", "name")))
+    return p.groupBy("field", "term").agg(F.count("*").alias("n"))
+
+
+def _runs(terms: str, more: str = "") -> str:
+    return f"SELECT doc_id, line, {ints('min(col)')} AS start_col, {ints('max(col + stop - start)')} AS end_col, count(*) AS tokens FROM (SELECT *, position - row_number() OVER (PARTITION BY doc_id ORDER BY position) AS g FROM (SELECT o.doc_id, position, term, o.start, stop, line, o.start - l.start + 1 AS col FROM {v.OFFSETS} o ASOF JOIN {v.LINES} l ON o.doc_id = l.doc_id AND o.start >= l.start) WHERE {terms}{more}) GROUP BY doc_id, line, g"
 
 
-@query("sr10_indexed", f"WITH t AS (SELECT *, ordinal - row_number() OVER (PARTITION BY doc_id, line ORDER BY ordinal) AS g FROM {v.TOKEN_LINES} WHERE term IN ('of', 'the')) SELECT doc_id, line, min(ordinal) AS first, max(ordinal) AS last, count(*) AS tokens FROM t GROUP BY doc_id, line, g")
+@query("sr10_indexed", _runs("regexp_full_match(term, 'th(e|is|at)')", " AND start < 1000"))
 def _(x):
-    return _index(x).line_matches(["of", "the"]).select("doc_id", *map(long, ("line", "first", "last", "tokens")))
+    ix = _index(x)
+    return ix.line_matches(ix.regex_terms("th(e|is|at)"), 1000).select("doc_id", *map(long, ("line", "start_col", "end_col", "tokens")))
 
 
 _TFIDF = "(SELECT doc_id, sum(sqrt(tf) * (1 + ln(n / (df + 1)))) AS score FROM (SELECT doc_id, term, count(*) AS tf, count(*) OVER (PARTITION BY term) AS df FROM {posts} WHERE term IN ('with', 'from') GROUP BY doc_id, term), (SELECT count(*)::DOUBLE AS n FROM documents) GROUP BY doc_id)".format(posts=v.POSTINGS)
@@ -607,14 +625,14 @@ _TFIDF = "(SELECT doc_id, sum(sqrt(tf) * (1 + ln(n / (df + 1)))) AS score FROM (
 @query("sr19_relevance", f"SELECT doc_id, round(score, 6) AS score FROM {_TFIDF}")
 def _(x):
     d = x.table("documents")
-    return search.relevance(search.postings(d), ["with", "from"], d.count()).select("doc_id", F.round("score", 6).alias("score"))
+    return search.relevance(_index(x).of("content", "with", "from"), ["with", "from"], d.count()).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("sr13_boost", f"SELECT doc_id, round(score * (1 + CASE WHEN lang = 'en' THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END), 6) AS score FROM {_TFIDF} JOIN documents USING (doc_id)")
 def _(x):
     d = x.table("documents")
     f = d.select("doc_id", F.when(F.col("lang") == "en", "a.cc").otherwise("a.txt").alias("path"), (F.col("doc_id") % 3 == 0).alias("parsed"))
-    return search.boosted(search.relevance(search.postings(d), ["with", "from"], d.count()), f).select("doc_id", F.round("score", 6).alias("score"))
+    return search.boosted(search.relevance(_index(x).of("content", "with", "from"), ["with", "from"], d.count()), f).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("fn10_path_tokens", f"SELECT page_id, array_to_string([p FOR p IN string_split(path, '/') IF p <> ''], ' ') AS tokens FROM {v.URLS}")
@@ -630,13 +648,13 @@ def _(x):
 
 @query("sr9_overlap", f"WITH m AS (SELECT doc_id, position AS first, position + 3 + (position % 3) AS last FROM {v.POSTINGS} WHERE term = 'with'), n AS (SELECT *, lead(last) OVER (PARTITION BY doc_id ORDER BY first, last) AS e FROM m) SELECT doc_id, first, last FROM n WHERE e IS NULL OR e > last")
 def _(x):
-    m = _posts(x).where("term = 'with'").select("doc_id", F.col("position").alias("first"), (F.col("position") + 3 + F.col("position") % 3).alias("last"))
+    m = _index(x).of("content", "with").select("doc_id", F.col("position").alias("first"), (F.col("position") + 3 + F.col("position") % 3).alias("last"))
     return search.without_overlaps(m).select("doc_id", long("first"), long("last"))
 
 
-@query("sr10_line_matches", f"WITH t AS (SELECT *, ordinal - row_number() OVER (PARTITION BY doc_id, line ORDER BY ordinal) AS g FROM {v.TOKEN_LINES} WHERE term IN ('of', 'the')) SELECT doc_id, line, min(ordinal) AS first, max(ordinal) AS last, count(*) AS tokens FROM t GROUP BY doc_id, line, g")
+@query("sr10_line_matches", _runs("term IN ('of', 'the')", f" AND start < {index.ANALYSED}"))
 def _(x):
-    return search.line_matches(search.token_lines(x.table("documents")), ["of", "the"]).select("doc_id", *map(long, ("line", "first", "last", "tokens")))
+    return _index(x).line_matches(["of", "the"]).select("doc_id", *map(long, ("line", "start_col", "end_col", "tokens")))
 
 
 @query("sr12_near_best", "SELECT o_custkey AS doc_id, o_orderkey, o_totalprice AS score FROM (SELECT *, max(o_totalprice) OVER (PARTITION BY o_custkey) AS b FROM orders) WHERE o_totalprice >= b - 1000")
@@ -656,7 +674,7 @@ def _(x):
 
 @query("sr17_suggest", f"SELECT name, distance FROM (SELECT name, levenshtein(substr(name, 1, 4), 'thri') AS distance FROM (SELECT DISTINCT term AS name FROM {v.POSTINGS})) WHERE distance <= 1 ORDER BY distance, name LIMIT 5")
 def _(x):
-    return search.suggest_names(_posts(x), "thri", name="term").select("name", F.col("distance").cast("long").alias("distance"))
+    return _index(x).suggest("thri", field="content").select("name", F.col("distance").cast("long").alias("distance"))
 
 
 # --- history and maintenance --------------------------------------------------------------------------------------

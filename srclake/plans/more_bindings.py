@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import expr
-from ..operators import history, maintenance, paths, search
+from ..operators import history, index, maintenance, paths
 from ..operators.nav import Navigation
 from ..sources import files
 from . import views as v
-from .bindings import ints, long, query
+from .bindings import _SQL, _index, _runs, ints, long, query
 from .nav_bindings import NODES, _facts
 
 
@@ -112,14 +115,24 @@ def _(x):
     return paths.children(x.tree().where("is_dir"), "/EUROPE").select("path")
 
 
-def _runs(terms: str) -> str:
-    return f"SELECT doc_id, line, min(ordinal) AS first, max(ordinal) AS last FROM (SELECT *, ordinal - row_number() OVER (PARTITION BY doc_id, line ORDER BY ordinal) AS g FROM {v.TOKEN_LINES} WHERE term IN ({terms})) GROUP BY doc_id, line, g"
+def _lines(terms: str) -> str:
+    return f"SELECT doc_id, line AS start_line, start_col, line AS end_line, end_col FROM ({_runs(terms)})"
+
+
+@query("sr11_matchers", f"""{_lines("term IN ('of', 'with')")} UNION SELECT doc_id, 1, 1, 1, 1 + length(string_split(string_split(text, chr(10))[1], ' ')[1]) FROM documents WHERE string_split(string_split(text, chr(10))[1], ' ')[1] <> ''
+UNION SELECT doc_id, first_line, first_col, last_line, last_col FROM ({_SQL["sr20_log_spans"]})""")
+def _(x):
+    d = x.table("documents")
+    tags = d.select("doc_id", F.lit(1).alias("line"), F.substring_index(F.substring_index("text", "\n", 1), " ", 1).alias("name")).where("name <> ''")
+    return _index(x).matches(["of", "with"], tags, "with from").select("doc_id", *map(long, ("start_line", "start_col", "end_line", "end_col")))
 
 
-@query("sr11_matchers", f"{_runs(chr(39) + 'with' + chr(39))} UNION {_runs(chr(39) + 'of' + chr(39) + ', ' + chr(39) + 'with' + chr(39))}")
+@query("src19_segments", "SELECT term, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 100 = 0 THEN ['tagged', lang] WHEN doc_id % 100 <> 1 THEN [lang, source] END) AS term FROM documents) WHERE term IS NOT NULL GROUP BY term")
 def _(x):
-    t = search.token_lines(x.table("documents"))
-    return search.matched(search.line_matches(t, ["with"]), search.line_matches(t, ["of", "with"])).select("doc_id", *map(long, ("line", "first", "last")))
+    d = x.table("documents")
+    ix = index.build(d.select("doc_id", F.concat_ws(" ", "lang", "source").alias("definition")), f"{store.folder(x.spark)}/index-{uuid.uuid4().hex}")
+    ix = ix.set_fields(d.where("doc_id % 100 = 0").select("doc_id", F.concat(F.lit("tagged "), "lang").alias("definition"))).remove(d.where("doc_id % 100 = 1").select("doc_id")).merge()
+    return ix.of("definition").groupBy("term").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
 
 
 @query("sr14_whole_value", f"SELECT id FROM {v.FILES} WHERE regexp_full_match(lower(path), '/src[0-9]+/(en|de)/.*7')")

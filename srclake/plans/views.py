@@ -111,6 +111,12 @@ TREE = "(SELECT '/' || r_name AS path, true AS is_dir FROM region UNION ALL SELE
 SCOPES = "(SELECT doc_id AS file_id, k AS scope, 2 * k + 1 AS start_line, 2 * k + 2 AS end_line FROM documents, unnest(range(0, (len(string_split(text, chr(10))) - 1) // 2 + 1)) u(k))"
 TOKEN_LINES = r"(SELECT doc_id, line, unnest(range(0, len(ts))) AS ordinal, unnest(ts) AS term FROM (SELECT doc_id, line, [lower(t) FOR t IN regexp_extract_all(l, '[\p{Lu}\p{Ll}\p{Lt}\p{Lm}\p{Lo}\p{Nd}\p{Pc}#]+')] AS ts FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents)))"
 POSTINGS = r"(SELECT doc_id, unnest(range(0, len(ts))) AS position, unnest(ts) AS term FROM (SELECT doc_id, [lower(t) FOR t IN regexp_extract_all(text, '[\p{Lu}\p{Ll}\p{Lt}\p{Lm}\p{Lo}\p{Nd}\p{Pc}#]+')] AS ts FROM documents))"
+#: Terms with character offsets from 0 (end exclusive), and lines with theirs.
+OFFSETS = r"""(SELECT doc_id, position, lower(raw) AS term, stop - length(raw) AS start, stop FROM (
+  SELECT doc_id, position, raw, CAST(sum(length(gap) + length(raw)) OVER (PARTITION BY doc_id ORDER BY position) AS BIGINT) AS stop FROM (
+    SELECT doc_id, unnest(range(0, len(ts))) AS position, unnest(ts) AS raw, unnest(gaps[1:len(ts)]) AS gap FROM (
+      SELECT doc_id, regexp_extract_all(text, '[\p{Lu}\p{Ll}\p{Lt}\p{Lm}\p{Lo}\p{Nd}\p{Pc}#]+') AS ts, regexp_split_to_array(text, '[\p{Lu}\p{Ll}\p{Lt}\p{Lm}\p{Lo}\p{Nd}\p{Pc}#]+') AS gaps FROM documents))))"""
+LINES = "(SELECT doc_id, line, following - length(l) - 1 AS start FROM (SELECT doc_id, line, l, CAST(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) AS following FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents)))"
 METRICS = "(SELECT l_partkey AS id, 1 AS type, l_quantity AS value FROM lineitem UNION ALL SELECT l_partkey, 2, l_extendedprice FROM lineitem UNION ALL SELECT l_partkey, 3, l_discount FROM lineitem)"
 COMMITS = "(SELECT CAST(event_id AS VARCHAR) AS oid, event_type AS message, CAST(user_id AS VARCHAR) AS author, CAST(floor(epoch(ts)) AS BIGINT) AS time, CAST(lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS VARCHAR) AS parent FROM events)"
 

@@ -1,17 +1,21 @@
-"""Cutting lineage in the folder all executors share, and schemas of the fact tables."""
+"""The folder that all executors share: cut lineage, manifests that commit several tables at once, and the schemas of
+the fact tables."""
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark) -> str:
     """The folder that all executors share: spark.checkpoint.dir; where that is unset (tests) a temporary one is set."""
     if not spark.sparkContext.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not spark.sparkContext.master.startswith("local"):
+        if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="srclake-"))
     return spark.sparkContext.getCheckpointDir()
@@ -23,6 +27,64 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Tables that no reader needs any more."""
+    for path in paths:
+        fs, p = _hadoop(spark, path)
+        fs.delete(p, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    fs, p = _hadoop(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+class Manifest:
+    """Numbered JSON files in a folder's `_manifest`, the last of which names the live tables.
+
+    Tables are written first, under new names; a commit is one rename to the next number, which fails if another writer
+    took it.  A run that stops before that leaves the old state, and files that nothing names."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.seen = -1
+
+    def _numbers(self) -> list[int]:
+        return sorted(int(m[1]) for f in listed(self.spark, f"{self.folder}/_manifest") if (m := re.fullmatch(r"(\d+)\.json", f)))
+
+    def current(self) -> dict | None:
+        found = self._numbers()
+        if not found:
+            return None
+        self.seen = found[-1]
+        fs, p = _hadoop(self.spark, f"{self.folder}/_manifest/{self.seen}.json")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.java.util.Scanner(stream, "UTF-8").useDelimiter("\\A").next())
+        finally:
+            stream.close()
+
+    def commit(self, state: dict) -> int:
+        """Makes a state that was derived from the one last read the current one."""
+        number = self.seen + 1
+        fs, draft = _hadoop(self.spark, f"{self.folder}/_manifest/draft-{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        _, final = _hadoop(self.spark, f"{self.folder}/_manifest/{number}.json")
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.rename(fs.makeQualified(draft), fs.makeQualified(final), gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        self.seen = number
+        return number
+
+
 #: Fact tables (see FIXTURES.md); readers always pass these.
 SCHEMAS = {
     "file": "id long, type string, path string, filename string, parent_id long, content_hash string, parse_status int",

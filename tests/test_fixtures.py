@@ -273,13 +273,13 @@ def test_topological_levels_with_cycles(spark):
 
 
 def test_log_search(spark):
-    from srclake.operators import search
+    from srclake.operators import index, search
 
     d = spark.createDataFrame([(1, "x error here\nat disk full"), (2, "error"), (3, None)], "doc_id long, text string")
-    assert search.log_query("Error: disk full, error") == ["error", "disk", "full"] and search.log_query("one, one!") == []
-    got = search.log_search(d, "error disk full").collect()
-    assert {(r["doc_id"], r["first_line"], r["first_ordinal"], r["last_line"], r["last_ordinal"]) for r in got} == {(1, 1, 1, 2, 2)}
-    assert search.log_search(d, "error").count() == 0
+    assert search.log_query("Error: disk full, error") == ["error", "disk", "full", "error"] and search.log_query("one!") == []
+    got = index.log_search(d, "error disk full", text="text").collect()
+    assert {(r["doc_id"], r["first_line"], r["first_col"], r["last_line"], r["last_col"]) for r in got} == {(1, 1, 3, 2, 13)}
+    assert index.log_search(d, "error", text="text").count() == 0
 
 
 def test_incremental_run(spark):
@@ -298,17 +298,3 @@ def test_incremental_run(spark):
     assert [r["file_id"] for r in out["log"].collect()] == [9]
     out, report = maintenance.incremental_run(facts, files, old, new, includes, parse, percent=5)
     assert report["full"] and {r["what"] for r in out["loc"].collect()} == {"new"} and out["log"].count() == 0
-
-
-def test_search_index(spark, tmp_path):
-    from srclake.operators import index
-
-    d = spark.createDataFrame([(1, "int main\nreturn main", "a.cc", "/src/a.cc", True), (2, "main", "b.txt", "/doc/b.txt", False), (3, None, None, None, None)], "doc_id long, content string, name string, path string, parsed boolean")
-    ix = index.build(d, str(tmp_path / "ix"))
-    assert {(r["doc_id"], r["hits"]) for r in ix.any_of(["main"]).collect()} == {(1, 2), (2, 1)}
-    assert [r["doc_id"] for r in ix.boolean(["main"], ["int"]).collect()] == [2]
-    assert {(r["doc_id"], r["line"], r["first"]) for r in ix.line_matches(["main"]).collect()} == {(1, 1, 1), (1, 2, 1), (2, 1, 0)}
-    assert [r["doc_id"] for r in ix.any_of(["doc"], "path").collect()] == [2]
-    assert [r["doc_id"] for r in ix.ranked(["main"]).collect()] == [1, 2]
-    plan = ix.of("content", "main")._jdf.queryExecution().executedPlan().toString()
-    assert "field#" in plan and "PartitionFilters: [isnotnull(field" in plan and "PushedFilters: [In(term" in plan or "EqualTo(term,main)" in plan
