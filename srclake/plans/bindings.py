@@ -922,4 +922,4 @@ def _(x):
 
 
 
-from . import more_bindings, nav_bindings  # noqa: E402, F401  register their queries
+from . import fact_bindings, more_bindings, nav_bindings  # noqa: E402, F401  register their queries
