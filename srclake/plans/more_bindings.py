@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import store
 from ..functions import expr
-from ..operators import history, index, maintenance, paths
+from ..operators import factstore, history, index, maintenance, paths
 from ..operators.nav import Navigation
 from ..sources import files
 from . import views as v
@@ -189,3 +189,20 @@ def _(x):
 def _(x):
     i = x.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
     return maintenance.with_field_values(i, x.table("lineitem").select((F.col("l_orderkey") * 2).alias("id"), F.lit("tagged").alias("status")).distinct(), "id", ["status"])
+
+
+@query("in4_stored_run", f"""WITH f AS (SELECT id, type, length(content) AS n, id % 50 = 0 AS gone FROM {v.FILES} WHERE content IS NOT NULL AND path IS NOT NULL),
+c AS (SELECT id FROM f WHERE gone OR id % 70 = 1),
+m AS (SELECT id FROM c UNION SELECT id + 1 FROM c WHERE id % 3 = 0 AND id + 1 IN (SELECT id FROM f) UNION SELECT id + 2 FROM c WHERE id % 3 = 0 AND id + 2 IN (SELECT id FROM f) AND id + 1 IN (SELECT id FROM f) AND (id + 1) % 3 = 0)
+SELECT id AS file_id, CASE WHEN id IN (SELECT id FROM m) THEN 'new' ELSE 'old' END AS what, {ints('n')} AS n FROM f WHERE NOT gone""")
+def _(x):
+    f = x.files().where("content IS NOT NULL AND path IS NOT NULL")
+    known = f.select(F.col("id").alias("file_id"), "path")
+    new = f.where("id % 50 <> 0").select("path", F.when(F.col("id") % 70 == 1, F.sha1(F.concat("content", F.lit("!")))).otherwise(F.col("hash")).alias("hash"))
+    length = F.length("content").cast("long").alias("n")
+    ids = f.select("id")
+    includes = ids.where("id % 3 = 0").select((F.col("id") + 1).alias("includer"), F.col("id").alias("included")).join(ids.select(F.col("id").alias("includer")), "includer", "left_semi")
+    facts = factstore.FactStore.create(x.spark, f"{store.folder(x.spark)}/facts-{uuid.uuid4().hex}", {"loc": f.select(F.col("id").alias("file_id"), F.lit("old").alias("what"), length)})
+    parse = lambda d: {"loc": d.join(f.select(F.col("id").alias("file_id"), length), "file_id").select("file_id", F.lit("new").alias("what"), "n")}
+    out, _ = facts.run(known, f.select("path", "hash"), new, includes, parse)
+    return out.read("loc")
