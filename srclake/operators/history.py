@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +100,62 @@ def blame_hunks(lines: DataFrame, path: str = "path", line: str = "line", oid: s
     return runs.groupBy(path, "_g", oid).agg(F.min(line).alias("first_line"), F.count("*").alias("n_lines")).drop("_g")
 
 
+#: The commit of lines that aren't committed.
+UNCOMMITTED = "0" * 40
+
+
+def common_lines(old: list[str], new: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence as pairs of places (from 0): a longest rising run through the places at which each
+    old line stands among the new ones."""
+    places: dict[str, list[int]] = {}
+    for j, x in enumerate(new):
+        places.setdefault(x, []).append(j)
+    ends: list[int] = []  # the least last place of a run of each length, and that run
+    runs: list[tuple] = []
+    for i, x in enumerate(old):
+        for j in reversed(places.get(x, ())):
+            k = bisect.bisect_left(ends, j)
+            run = (i, j, runs[k - 1] if k else None)
+            if k == len(ends):
+                ends.append(j)
+                runs.append(run)
+            elif j < ends[k]:
+                ends[k], runs[k] = j, run
+    out, run = [], runs[-1] if runs else None
+    while run:
+        out.append(run[:2])
+        run = run[2]
+    return out[::-1]
+
+
+def overlaid(blame: DataFrame, committed: DataFrame, working: DataFrame) -> DataFrame:
+    """HS6: blame (path, line, commit_oid) of committed texts carried over to the working texts (path, content): lines of
+    a longest common subsequence keep their commit, the others are UNCOMMITTED.  path, line, commit_oid, orig_line.
+
+    Files with a working text only are all uncommitted; a null text is one without lines; paths must not repeat."""
+    texts = working.select("path", F.col("content").alias("new")).join(committed.select("path", F.col("content").alias("old")), "path", "left").where("path IS NOT NULL")
+
+    def run(batches):
+        for pdf in batches:
+            for path, new, old in zip(pdf["path"], pdf["new"], pdf["old"], strict=True):
+                lines = lambda t: t.split("\n") if isinstance(t, str) else []
+                fresh, known = lines(new), lines(old)
+                head = 0
+                while head < min(len(fresh), len(known)) and fresh[head] == known[head]:
+                    head += 1
+                tail = 0
+                while tail < min(len(fresh), len(known)) - head and fresh[-1 - tail] == known[-1 - tail]:
+                    tail += 1
+                of = {j: j for j in range(head)} | {len(fresh) - 1 - k: len(known) - 1 - k for k in range(tail)}
+                of |= {head + j: head + i for i, j in common_lines(known[head : len(known) - tail], fresh[head : len(fresh) - tail])}
+                if fresh:
+                    yield pd.DataFrame({"path": path, "line": range(1, len(fresh) + 1), "orig_line": pd.array([of[j] + 1 if j in of else None for j in range(len(fresh))], "Int32")})
+
+    rows = texts.mapInPandas(run, "path string, line int, orig_line int")
+    b = blame.select("path", F.col("line").alias("orig_line"), "commit_oid")
+    return rows.join(b, ["path", "orig_line"], "left").select("path", "line", F.coalesce("commit_oid", F.lit(UNCOMMITTED)).alias("commit_oid"), "orig_line")
+
+
 def repository_of(paths: DataFrame, repositories: DataFrame) -> DataFrame:
     """HS7, JN15."""
     from . import paths as p

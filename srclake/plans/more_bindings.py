@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import store
@@ -206,3 +207,22 @@ def _(x):
     parse = lambda d: {"loc": d.join(f.select(F.col("id").alias("file_id"), length), "file_id").select("file_id", F.lit("new").alias("what"), "n")}
     out, _ = facts.run(known, f.select("path", "hash"), new, includes, parse)
     return out.read("loc")
+
+
+_OVERLAY = """SELECT conv_id, turn, role, unnest(CASE WHEN turn % 4 = 1 THEN [] ELSE [0] END || CASE WHEN turn % 3 = 0 THEN [1] ELSE [] END) AS added FROM conversations"""
+
+
+@query("hs6_uncommitted", f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, added) AS line FROM ({_OVERLAY})),
+o AS (SELECT CAST(conv_id AS VARCHAR) AS path, line, CASE WHEN added = 1 THEN repeat('0', 40) ELSE role END AS oid FROM t),
+g AS (SELECT *, line - row_number() OVER (PARTITION BY path, oid ORDER BY line) AS g FROM o)
+SELECT path, oid AS commit_oid, {ints('min(line)')} AS first_line, count(*) AS n_lines FROM g GROUP BY path, oid, g""")
+def _(x):
+    c, turn = x.table("conversations"), F.col("turn")
+    path = F.col("conv_id").cast("string").alias("path")
+    line = F.concat(turn.cast("string"), F.lit(" "), "role")
+    kept = F.when(turn % 4 == 1, F.array().cast("array<string>")).otherwise(F.array(line))
+    text = lambda lines: c.groupBy(path).agg(F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("turn", lines.alias("l")))), lambda t: t["l"])), "\n").alias("content"))
+    working = text(F.concat(kept, F.when(turn % 3 == 0, F.array(F.concat(F.lit("added "), turn.cast("string")))).otherwise(F.array().cast("array<string>"))))
+    blame = c.select(path, F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("line"), F.col("role").alias("commit_oid"))
+    hunks = history.blame_hunks(history.overlaid(blame, text(F.array(line)), working.where("content <> ''")))
+    return hunks.select("path", "commit_oid", long("first_line"), long("n_lines"))
