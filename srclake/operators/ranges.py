@@ -47,13 +47,14 @@ def within_inclusive(inner: DataFrame, outer: DataFrame, file: str = "path", buc
     return _join(inner, outer, file, (_start("inner") >= _start("outer")) & (_end("inner") <= _end("outer")), bucket_lines)
 
 
-def innermost(points: DataFrame, nodes: DataFrame, file: str = "file_id", macro: str | None = None) -> DataFrame:
+def innermost(points: DataFrame, nodes: DataFrame, file: str = "file_id", macro: str | None = None, bucket_lines: int = 500) -> DataFrame:
     """JN9: for each point (line, col) the innermost visible node with start <= point < end.
 
     Macro nodes come first; then the latest start, the earliest end and the smallest id (Q9).  points need point_id."""
-    n = nodes.where("visible AND end_line IS NOT NULL")
-    p = points.select(F.col(file).alias("_f"), "point_id", F.struct("line", "col").alias("_p"))
-    x = p.join(n.withColumnRenamed(file, "_f"), "_f").where((F.struct("start_line", "start_col") <= F.col("_p")) & (F.struct("end_line", "end_col") > F.col("_p")))
+    bucket = lambda c: F.floor(F.col(c) / bucket_lines)
+    n = nodes.where("visible AND end_line >= start_line").withColumn("_b", F.explode(F.sequence(bucket("start_line"), bucket("end_line"))))
+    p = points.select(F.col(file).alias("_f"), "point_id", F.struct("line", "col").alias("_p"), bucket("line").alias("_b"))
+    x = p.join(n.withColumnRenamed(file, "_f"), ["_f", "_b"]).drop("_b").where((F.struct("start_line", "start_col") <= F.col("_p")) & (F.struct("end_line", "end_col") > F.col("_p")))
     first = [F.desc(F.col(macro))] if macro else []
     w = Window.partitionBy("point_id").orderBy(*first, F.desc("start_line"), F.desc("start_col"), "end_line", "end_col", "id")
     return x.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_p").withColumnRenamed("_f", file)

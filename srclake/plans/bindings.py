@@ -902,7 +902,7 @@ def _(x):
 
 @query("fn14_tokens", f"SELECT doc_id, count(*) AS n, count(DISTINCT term) AS terms, max(term) AS last FROM {v.POSTINGS} GROUP BY doc_id")
 def _(x):
-    return _posts(x).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("terms"), F.max("term").alias("last"))
+    return search.postings(x.table("documents")).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("terms"), F.max("term").alias("last"))
 
 
 @query("fn17_line_column", f"SELECT id, len(string_split(substr(content, 1, length(content) // 2), chr(10)))::BIGINT AS line, (length(string_split(substr(content, 1, length(content) // 2), chr(10))[-1]) + 1)::BIGINT AS col FROM {v.FILES}")
