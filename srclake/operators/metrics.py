@@ -51,17 +51,26 @@ def bumpy_road(functions: DataFrame) -> DataFrame:
     return functions.select("ast_node_id", ratio("bumpiness", "statement_count", 1.0).alias("value"))
 
 
-def cohesion(types: DataFrame, fields: DataFrame, methods: DataFrame, uses: DataFrame) -> DataFrame:
-    """MT5, MT6: type, loc, loc_hs.  fields: type, field; methods: type, method; uses: method, field (any repeats)."""
+def type_sizes(types: DataFrame, fields: DataFrame, methods: DataFrame) -> DataFrame:
+    """type, f, m: distinct fields and methods of each type."""
     f = fields.groupBy("type").agg(F.countDistinct("field").alias("f"))
     m = methods.groupBy("type").agg(F.countDistinct("method").alias("m"))
-    used = uses.select("method", "field").distinct().join(methods.select("type", "method").distinct(), "method").join(fields.select("type", "field").distinct(), ["type", "field"])
-    c = used.groupBy("type").agg(F.count("*").alias("c"))
-    all_ = types.select("type").distinct().join(f, "type", "left").join(m, "type", "left").join(c, "type", "left").fillna(0, ["f", "m", "c"])
+    return types.select("type").distinct().join(f, "type", "left").join(m, "type", "left").fillna(0, ["f", "m"])
+
+
+def cohesion_values(counted: DataFrame) -> DataFrame:
+    """type, loc, loc_hs of type, f, m and c, the pairs of a method and a field that it uses."""
     trivial = (F.col("f") == 0) | (F.col("m") == 0)
     loc = F.when(trivial, F.lit(0.0)).otherwise(1 - F.col("c") / (F.col("m") * F.col("f")))
     hs = F.when(trivial, F.lit(0.0)).when(F.col("m") == 1, F.lit(float("nan"))).otherwise((F.col("m") - F.try_divide("c", "f")) / F.nullif(F.col("m") - 1, F.lit(0)))
-    return all_.select("type", loc.alias("loc"), hs.alias("loc_hs"))
+    return counted.select("type", loc.alias("loc"), hs.alias("loc_hs"))
+
+
+def cohesion(types: DataFrame, fields: DataFrame, methods: DataFrame, uses: DataFrame) -> DataFrame:
+    """MT5, MT6: type, loc, loc_hs.  fields: type, field; methods: type, method; uses: method, field (any repeats)."""
+    used = uses.select("method", "field").distinct().join(methods.select("type", "method").distinct(), "method").join(fields.select("type", "field").distinct(), ["type", "field"])
+    c = used.groupBy("type").agg(F.count("*").alias("c"))
+    return cohesion_values(type_sizes(types, fields, methods).join(c, "type", "left").fillna(0, ["c"]))
 
 
 def used_fields(methods: DataFrame, accesses: DataFrame) -> DataFrame:

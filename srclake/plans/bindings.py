@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from .. import store
-from ..operators import graph, history, index, loc, maintenance, metrics, paths, ranges, search
+from ..operators import graph, history, index, loc, maintenance, metrics, paths, ranges, search, slices
 from . import views as v
 from .views import Views
 
@@ -268,6 +268,20 @@ def _(x):
     return metrics.cohesion(*x.cohesion()).select("type", F.round("loc_hs", 9).alias("loc_hs"))
 
 
+@query("mt18_cohesion_slices", _SQL["mt5_cohesion"])
+def _(x):
+    return slices.cohesion(*x.cohesion(), 16).select("type", F.round("loc", 9).alias("loc"))
+
+
+_CLASS = "CASE WHEN cost < 1 THEN 0 WHEN length(bin(cost)) < 3 THEN 4 * length(bin(cost)) ELSE 4 * length(bin(cost)) + ((cost >> (length(bin(cost)) - 3)) & 3) END"
+
+
+@query("mt18_slices", f"SELECT class, CASE WHEN at // 16 % 2 = 0 THEN at % 16 ELSE 15 - at % 16 END AS slice, count(*) AS n FROM (SELECT class, row_number() OVER (ORDER BY class DESC) - 1 AS at FROM (SELECT {_CLASS} AS class FROM (SELECT CAST(sum(l_quantity) AS BIGINT) AS cost FROM lineitem GROUP BY l_orderkey))) GROUP BY ALL")
+def _(x):
+    cost = x.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.round(F.sum("l_quantity")).cast("long").alias("cost"))
+    return slices.deal(cost, ["id"], "cost", 16).groupBy(long("class"), long("slice")).agg(F.count("*").alias("n"))
+
+
 @query("mt7_efferent", f"SELECT entity, {ints('count(DISTINCT dependency)')} AS value FROM {v.TYPES} LEFT JOIN {v.DEPS} d USING (entity) GROUP BY entity")
 def _(x):
     return metrics.efferent(x.types(), x.dependencies())
