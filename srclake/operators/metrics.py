@@ -168,6 +168,41 @@ def for_path(metrics: DataFrame, nodes: DataFrame, files: DataFrame, directory:
     return metrics.join(n, "ast_node_id").join(f, "file_id").select("ast_node_id", "ast_value", expr.directory_with_slash("path").alias("directory"), expr.filename("path").alias("filename"), "type", "value")
 
 
+def _paged(metrics: DataFrame, key: str, files: DataFrame, size: int | None, previous) -> DataFrame:
+    """Metrics joined with their files, of the next `size` keys after `previous` that are in `files`."""
+    x = metrics.join(files, "file_id")
+    return x if size is None else x.join(page(x, key, size, previous), key, "left_semi")
+
+
+def _files_under(files: DataFrame, directory: str, raw_prefix: bool) -> DataFrame:
+    return files.where(expr.under("path", F.lit(directory), raw_prefix)).select(F.col("id").alias("file_id"), "path")
+
+
+def node_entries(metrics: DataFrame, nodes: DataFrame, files: DataFrame, directory: str, size: int | None = None, previous=None, raw_prefix: bool = False) -> DataFrame:
+    """MT16: each node under a directory with its metrics (path, type, value) in order of type; a page of nodes if a size
+    is given."""
+    placed = metrics.join(nodes.select(F.col("id").alias("ast_node_id"), "file_id"), "ast_node_id")
+    rows = _paged(placed, "ast_node_id", _files_under(files, directory, raw_prefix), size, previous)
+    return rows.groupBy("ast_node_id").agg(F.sort_array(F.collect_list(F.struct("type", "value", "path"))).alias("m")).select("ast_node_id", F.transform("m", lambda x: F.struct(x["path"].alias("path"), x["type"].alias("type"), x["value"].alias("value"))).alias("metrics"))
+
+
+def node_details(metrics: DataFrame, nodes: DataFrame, files: DataFrame, directory: str, size: int | None = None, previous=None, raw_prefix: bool = False) -> DataFrame:
+    """MT16: each node under a directory with its place, kind and value, and its metrics as a map (of a repeated type the
+    smallest value counts)."""
+    facts = nodes.select(F.col("id").alias("ast_node_id"), "file_id", "symbol_type", "ast_type", "start_line", "end_line", "ast_value")
+    rows = _paged(metrics.join(facts, "ast_node_id"), "ast_node_id", _files_under(files, directory, raw_prefix), size, previous)
+    about = ["ast_node_id", "path", "symbol_type", "ast_type", "start_line", "end_line", "ast_value"]
+    one = rows.groupBy(*about, "type").agg(F.min("value").alias("value"))
+    out = one.groupBy(*about).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "value")))).alias("metrics"))
+    return out.select("ast_node_id", expr.directory_with_slash("path").alias("path"), expr.filename("path").alias("file"), *about[2:], "metrics")
+
+
+def module_entries(metrics: DataFrame, files: DataFrame, directory: str, size: int | None = None, previous=None, raw_prefix: bool = False) -> DataFrame:
+    """MT16: each module (file or directory) under a directory with its metrics (path, type, value)."""
+    rows = _paged(metrics, "file_id", _files_under(files, directory, raw_prefix), size, previous)
+    return rows.groupBy("file_id", "path").agg(F.sort_array(F.collect_list(F.struct("type", "value"))).alias("m")).select("file_id", F.transform("m", lambda x: F.struct(F.col("path").alias("path"), x["type"].alias("type"), x["value"].alias("value"))).alias("metrics"))
+
+
 def single(metrics: DataFrame, node: int, kind: int, key: str = "ast_node_id") -> float:
     """MT16: one metric; an error if there is none."""
     row = metrics.where((F.col(key) == node) & (F.col("type") == kind)).select("value").first()

@@ -6,7 +6,7 @@ import functools
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
@@ -276,7 +276,7 @@ def _(x):
 _CLASS = "CASE WHEN cost < 1 THEN 0 WHEN length(bin(cost)) < 3 THEN 4 * length(bin(cost)) ELSE 4 * length(bin(cost)) + ((cost >> (length(bin(cost)) - 3)) & 3) END"
 
 
-@query("mt18_slices", f"SELECT class, CASE WHEN at // 16 % 2 = 0 THEN at % 16 ELSE 15 - at % 16 END AS slice, count(*) AS n FROM (SELECT class, row_number() OVER (ORDER BY class DESC) - 1 AS at FROM (SELECT {_CLASS} AS class FROM (SELECT CAST(sum(l_quantity) AS BIGINT) AS cost FROM lineitem GROUP BY l_orderkey))) GROUP BY ALL")
+@query("mt18_slices", f"SELECT class, CASE WHEN nth // 16 % 2 = 0 THEN nth % 16 ELSE 15 - nth % 16 END AS slice, count(*) AS n FROM (SELECT class, row_number() OVER (ORDER BY class DESC) - 1 AS nth FROM (SELECT {_CLASS} AS class FROM (SELECT CAST(sum(l_quantity) AS BIGINT) AS cost FROM lineitem GROUP BY l_orderkey))) GROUP BY ALL")
 def _(x):
     cost = x.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.round(F.sum("l_quantity")).cast("long").alias("cost"))
     return slices.deal(cost, ["id"], "cost", 16).groupBy(long("class"), long("slice")).agg(F.count("*").alias("n"))
@@ -811,6 +811,57 @@ def _(x):
     return paths.listing(x.tree().where("length(path) - length(replace(path, '/', '')) <= 2"))
 
 
+#: Parts are nodes of files, one for each brand and type; the files' numbers are of their paths.
+_PART_FILES = "(SELECT row_number() OVER (ORDER BY path) AS id, path FROM (SELECT DISTINCT '/' || p_brand || '/' || p_type AS path FROM part))"
+_PART_NODES = f"(SELECT p_partkey AS id, f.id AS file_id, p_name AS ast_value, CAST(p_size AS INTEGER) AS start_line, f.path FROM part JOIN {_PART_FILES} f ON f.path = '/' || p_brand || '/' || p_type)"
+
+
+def _part_nodes(x: Views) -> tuple[DataFrame, DataFrame]:
+    path = F.concat(F.lit("/"), "p_brand", F.lit("/"), "p_type")
+    p = x.table("part").withColumn("path", path)
+    named = p.select("path").distinct()  # brands times types
+    f = named.select(F.row_number().over(Window.orderBy("path")).cast("long").alias("id"), "path")
+    line = F.col("p_size").cast("int")
+    n = p.join(f.withColumnRenamed("id", "file_id"), "path").select(F.col("p_partkey").alias("id"), "file_id", F.col("p_name").alias("ast_value"), F.lit("Type").alias("symbol_type"), F.lit("Definition").alias("ast_type"), line.alias("start_line"), (line + 9).alias("end_line"))
+    return n, f
+
+
+_ONE = f"(SELECT id, type, min(value) AS value FROM {v.METRICS} GROUP BY id, type)"
+_DETAILS = f"SELECT n.id AS ast_node_id, n.path[:length(n.path) - length(string_split(n.path, '/')[-1])] AS path, string_split(n.path, '/')[-1] AS file, n.ast_value, {ints('n.start_line + 9')} AS end_line, (SELECT min(value) FROM {_ONE} m WHERE m.id = n.id AND type = 1) AS quantity, (SELECT min(value) FROM {_ONE} m WHERE m.id = n.id AND type = 3) AS discount FROM {_PART_NODES} n WHERE n.id IN (SELECT id FROM {v.METRICS})"
+
+
+def _details(x: Views, size: int | None = None, previous: int | None = None) -> DataFrame:
+    n, f = _part_nodes(x)
+    d = metrics.node_details(x.metrics().withColumnRenamed("id", "ast_node_id"), n, f, "", size, previous, raw_prefix=True)
+    return d.select("ast_node_id", "path", "file", "ast_value", long("end_line"), F.col("metrics")[1].alias("quantity"), F.col("metrics")[3].alias("discount"))
+
+
+@query("mt16_details", _DETAILS)
+def _(x):
+    return _details(x)
+
+
+@query("mt16_details_page", f"{_DETAILS} AND n.id > 100 ORDER BY n.id LIMIT 25")
+def _(x):
+    return _details(x, 25, 100)
+
+
+@query("mt16_node_entries", f"SELECT n.id AS ast_node_id, path, string_agg(type, ',' ORDER BY type, value) AS types, count(*) AS n FROM {_PART_NODES} n JOIN {v.METRICS} m USING (id) GROUP BY n.id, path")
+def _(x):
+    n, f = _part_nodes(x)
+    e = metrics.node_entries(x.metrics().withColumnRenamed("id", "ast_node_id"), n, f, "", raw_prefix=True)
+    return e.select("ast_node_id", F.col("metrics")[0]["path"].alias("path"), F.array_join(F.transform("metrics", lambda m: m["type"].cast("string")), ",").alias("types"), F.size("metrics").cast("long").alias("n"))
+
+
+@query("mt16_module_entries", f"SELECT f.id AS file_id, f.path, count(DISTINCT p_partkey) AS parts, sum(p_size) AS size FROM {_PART_FILES} f JOIN part ON f.path = '/' || p_brand || '/' || p_type WHERE f.id IN (SELECT id FROM {_PART_FILES} WHERE id > 3 ORDER BY id LIMIT 40) GROUP BY f.id, f.path")
+def _(x):
+    _, f = _part_nodes(x)
+    own = x.table("part").select(F.concat(F.lit("/"), "p_brand", F.lit("/"), "p_type").alias("path"), "p_size").groupBy("path").agg(F.count("*").alias("n"), F.sum("p_size").cast("long").alias("size"))
+    m = own.join(f, "path").select(F.col("id").alias("file_id"), F.explode(F.create_map(F.lit(1), "n", F.lit(2), "size")).alias("type", "value"))
+    e = metrics.module_entries(m, f, "", 40, 3, raw_prefix=True)
+    return e.select("file_id", F.col("metrics")[0]["path"].alias("path"), F.col("metrics")[0]["value"].alias("parts"), F.col("metrics")[1]["value"].alias("size"))
+
+
 @query("so5_page", f"SELECT DISTINCT id FROM {v.METRICS} WHERE id > 100 ORDER BY id LIMIT 20")
 def _(x):
     return metrics.page(x.metrics(), "id", 20, 100)
