@@ -172,10 +172,17 @@ def merged_edges(edges: DataFrame, label: str, src: str = "src", dst: str = "dst
 
 
 class Graph:
-    """GR27: nodes(id, attrs), edges(src, dst, attrs) and clusters as tables."""
+    """GR27: nodes(id, attrs), edges(src, dst, attrs), clusters(cluster, parent, attrs) and members(cluster, id) as tables;
+    a node is in one cluster at most, a cluster in one other."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame):
+    def __init__(self, nodes: DataFrame, edges: DataFrame, clusters: DataFrame | None = None, members: DataFrame | None = None):
         self.nodes, self.edges = nodes, edges
+        spark, kind = nodes.sparkSession, nodes.schema["id"].dataType.simpleString()
+        self.clusters = spark.createDataFrame([], "cluster string, parent string, attrs map<string,string>") if clusters is None else clusters
+        self.members = spark.createDataFrame([], f"cluster string, id {kind}") if members is None else members
+
+    def _with(self, **new: DataFrame) -> Graph:
+        return Graph(**({"nodes": self.nodes, "edges": self.edges, "clusters": self.clusters, "members": self.members} | new))
 
     @staticmethod
     def of(edges: DataFrame) -> Graph:
@@ -186,17 +193,17 @@ class Graph:
 
     def with_node(self, node, attrs: dict[str, str] | None = None) -> Graph:
         row = self.nodes.sparkSession.createDataFrame([(node, attrs or {})], self.nodes.schema)
-        return Graph(self.nodes.where(F.col("id") != node).unionByName(row), self.edges)
+        return self._with(nodes=self.nodes.where(F.col("id") != node).unionByName(row))
 
     def with_edge(self, src, dst, attrs: dict[str, str] | None = None) -> Graph:
         row = self.edges.sparkSession.createDataFrame([(src, dst, attrs or {})], self.edges.schema)
-        return Graph(self.nodes, self.edges.unionByName(row))
+        return self._with(edges=self.edges.unionByName(row))
 
     def without_node(self, node) -> Graph:
-        return Graph(self.nodes.where(F.col("id") != node), self.edges.where((F.col("src") != node) & (F.col("dst") != node)))
+        return self._with(nodes=self.nodes.where(F.col("id") != node), edges=self.edges.where((F.col("src") != node) & (F.col("dst") != node)), members=self.members.where(F.col("id") != node))
 
     def without_edge(self, src, dst) -> Graph:
-        return Graph(self.nodes, self.edges.where(~((F.col("src") == src) & (F.col("dst") == dst))))
+        return self._with(edges=self.edges.where(~((F.col("src") == src) & (F.col("dst") == dst))))
 
     def has_node(self, node) -> bool:
         return not self.nodes.where(F.col("id") == node).isEmpty()
@@ -212,14 +219,57 @@ class Graph:
 
     def with_attribute(self, node, key: str, value: str) -> Graph:
         new = F.when(F.col("id") == node, F.map_concat(F.map_filter("attrs", lambda k, v: k != key), F.create_map(F.lit(key), F.lit(value)))).otherwise(F.col("attrs"))
-        return Graph(self.nodes.withColumn("attrs", new), self.edges)
+        return self._with(nodes=self.nodes.withColumn("attrs", new))
+
+    def with_cluster(self, cluster: str, parent: str | None = None, attrs: dict[str, str] | None = None) -> Graph:
+        row = self.clusters.sparkSession.createDataFrame([(cluster, parent, attrs or {})], "cluster string, parent string, attrs map<string,string>")
+        return self._with(clusters=self.clusters.where(F.col("cluster") != cluster).unionByName(row))
+
+    def without_cluster(self, cluster: str) -> Graph:
+        """The cluster goes; its nodes and clusters move up to the one around it."""
+        gone = self.clusters.where(F.col("cluster") == cluster).select(F.col("cluster").alias("_gone"), F.col("parent").alias("_up"))
+        kept = self.clusters.where(F.col("cluster") != cluster).join(F.broadcast(gone), F.col("parent") == F.col("_gone"), "left")
+        kept = kept.select("cluster", F.when(F.col("_gone").isNotNull(), F.col("_up")).otherwise(F.col("parent")).alias("parent"), "attrs")
+        moved = self.members.join(F.broadcast(gone), F.col("cluster") == F.col("_gone"), "left")
+        return self._with(clusters=kept, members=moved.select(F.when(F.col("_gone").isNotNull(), F.col("_up")).otherwise(F.col("cluster")).alias("cluster"), "id").where("cluster IS NOT NULL"))
+
+    def in_cluster(self, rows: DataFrame) -> Graph:
+        """Puts nodes into clusters: rows (cluster, id); a node's earlier cluster is left, of two new ones the smaller taken."""
+        new = rows.groupBy("id").agg(F.min("cluster").alias("cluster"))
+        return self._with(members=self.members.join(new, "id", "left_anti").select("cluster", "id").unionByName(new.select("cluster", "id")))
+
+    def by_directory(self, placed: DataFrame) -> Graph:
+        """Nodes in clusters that nest as their directories do; placed: (id, path) of nodes."""
+        of = self.nodes.select("id").join(placed.select("id", "path"), "id").groupBy("id").agg(F.min("path").alias("path"))
+        inner = of.select("id", expr.parent("path").alias("cluster")).where("cluster <> ''")
+        every = of.select(F.explode(expr.ancestors("path")).alias("cluster")).where("cluster <> ''").distinct()
+        label = F.create_map(F.lit("label"), expr.filename("cluster"))
+        up = F.nullif(expr.parent("cluster"), F.lit(""))
+        return self._with(clusters=every.select("cluster", up.alias("parent"), label.alias("attrs"))).in_cluster(inner)
 
 
 #: GR28: diagram menus and legends (static dimensions).
 DIAGRAM_TYPES = {"file": ["Component users", "Include dependency", "Interface"], "directory": ["External dependency", "External users", "Subsystem dependency"], "function": ["Function call"], "type": ["Detailed class", "Class collaboration"], "python": ["Function call", "Module", "Usage", "Class"]}
-LEGENDS = {"Function call": [("centre", "The function that the diagram is about"), ("callee", "A function that it calls"), ("caller", "A function that calls it")], "Detailed class": [("class", "The class that the diagram is about"), ("inherits", "Edge from a class to its base")], "Interface": [("PROVIDE", "The header whose declarations the file defines"), ("USE", "A file that is used"), ("INCLUDE", "A file that is included")]}
+_FILE_MARKS = [("centre", "The file that the diagram is about"), ("PROVIDE", "A file that defines what the other declares"), ("USE", "A file whose declarations the other uses")]
+_DIRECTORY_MARKS = [("centre", "The directory that the diagram is about"), ("directory", "A directory below it or beyond it")]
+LEGENDS = {
+    "Component users": _FILE_MARKS,
+    "Include dependency": [*_FILE_MARKS, ("INCLUDE", "A file that is included")],
+    "Interface": [("PROVIDE", "The header whose declarations the file defines"), ("USE", "A file that is used"), ("INCLUDE", "A file that is included")],
+    "External dependency": [*_DIRECTORY_MARKS, ("depends", "Edge to a directory that files of the other use")],
+    "External users": [*_DIRECTORY_MARKS, ("uses", "Edge from a directory whose files use files of the other")],
+    "Subsystem dependency": [*_DIRECTORY_MARKS, ("depends", "Edge between two directories below the centre")],
+    "Function call": [("centre", "The function that the diagram is about"), ("callee", "A function that it calls"), ("caller", "A function that calls it")],
+    "Detailed class": [("class", "The class that the diagram is about"), ("inherits", "Edge from a class to its base"), ("+", "public"), ("-", "private"), ("#", "protected"), ("bold", "static"), ("italics", "virtual")],
+    "Class collaboration": [("class", "The class that the diagram is about"), ("uses", "Edge to the type of data members, labelled with their names")],
+    "Module": [("centre", "The module that the diagram is about"), ("imports", "Edge to a module whose definitions it imports")],
+    "Usage": [("definition", "The definition that the diagram is about"), ("usage", "A place where it is used")],
+    "Class": [("class", "The class that the diagram is about"), ("inherits", "Edge from a class to its base"), ("member", "A method or attribute of the class")],
+}
 
 
 def legend(spark, diagram: str) -> DataFrame:
-    """GR28."""
-    return spark.createDataFrame(LEGENDS.get(diagram, []), "mark string, meaning string")
+    """GR28: an error for a diagram that there isn't."""
+    if diagram not in LEGENDS:
+        raise LookupError(f"no diagram {diagram}")
+    return spark.createDataFrame(LEGENDS[diagram], "mark string, meaning string")

@@ -220,15 +220,38 @@ class Navigation:
         t = vis.unionByName(own).distinct().groupBy("entity_hash").agg(F.array_sort(F.collect_set(F.struct("o", "tag"))).alias("ts"))
         return self._queried(ids).join(t, F.col("q_hash") == F.col("entity_hash")).select("query_id", F.transform("ts", lambda x: x["tag"]).alias("tags"))
 
+    def _described(self) -> DataFrame:
+        """(entity_hash, symbol_type, properties) of every entity; of its rows the one of the smallest node counts.  Columns
+        that a fact table doesn't have, and nulls, give no property."""
+
+        def of(table: str, symbol: str, props: dict[str, Column | str], rows: DataFrame | None = None) -> DataFrame:
+            t = self.f[table] if rows is None else rows
+            have = [x for k, v in props.items() if not isinstance(v, str) or v in t.columns for x in (F.lit(k), F.col(v).cast("string") if isinstance(v, str) else v)]
+            whole = F.map_filter(F.create_map(F.lit("Kind"), F.lit(symbol), *have), lambda k, v: v.isNotNull())
+            first = [c for c in ("ast_node_id", "qualified_name") if c in t.columns]
+            return t.groupBy("entity_hash").agg(F.min_by(whole, F.struct(*first)).alias("properties")).select("entity_hash", F.lit(symbol).alias("symbol_type"), "properties")
+
+        last = F.element_at(F.split("qualified_name", "::"), -1)
+        name = lambda t: F.col("name") if "name" in self.f[t].columns else last
+        flag = lambda t, c: F.when(F.col(c), "true") if c in self.f[t].columns else F.lit(None).cast("string")
+        typed, record = self.f["typed_entity"], self.f["record"]
+        types = record.groupBy(F.col("entity_hash").alias("type_hash")).agg(F.min("qualified_name").alias("_type"))
+        variable = typed.where("kind = 'Variable'").join(types, "type_hash", "left")
+        type_ = F.coalesce("qualified_type", "_type") if "qualified_type" in typed.columns else F.col("_type")
+        out = of("typed_entity", "Variable", {"Name": name("typed_entity"), "Qualified name": "qualified_name", "Type": type_}, variable)
+        out = out.unionByName(of("typed_entity", "Typedef", {"Name": name("typed_entity"), "Qualified name": "qualified_name"}, typed.where("kind = 'Typedef'")))
+        out = out.unionByName(of("function", "Function", {"Name": last, "Qualified name": "qualified_name", "Signature": "name"}))
+        marks = {"Abstract type": flag("record", "is_abstract"), "POD type": flag("record", "is_pod"), "Lambda": flag("record", "is_lambda")}
+        out = out.unionByName(of("record", "Type", marks | {"Name": name("record"), "Qualified name": "qualified_name", "Context": "context"}))
+        if "enum_constant" in self.f:
+            out = out.unionByName(of("enum_constant", "EnumConstant", {"Name": name("enum_constant"), "Qualified name": "qualified_name", "Value": "value"}))
+        return out
+
     def properties(self, ids) -> DataFrame:
-        """RF28: a map by what is known of the symbol."""
-        q = self._queried(ids)
-        fn = self.f["function"].select("entity_hash", "qualified_name", F.lit("Function").alias("kind"))
-        rec = self.f["record"].select("entity_hash", "qualified_name", F.lit("Type").alias("kind"))
-        typed = self.f["typed_entity"].select("entity_hash", "qualified_name", "kind")
-        named = fn.unionByName(rec).unionByName(typed).groupBy("entity_hash").agg(F.min(F.struct("kind", "qualified_name")).alias("p"))
-        v = F.create_map(F.lit("Kind"), F.col("p.kind"), F.lit("Name"), F.element_at(F.split("p.qualified_name", "::"), -1), F.lit("Qualified name"), F.col("p.qualified_name"))
-        return q.join(named, F.col("q_hash") == F.col("entity_hash")).select("query_id", v.alias("properties"))
+        """RF28: a map by the node's kind of symbol: functions have a signature, variables a type, types their marks and
+        context, enum constants a value.  Nodes of other kinds, and entities without facts, have no row."""
+        q = self._chosen(ids).select(F.col("id").alias("query_id"), "entity_hash", "symbol_type")
+        return q.join(self._described(), ["entity_hash", "symbol_type"]).select("query_id", "properties")
 
     def source_text(self, ids) -> DataFrame:
         """RF29: text of the node's range (FN3)."""
@@ -280,16 +303,33 @@ class Navigation:
         return graph.Graph.of(out.unionByName(into).distinct())
 
     def class_diagram(self, ids) -> graph.Graph:
-        """GR22: bases and derived classes of a class."""
+        """GR22: a class, its bases and derived classes, each node labelled with its members; edges go to the base.  A class
+        without either is a node alone."""
         up = self.inherit_from(ids).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.lit("inherits").alias("type"))
         down = self.inherit_by(ids).select(F.col("id").alias("src"), F.col("query_id").alias("dst"), F.lit("inherits").alias("type"))
-        return graph.Graph.of(up.unionByName(down).distinct())
+        g = graph.Graph.of(up.unionByName(down).distinct())
+        shown = g.nodes.select("id").unionByName(self._chosen(ids).select("id")).distinct()
+        attrs = F.create_map(F.lit("label"), F.col("html"), F.lit("shape"), F.lit("none"))
+        return graph.Graph(self.class_members_html(shown).select(F.col("query_id").alias("id"), attrs.alias("attrs")), g.edges)
 
     def class_members_html(self, ids) -> DataFrame:
-        """GR22: a table of each class's members."""
-        m = self.data_member(ids).select("query_id", F.lit(0).alias("o"), "ast_value").unionByName(self.method(ids).select("query_id", F.lit(1).alias("o"), "ast_value"))
-        row = F.concat(F.lit("<tr><td>"), expr.html_escape("ast_value"), F.lit("</td></tr>"))
-        return m.groupBy("query_id").agg(F.concat(F.lit("<table>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", row.alias("r")))), lambda x: x["r"]), ""), F.lit("</table>")).alias("html"))
+        """GR22: each class as a table: its name, then its data members with their types, then its methods with a name; a
+        sign for the visibility, static members in bold, virtual ones in italics."""
+        data = self.data_member(ids).select("query_id", F.lit(0).alias("o"), "id", "ast_value")
+        m = data.unionByName(self.method(ids).where("ast_value <> ''").select("query_id", F.lit(1).alias("o"), "id", "ast_value"))
+        of = m.select("id").distinct()
+        tags = self.tags(of).select(F.col("query_id").alias("id"), "tags")
+        types = self.properties(of).select(F.col("query_id").alias("id"), F.col("properties")["Type"].alias("type"))
+        m = m.join(tags, "id", "left").join(types, "id", "left")
+        has = lambda tag: F.coalesce(F.array_contains("tags", tag), F.lit(False))
+        marked = lambda cond, tag, c: F.when(cond, F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))).otherwise(c)
+        sign = F.when(has("public"), "+").when(has("private"), "-").when(has("protected"), "#").otherwise("")
+        text = expr.html_escape(F.concat("ast_value", F.when((F.col("o") == 0) & F.col("type").isNotNull(), F.concat(F.lit(" : "), "type")).otherwise("")))
+        row = F.concat(F.lit("<tr><td>"), sign, F.lit("</td><td>"), marked(has("static"), "b", marked(has("virtual"), "i", text)), F.lit("</td></tr>"))
+        rows = m.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("o", "ast_value", "id", row.alias("r")))).alias("rs"))
+        head = self._chosen(ids).select(F.col("id").alias("query_id"), F.concat(F.lit("<table><tr><td colspan='2'>"), expr.html_escape("ast_value"), F.lit("</td></tr>")).alias("head"))
+        body = F.coalesce(F.array_join(F.transform("rs", lambda x: x["r"]), ""), F.lit(""))
+        return head.join(rows, "query_id", "left").select("query_id", F.concat("head", body, F.lit("</table>")).alias("html"))
 
     def collaboration_diagram(self, ids) -> DataFrame:
         """GR23: class -> types of its data members; parallel edges merged, member names joined by ', '."""

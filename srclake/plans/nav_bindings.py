@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from ..operators.nav import Navigation
 from ..operators.nav_py import PythonNavigation
 from .bindings import query
@@ -39,12 +40,12 @@ def _facts(x: Views) -> dict[str, DataFrame]:
     u = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("entity_hash"), F.min("l_returnflag").alias("flag"))
     u = u.select((10_000_000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "entity_hash", F.lit("use").alias("ast_value"), F.when((flag == "N") & (line != 5), "Variable").otherwise("Function").alias("symbol_type"), F.when(line == 4, "Declaration").when(line == 5, "VirtualCall").when(line == 6, "UnDefinition").when(flag == "R", "Usage").when(flag == "A", "Read").otherwise("Write").alias("ast_type"), ((line % 2 == 1) | (F.col("l_orderkey") % 2 == 1)).alias("visible"), (F.col("l_orderkey") % 50).alias("file_id"), (F.col("l_orderkey") % 211).cast("int").alias("start_line"), F.col("l_linenumber").cast("int").alias("start_col"), (F.col("l_orderkey") % 211).cast("int").alias("end_line"), (F.col("l_linenumber") + 1).cast("int").alias("end_col"))
     key = F.col("p_partkey")
-    fn = p.select(key.alias("ast_node_id"), key.alias("entity_hash"), F.col("p_name").alias("qualified_name"), F.floor(key / 4).alias("type_hash"), F.filter(F.array(key - 1, key - 2, key - 3), lambda k: k >= 1).alias("parameters"), F.array(F.floor(key / 5)).alias("locals"), F.array(F.col("p_brand")).alias("tags"))
+    fn = p.select(key.alias("ast_node_id"), key.alias("entity_hash"), F.concat("p_name", F.lit("()")).alias("name"), F.col("p_name").alias("qualified_name"), F.floor(key / 4).alias("type_hash"), F.filter(F.array(key - 1, key - 2, key - 3), lambda k: k >= 1).alias("parameters"), F.array(F.floor(key / 5)).alias("locals"), F.array(F.col("p_brand")).alias("tags"))
     return {
         "ast_node": d.unionByName(u), "function": fn,
         "inheritance": p.where("p_partkey >= 2").select(key.alias("derived"), F.floor(key / 2).alias("base")),
         "relation": p.where("p_partkey >= 3").select(key.alias("lhs"), F.floor(key / 3).alias("rhs"), F.lit("Override").alias("kind")).unionByName(p.where("p_partkey >= 5").select(key.alias("lhs"), F.floor(key / 5).alias("rhs"), F.lit("Assign").alias("kind"))),
-        "record": p.where("p_partkey < 0").select(key.alias("entity_hash"), F.col("p_name").alias("qualified_name")),
+        "record": p.select(key.alias("ast_node_id"), key.alias("entity_hash"), F.concat("p_brand", F.lit("::"), "p_name").alias("qualified_name"), (key % 3 == 0).alias("is_abstract"), F.col("p_type").alias("context")),
         "macro_expansion": p.select(key.alias("ast_node_id"), F.col("p_type").alias("expansion")),
         "member_type": p.select(F.floor(key / 10).alias("type_hash"), key.alias("member_ast_node"), F.when(key % 2 == 0, "Field").otherwise("Method").alias("kind"), F.lit("public").alias("visibility")),
         "friendship": p.where("p_partkey >= 7").select(F.floor(key / 7).alias("target"), key.alias("the_friend")),
@@ -133,6 +134,21 @@ def _(x):
     return p.select("query_id", F.col("properties")["Kind"].alias("kind"), F.col("properties")["Qualified name"].alias("name"))
 
 
+#: Nodes of three kinds, by the remainder modulo 3: functions, types, variables (even parts) or typedefs.
+_KINDS = "CASE p_partkey % 3 WHEN 0 THEN 'Function' WHEN 1 THEN 'Type' ELSE CASE p_partkey % 2 WHEN 0 THEN 'Variable' ELSE 'Typedef' END END"
+
+
+@query("rf28_by_kind", f"SELECT p.p_partkey AS query_id, {_KINDS.replace('p_partkey', 'p.p_partkey')} AS kind, CASE p.p_partkey % 3 WHEN 1 THEN p.p_brand || '::' || p.p_name ELSE p.p_name END AS qualified, CASE p.p_partkey % 3 WHEN 0 THEN p.p_name || '()' END AS signature, CASE WHEN p.p_partkey % 6 = 2 THEN t.p_brand || '::' || t.p_name END AS type, CASE WHEN p.p_partkey % 3 = 1 THEN p.p_type END AS context FROM part p LEFT JOIN part t ON t.p_partkey = p.p_partkey // 6")
+def _(x):
+    facts = _facts(x)
+    k = F.col("id")
+    kind = F.when(k % 3 == 0, "Function").when(k % 3 == 1, "Type").when(k % 2 == 0, "Variable").otherwise("Typedef")
+    facts["ast_node"] = facts["ast_node"].where("ast_type = 'Definition'").withColumn("symbol_type", kind)
+    p = Navigation(facts).properties(_ids(x))
+    at = lambda key, name: F.col("properties")[key].alias(name)
+    return p.select("query_id", at("Kind", "kind"), at("Qualified name", "qualified"), at("Signature", "signature"), at("Type", "type"), at("Context", "context"))
+
+
 @query("rf32_in_file", f"SELECT q.id AS query_id, n.id FROM {NODES} q JOIN {NODES} n USING (entity_hash) WHERE q.id IN {_IN} AND n.file_id = 3")
 def _(x):
     return Navigation(_facts(x)).references(_ids(x), "usage", in_file=3).select("query_id", "id")
@@ -163,6 +179,23 @@ def _(x):
     return Navigation(_facts(x)).class_diagram(_ids(x)).edges.select("src", "dst").distinct()
 
 
+_ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query("gr22_class_labels", f"SELECT q.p_partkey AS id, '<table><tr><td colspan=''2''>' || {_ESCAPED.format('any_value(q.p_name)')} || '</td></tr>' || coalesce(string_agg('<tr><td>+</td><td>' || {_ESCAPED.format('m.p_name')} || '</td></tr>', '' ORDER BY m.p_partkey % 2, m.p_name, m.p_partkey), '') || '</table>' AS label FROM part q LEFT JOIN part m ON m.p_partkey // 10 = q.p_partkey GROUP BY q.p_partkey")
+def _(x):
+    return Navigation(_facts(x)).class_diagram(_ids(x)).nodes.select("id", F.col("attrs")["label"].alias("label"))
+
+
+@query("gr27_clusters", "WITH f AS (SELECT p_partkey AS id, '/' || p_brand || '/' || p_type AS dir, '/' || p_brand AS up FROM part WHERE p_partkey IN (SELECT p_partkey FROM part WHERE p_partkey >= 2 UNION SELECT p_partkey // 2 FROM part WHERE p_partkey >= 2)) SELECT dir AS cluster, any_value(up) AS parent, count(*) AS n FROM f GROUP BY dir UNION ALL SELECT DISTINCT up, NULL, 0 FROM f")
+def _(x):
+    edges = x.table("part").where("p_partkey >= 2").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst"))
+    path = F.concat(F.lit("/"), "p_brand", F.lit("/"), "p_type", F.lit("/"), F.col("p_partkey").cast("string"))
+    g = graph.Graph.of(edges).by_directory(x.table("part").select(F.col("p_partkey").alias("id"), path.alias("path")))
+    n = g.members.groupBy("cluster").agg(F.count("*").alias("n"))
+    return g.clusters.join(n, "cluster", "left").select("cluster", "parent", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 # --- Python names: parts define (functions and statements), line items use ------------------------------------------
 
 NAMES = """(

@@ -142,7 +142,23 @@ def dot(graph: Graph, name: str = "G", limit: int = 10_000) -> str:
     nodes = graph.nodes.limit(2 * limit + 2).collect()
     if len(edges) > limit:
         raise ValueError(f"more than {limit} edges")
-    lines = sorted(f"  {q(r['id'])}{attrs(r['attrs'])};" for r in nodes) + sorted(f"  {q(r['src'])} -> {q(r['dst'])}{attrs(r['attrs'])};" for r in edges)
+    node = {r["id"]: f"{q(r['id'])}{attrs(r['attrs'])};" for r in nodes}
+    cluster = {r["cluster"]: (r["parent"], r["attrs"]) for r in graph.clusters.limit(limit + 1).collect()}
+    inside: dict = {}
+    for r in graph.members.limit(2 * limit + 2).collect():
+        if r["cluster"] in cluster and r["id"] in node:
+            inside.setdefault(r["cluster"], []).append(node.pop(r["id"]))
+    below: dict = {}
+    for c, (parent, _) in cluster.items():
+        below.setdefault(parent if parent in cluster else None, []).append(c)
+
+    def block(c: str, pad: str) -> list[str]:
+        own = [f"{pad}  {k}={q(v)};" for k, v in sorted((cluster[c][1] or {}).items())]
+        rest = [x for d in sorted(below.get(c, [])) for x in block(d, pad + "  ")]
+        return [f"{pad}subgraph {q(f'cluster_{c}')} {{", *own, *rest, *(f"{pad}  {x}" for x in sorted(inside.get(c, []))), f"{pad}}}"]
+
+    lines = [x for c in sorted(below.get(None, [])) for x in block(c, "  ")]
+    lines += sorted(f"  {x}" for x in node.values()) + sorted(f"  {q(r['src'])} -> {q(r['dst'])}{attrs(r['attrs'])};" for r in edges)
     return "\n".join([f"digraph {name} {{", *lines, "}"])
 
 

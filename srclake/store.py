@@ -101,6 +101,7 @@ SCHEMAS = {
     "header_inclusion": "includer long, included long",
     "typed_entity": "ast_node_id long, entity_hash long, name string, qualified_name string, type_hash long, kind string",
     "enumeration": "ast_node_id long, entity_hash long, constants array<long>",
+    "enum_constant": "ast_node_id long, entity_hash long, name string, qualified_name string, value long",
     "macro_expansion": "ast_node_id long, expansion string",
     "doc_comment": "content_hash long, content string, entity_hash long",
     "build_action": "id long, command string, type string",
