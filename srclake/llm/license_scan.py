@@ -1,7 +1,9 @@
 """License scans with DataFrame functions only: phrase places, and an exact set-similarity join of blocks and templates.
 
-A text block (LINES consecutive lines, as notices are wrapped; one for each line) holds a template if at least
-`threshold` of the template's distinct words are among the block's.  The join orders the templates' words by the number
+A text block starts at each line: LINES consecutive lines, and while these have fewer words after the first line than the
+longest template, the next lines of the paragraph (up to a line without words).  So a notice that stands in one paragraph
+is within the block of its first line, however narrowly it is wrapped.  A block holds a template if at least `threshold`
+of the template's distinct words are among the block's.  The join orders the templates' words by the number
 of documents they are in, rarest first.  A template of n words that needs a of them must share one of its n - a + 1
 rarest with the block, and only those are joined (prefix filter); a block of fewer than a template words can't hold it
 (length filter); and from the shared word on, a words must be left in the block's order (positional filter).  What
@@ -12,7 +14,8 @@ whole documents then choose the few texts that are read again and cut into block
 
 Defined results: a null text is empty: no words, no places, null first and last word, no labels, score 0.  Words,
 places and blocks are those of the whole text, however long.  Repeated rows get a row each; labels are those of a row's
-own text, also where rows share a doc_id or have none.  Empty tables give no rows.  Other columns are ignored.
+own text, also where rows share a doc_id or have none.  A notice cut by empty lines is found if it lies within LINES
+lines.  Empty tables give no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ TEMPLATES = [
     ("text:mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("text:mpl", "this source code form is subject to the terms of the mozilla public license"),
 ]
-#: Lines of a block.
+#: Lines that a block has at least.
 LINES = 3
 #: The templates' words are sent to all executors, so there may be no more.
 MOST_WORDS = 10_000
@@ -72,6 +75,20 @@ def phrase_places(docs: DataFrame, phrases: dict[str, str], norm: str = "norm")
     return docs.withColumns({"n_base": F.when(hit, count).otherwise(0).cast("long"), "first_word": F.when(hit, first), "last_word": F.when(hit, last), "base": F.when(hit, labels).otherwise(F.array().cast("array<string>"))})
 
 
+def line_blocks(lines: Column, longest: int) -> Column:
+    """The blocks' words with spaces between.  lines: an array of (words with spaces between, number of words)."""
+
+    def add(acc: Column, line: Column) -> Column:
+        open_ = acc["open"] & (line["n"] > 0)
+        take = (acc["k"] < LINES - 1) | (open_ & (acc["n"] < longest))
+        more = F.struct(F.concat_ws(" ", acc["text"], line["words"]).alias("text"), (acc["n"] + line["n"]).alias("n"), (acc["k"] + 1).alias("k"), open_.alias("open"))
+        return F.when(take, more).otherwise(F.struct(acc["text"].alias("text"), acc["n"].alias("n"), acc["k"].alias("k"), F.lit(False).alias("open")))
+
+    start = lambda line: F.struct(line["words"].alias("text"), F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(True).alias("open"))
+    # each further line has a word at least, so `longest` lines are enough
+    return F.transform(lines, lambda line, i: F.aggregate(F.slice(lines, i + 2, F.lit(max(longest, LINES))), start(line), add, lambda acc: acc["text"]))
+
+
 def template_index(templates: DataFrame, order: list[str], threshold: float) -> DataFrame:
     """Each template's words in global order: label, word, position (from 1), size, need, in_prefix, wording."""
     words = templates.select("label", F.array_intersect(F.array(*map(F.lit, order)), words_of(F.col("wording"))).alias("wording"))
@@ -93,8 +110,9 @@ def containment_join(blocks: DataFrame, index: DataFrame, *key: str) -> DataFram
     return verified.select(*key, "label", (F.col("overlap") / F.col("size")).alias("containment"))
 
 
-def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.8, text_col: str = "text", id_col: str = "doc_id", lines: int = LINES) -> DataFrame:
-    """Per row: id, n_words, n_base, first_word, last_word, base (labels), found (labels), best (largest containment)."""
+def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.8, text_col: str = "text", id_col: str = "doc_id", lines: int | None = None) -> DataFrame:
+    """Per row: id, n_words, n_base, first_word, last_word, base (labels), found (labels), best (largest containment).  A
+    number of lines makes all blocks as long."""
     spark = documents.sparkSession
     vocabulary = sorted({w for _, t in templates for w in re.sub(NON_WORD, " ", t.translate(str.maketrans(UPPER, LOWER))).split(" ") if w})
     if len(vocabulary) > MOST_WORDS:
@@ -114,7 +132,13 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phr
     small = F.broadcast if maybe.count() <= BROADCAST_ROWS else (lambda df: df)
     texts = docs.select("row", "text").join(small(maybe), "row", "left_semi")
     split = texts.select("row", F.explode(F.array(F.split("text", "\n"))).alias("all"))
-    cut = split.select("row", F.posexplode(F.transform("all", lambda _, i: F.array_join(F.slice(F.col("all"), i + 1, F.lit(lines)), " "))).alias("block", "text"))
+    if lines is None:
+        longest = max((len([w for w in re.split(NON_WORD, t) if w]) for _, t in templates), default=0)
+        counted = lambda x: F.struct(F.array_join(words_of(x), " ").alias("words"), F.size(words_of(x)).alias("n"))
+        split = split.select("row", F.explode(F.array(F.transform("all", counted))).alias("all"))  # each line's words once
+        cut = split.select("row", F.posexplode(line_blocks(F.col("all"), longest)).alias("block", "text"))
+    else:
+        cut = split.select("row", F.posexplode(F.transform("all", lambda _, i: F.array_join(F.slice(F.col("all"), i + 1, F.lit(lines)), " "))).alias("block", "text"))
     blocks = cut.select("row", "block", in_order(words_of(F.col("text")), order).alias("words"))
     found = containment_join(blocks, index, "row", "block")
     labels = found.groupBy("row").agg(F.sort_array(F.collect_set("label")).alias("found"), F.max("containment").alias("best"))
@@ -134,6 +158,7 @@ def op5_license_scan(spark, sf_dir: str) -> DataFrame:
 
 _NORMAL = r"""' ' || trim(regexp_replace(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') || ' '"""
 _EITHER = "|".join(PHRASES)
+_LONGEST = max(len(t.split(" ")) for _, t in TEMPLATES)
 OP5_SQL = f"""
 WITH r AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 d AS (SELECT r, doc_id, {_NORMAL.format("text")} AS n, text FROM r),
@@ -147,8 +172,17 @@ places AS (
 b AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS base FROM places GROUP BY r),
 t(label, wording) AS (VALUES {", ".join(f"('{label}', '{t}')" for label, t in TEMPLATES)}),
 tw AS (SELECT label, list_distinct(string_split(wording, ' ')) AS tws FROM t),
-s AS (SELECT r, string_split(text, chr(10)) AS ls FROM d),
-k AS (SELECT r, array_to_string(list_slice(ls, i, i + {LINES - 1}), ' ') AS block FROM s, unnest(range(1, len(ls) + 1)) u(i)),
+s AS (SELECT r, [trim({_NORMAL.format("x")}, ' ') FOR x IN string_split(text, chr(10))] AS ls FROM d),
+ln AS (SELECT r, unnest(range(1, len(ls) + 1)) AS i, unnest([CASE WHEN x = '' THEN 0 ELSE len(string_split(x, ' ')) END FOR x IN ls]) AS n FROM s),
+c AS (
+  SELECT r, i, n, sum(n) OVER (PARTITION BY r ORDER BY i) AS cum,
+         min(CASE WHEN n = 0 THEN i END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS blank FROM ln
+),
+e AS (
+  SELECT a.r, a.i, greatest(a.i + {LINES - 1}, least(coalesce(b.i, 1000000000), coalesce(a.blank - 1, 1000000000))) AS e
+  FROM c a ASOF LEFT JOIN (SELECT r, i, cum FROM c WHERE n > 0) b ON a.r = b.r AND a.cum + {_LONGEST} <= b.cum
+),
+k AS (SELECT r, array_to_string(list_slice(ls, i, e), ' ') AS block FROM e JOIN s USING (r)),
 l AS (SELECT r, list_distinct(string_split(trim({_NORMAL.format("block")}, ' '), ' ')) AS lws FROM k),
 m AS (
   SELECT r, label, CAST(len(list_intersect(lws, tws)) AS DOUBLE) / len(tws) AS c

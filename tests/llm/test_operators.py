@@ -334,6 +334,32 @@ def test_license_notices_wrapped_and_shared_ids(spark):
     assert got == [(0, 1, 0, ""), (0, 2, 1, ""), (1, 2, 0, ""), (1, 16, 0, "text:mit"), (2, 16, 0, ""), (3, 4, 1, "")]
 
 
+def test_license_notices_wrapped_narrowly(spark):
+    """However few words a line has, within a paragraph; the result is that of blocks made one by one."""
+    mit = dict(license_scan.TEMPLATES)["text:mit"].split()
+    rng = random.Random(5)
+    texts = ["\n".join(f"// {' '.join(mit[i : i + k])}" for i in range(0, len(mit), k)) for k in (1, 2, 3, 5)]  # 18, 9, 6 and 4 lines
+    texts += ["many words before it " * 30 + texts[0], texts[1].replace("\n", "\n\n"), texts[1].replace("\n", "\n//\n"), "\n\n" + texts[2] + "\n\nend", "x\n" * 500 + texts[0]]
+    every = [w for _, t in license_scan.TEMPLATES for w in t.split()]
+    for _ in range(60):
+        texts.append("\n".join(" ".join(rng.choice(every) for _ in range(rng.choice((0, 1, 2, 8)))) for _ in range(rng.randrange(1, 40))))
+    longest = max(len(t.split()) for _, t in license_scan.TEMPLATES)
+
+    def blocks(text):
+        ls = [re.findall("[a-z0-9]+", x.lower()) for x in text.split("\n")]
+        for i in range(len(ls)):
+            j = i + 1
+            while j < len(ls) and ls[j] and sum(map(len, ls[i + 1 : j])) < longest:
+                j += 1
+            yield {w for x in ls[i : max(j, i + license_scan.LINES)] for w in x}
+
+    got = {r["doc_id"]: set(r["found"]) for r in license_scan.scan(docs(spark, [(i, x, None) for i, x in enumerate(texts)])).collect()}
+    for i, x in enumerate(texts):
+        assert got[i] == {lab for lab, t in license_scan.TEMPLATES if any(len(b & set(t.split())) >= math.ceil(0.8 * len(set(t.split())) - 1e-9) for b in blocks(x))}
+    assert all("text:mit" in got[i] for i in (0, 1, 2, 3, 4, 7, 8))
+    assert not any("text:mit" in got[i] for i in (5, 6))
+
+
 # --- 6
 
 
