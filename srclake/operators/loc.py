@@ -62,14 +62,26 @@ def lines_of_code(files: DataFrame, done: DataFrame | None = None, file: str = "
     return f.select(file, F.explode(n).alias("m")).select(file, "m.type", "m.metric").where("metric > 0")
 
 
-def loc_tree(metrics: DataFrame, files: DataFrame, directory: str, types: list[str], metric_type: int) -> str:
-    """MT15, SNK5: nested JSON of a directory's metrics; '' without types.  The result is one document for the caller,
-    so the directory's rows go to the driver."""
+def loc_entries(metrics: DataFrame, files: DataFrame, directory: str, types: list[str], metric_type: int) -> DataFrame:
+    """MT15: path, parent, is_dir, metric of a directory's files of some types and of the directories that lead to them,
+    whose metric is the sum of their files'."""
+    chosen = files.where(F.col("type").isin(*types) & expr.under("path", F.lit(directory))).select("id", "path")
+    rows = metrics.where(F.col("type") == metric_type).join(chosen, "id").select("path", F.col("metric").cast("long").alias("metric"))
+    dirs = rows.select(F.explode(expr.ancestors("path")).alias("path"), "metric").where("path <> ''").groupBy("path").agg(F.sum("metric").alias("metric"))
+    both = rows.withColumn("is_dir", F.lit(False)).unionByName(dirs.withColumn("is_dir", F.lit(True)))
+    return both.select("path", expr.parent("path").alias("parent"), "is_dir", "metric")
+
+
+def loc_tree(metrics: DataFrame, files: DataFrame, directory: str, types: list[str], metric_type: int, limit: int = 100_000) -> str:
+    """MT15, SNK5: nested JSON of a directory's metrics; '' without types.  The result is one document for one reader, so
+    a directory of more than `limit` files is an error; loc_entries has no bound."""
     if not types:
         return ""
-    rows = metrics.where(F.col("type") == metric_type).join(files.where(F.col("type").isin(*types) & expr.under("path", F.lit(directory))).select("id", "path"), "id").select("path", "metric")
+    rows = loc_entries(metrics, files, directory, types, metric_type).where("NOT is_dir").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} files")
     tree: dict = {}
-    for r in rows.toLocalIterator():
+    for r in rows:
         at = tree
         *dirs, name = r["path"].split("/")
         for d in dirs:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,6 +83,22 @@ def prefix(posts: DataFrame, start: str, doc: str = "doc_id") -> DataFrame:
     return _by_dictionary(posts, F.startswith(F.col("term"), F.lit(start)), doc)
 
 
+def definition_search(tags: DataFrame, terms: list[tuple[str | None, str]], doc: str = "doc_id") -> DataFrame:
+    """SR6: tags (doc, name, kind, line) that a definition query shows.  terms: (kind or None for any, pattern of ? and *).
+
+    A document is found by any term, within the term's kind.  Of a found document the tags that some pattern fits are
+    shown; the kinds asked for are remembered, and once there is one, tags of other kinds aren't shown."""
+    if not terms:
+        return tags.limit(0)
+    fits = lambda pattern: F.lower("name").like(like_pattern(pattern.lower()))
+    any_ = lambda conds: functools.reduce(lambda x, y: x | y, conds)
+    hit = any_([fits(p) & (F.col("kind") == k) if k is not None else fits(p) for k, p in terms])
+    found = tags.where(hit).select(doc).distinct()
+    kinds = [k for k, _ in terms if k is not None]
+    shown = tags.where(any_([fits(p) for _, p in terms]))
+    return (shown.where(F.col("kind").isin(*kinds)) if kinds else shown).join(found, doc, "left_semi")
+
+
 def definitions(tags: DataFrame, term: str, kinds: list[str] | None = None) -> DataFrame:
     """SR6: tags (doc_id, name, kind, line) of a name, by kind."""
     t = tags.where(F.lower("name") == term.lower())

@@ -331,6 +331,19 @@ def _(x):
     return loc.lines_of_code(x.files())
 
 
+_CHOSEN = f"(SELECT path, CASE WHEN content <> '' THEN {ints('len(string_split(content, chr(10)))')} END AS metric FROM {v.FILES} WHERE type IN ('en', 'de', 'fr'))"
+
+
+@query("mt15_loc_entries", f"SELECT path, array_to_string(list_slice(string_split(path, '/'), 1, -2), '/') AS parent, false AS is_dir, metric FROM {_CHOSEN} WHERE metric > 0 UNION ALL SELECT dir, array_to_string(list_slice(string_split(dir, '/'), 1, -2), '/'), true, {ints('sum(metric)')} FROM (SELECT array_to_string(list_slice(string_split(path, '/'), 1, i), '/') AS dir, metric FROM {_CHOSEN}, unnest(range(2, len(string_split(path, '/')))) u(i) WHERE metric > 0) GROUP BY dir")
+def _(x):
+    return loc.loc_entries(loc.lines_of_code(x.files()), x.files(), "", ["en", "de", "fr"], loc.ORIGINAL)
+
+
+@query("fn6_without_blank_lines", f"SELECT id, sha1({_BARE}) AS h FROM (SELECT id, string_split(content, chr(10)) AS ls FROM {v.FILES})")
+def _(x):
+    return x.files().select("id", expr.sha1(expr.without_blank_lines("content")).alias("h"))
+
+
 @query("mt17_tree_rollup", f"SELECT array_to_string(list_slice(string_split(path, '/'), 1, i), '/') AS dir, {ints('sum(n_chars)')} AS n_chars, count(*) AS files FROM {v.FILES}, unnest(range(2, len(string_split(path, '/')))) u(i) GROUP BY 1")
 def _(x):
     return paths.rollup(x.files(), "path", "n_chars")
@@ -582,6 +595,13 @@ def _(x):
     return search.definitions(t, "Brand#7").where("kind LIKE '%A%'").select("doc_id", "kind")
 
 
+@query("sr6_by_kind", "WITH t AS (SELECT p_partkey AS tag, p_size AS doc_id, lower(p_brand) AS name, p_type AS kind FROM part), k AS (SELECT min(kind) AS a, max(kind) AS b FROM t) SELECT tag, doc_id FROM t, k WHERE kind IN (a, b) AND (name LIKE 'brand#1%' OR name LIKE '%#_2') AND doc_id IN (SELECT doc_id FROM t, k WHERE name LIKE 'brand#1%' AND kind = a OR name LIKE '%#_2' AND kind = b)")
+def _(x):
+    t = x.table("part").select(F.col("p_partkey").alias("tag"), F.col("p_size").alias("doc_id"), F.col("p_brand").alias("name"), F.col("p_type").alias("kind"))
+    a, b = t.agg(F.min("kind"), F.max("kind")).first()
+    return search.definition_search(t, [(a, "Brand#1*"), (b, "*#?2")]).select("tag", "doc_id")
+
+
 _NEXT = f"(SELECT *, min(CASE WHEN term = 'from' THEN position END) OVER w AS f, min(CASE WHEN term = 'with' THEN position END) OVER w AS u FROM {v.POSTINGS} WHERE term IN ('with', 'from') WINDOW w AS (PARTITION BY doc_id ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))"
 #: Of two terms each place matches the other's next one, if it is near enough.
 _MATCHES = f"(SELECT doc_id, position AS first, n AS last, 3 - (n - position - step) * (n - position - step) / 441.0::DOUBLE AS score FROM (SELECT doc_id, position, CASE WHEN term = 'with' THEN f ELSE u END AS n, CASE WHEN term = 'with' THEN 1 ELSE -1 END AS step FROM {_NEXT}) WHERE n - position <= 20)"

@@ -149,6 +149,15 @@ def _(x):
     return p.select("query_id", at("Kind", "kind"), at("Qualified name", "qualified"), at("Signature", "signature"), at("Type", "type"), at("Context", "context"))
 
 
+@query("rf30_highlight", r"WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS t FROM documents), p AS (SELECT doc_id, line, string_split_regex(t, '\bwith\b') AS xs FROM l WHERE regexp_matches(t, '\bwith\b')) SELECT doc_id AS query_id, line, CAST(list_sum([length(x) FOR x IN list_slice(xs, 1, i)]) + (i - 1) * 4 + 1 AS BIGINT) AS start_col FROM p, unnest(range(1, len(xs))) u(i)")
+def _(x):
+    """Each document is a node that spans its lines."""
+    d = x.table("documents").where("text IS NOT NULL")
+    node = d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("entity_hash"), F.lit("d").alias("ast_value"), F.lit("File").alias("symbol_type"), F.lit("Usage").alias("ast_type"), F.lit(True).alias("visible"), F.col("doc_id").alias("file_id"), F.lit(1).alias("start_line"), F.lit(1).alias("start_col"), F.size(F.split("text", "\n")).alias("end_line"), F.lit(1).alias("end_col"))
+    facts = {"ast_node": node, "file": d.select(F.col("doc_id").alias("id"), F.sha1("text").alias("content_hash")), "file_content": d.select(F.sha1("text").alias("hash"), F.col("text").alias("content")).dropDuplicates(["hash"])}
+    return Navigation(facts).highlight(d.select(F.col("doc_id").alias("id")), "with").select("query_id", F.col("line").cast("long").alias("line"), F.col("start_col").cast("long").alias("start_col"))
+
+
 @query("rf32_in_file", f"SELECT q.id AS query_id, n.id FROM {NODES} q JOIN {NODES} n USING (entity_hash) WHERE q.id IN {_IN} AND n.file_id = 3")
 def _(x):
     return Navigation(_facts(x)).references(_ids(x), "usage", in_file=3).select("query_id", "id")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from srclake.operators import graph
+from srclake.operators import graph, loc, search
 from srclake.operators.nav import Navigation
 from srclake.service import Metrics, ProjectTree
 from srclake.sources import files
@@ -121,3 +121,25 @@ def test_project_service(spark):
     for missing in (lambda: p.file_by_path("/no"), lambda: p.parent(1)):
         with pytest.raises(LookupError):
             missing()
+
+
+def test_loc_tree_and_its_bound(spark):
+    f = spark.createDataFrame([(1, "CPP", "/s/a/x.cpp"), (2, "CPP", "/s/y.cpp"), (3, "Java", "/s/a/Z.java"), (4, "CPP", "/t/q.cpp"), (5, None, "/s/none")], "id long, type string, path string")
+    m = spark.createDataFrame([(1, 1, 10), (1, 2, 8), (2, 1, 5), (3, 1, 7), (4, 1, 1), (5, 1, 1)], "id long, type int, metric int")
+    got = sorted(tuple(r) for r in loc.loc_entries(m, f, "/s", ["CPP", "Java"], 1).collect())
+    assert got == [("/s", "", True, 22), ("/s/a", "/s", True, 17), ("/s/a/Z.java", "/s/a", False, 7), ("/s/a/x.cpp", "/s/a", False, 10), ("/s/y.cpp", "/s", False, 5)]
+    assert loc.loc_tree(m, f, "/s", ["CPP"], 1) == '{"": {"s": {"a": {"x.cpp": 10}, "y.cpp": 5}}}'
+    assert loc.loc_tree(m, f, "/s", [], 1) == ""
+    with pytest.raises(ValueError, match="more than 1"):
+        loc.loc_tree(m, f, "/s", ["CPP"], 1, limit=1)
+
+
+def test_definition_search_remembers_kinds(spark):
+    tags = [(1, "Parser", "Class", 1), (1, "parse", "Function", 2), (1, "parser", "Variable", 3), (2, "parser", "Function", 1), (3, "Other", "Class", 1), (4, None, "Class", 1), (5, "parser", None, 1)]
+    t = spark.createDataFrame(tags, "doc_id int, name string, kind string, line int")
+    find = lambda *terms: sorted((r["doc_id"], r["line"]) for r in search.definition_search(t, list(terms)).collect())
+    assert find((None, "PARSER")) == [(1, 1), (1, 3), (2, 1), (5, 1)]
+    assert find(("Class", "parser")) == [(1, 1)]
+    assert find(("Class", "pars*"), ("Function", "nothing")) == [(1, 1), (1, 2)]  # tags of the other kind asked for are shown too
+    assert find(("Class", "p?rser"), (None, "other")) == [(1, 1), (3, 1)]
+    assert find() == []
