@@ -220,7 +220,7 @@ class Navigation:
         t = vis.unionByName(own).distinct().groupBy("entity_hash").agg(F.array_sort(F.collect_set(F.struct("o", "tag"))).alias("ts"))
         return self._queried(ids).join(t, F.col("q_hash") == F.col("entity_hash")).select("query_id", F.transform("ts", lambda x: x["tag"]).alias("tags"))
 
-    def _described(self) -> DataFrame:
+    def _described(self, variables_only: bool = False) -> DataFrame:
         """(entity_hash, symbol_type, properties) of every entity; of its rows the one of the smallest node counts.  Columns
         that a fact table doesn't have, and nulls, give no property."""
 
@@ -239,6 +239,8 @@ class Navigation:
         variable = typed.where("kind = 'Variable'").join(types, "type_hash", "left")
         type_ = F.coalesce("qualified_type", "_type") if "qualified_type" in typed.columns else F.col("_type")
         out = of("typed_entity", "Variable", {"Name": name("typed_entity"), "Qualified name": "qualified_name", "Type": type_}, variable)
+        if variables_only:
+            return out
         out = out.unionByName(of("typed_entity", "Typedef", {"Name": name("typed_entity"), "Qualified name": "qualified_name"}, typed.where("kind = 'Typedef'")))
         out = out.unionByName(of("function", "Function", {"Name": last, "Qualified name": "qualified_name", "Signature": "name"}))
         marks = {"Abstract type": flag("record", "is_abstract"), "POD type": flag("record", "is_pod"), "Lambda": flag("record", "is_lambda")}
@@ -319,8 +321,8 @@ class Navigation:
         m = data.unionByName(self.method(ids).where("ast_value <> ''").select("query_id", F.lit(1).alias("o"), "id", "ast_value"))
         of = m.select("id").distinct()
         tags = self.tags(of).select(F.col("query_id").alias("id"), "tags")
-        types = self.properties(of).select(F.col("query_id").alias("id"), F.col("properties")["Type"].alias("type"))
-        m = m.join(tags, "id", "left").join(types, "id", "left")
+        named = self._chosen(of).select("id", "entity_hash", "symbol_type").join(self._described(variables_only=True), ["entity_hash", "symbol_type"])
+        m = m.join(tags, "id", "left").join(named.select("id", F.col("properties")["Type"].alias("type")), "id", "left")
         has = lambda tag: F.coalesce(F.array_contains("tags", tag), F.lit(False))
         marked = lambda cond, tag, c: F.when(cond, F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))).otherwise(c)
         sign = F.when(has("public"), "+").when(has("private"), "-").when(has("protected"), "#").otherwise("")
