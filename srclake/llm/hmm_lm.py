@@ -6,8 +6,8 @@ p(text) = p(symbols) * product of p(word | symbol) sums to one over texts, all u
 Baum-Welch counts are summed across partitions in every round.  From a seeded start at the corpus's symbol frequencies,
 START_ROUNDS rounds take another share of all chunks each, by a hash, and mix its counts into those of the rounds before
 (stepwise EM); then ITERATIONS rounds take all chunks.  A chunk's number comes from its partition, so the shares, and with
-them the scores (not base_score or the counts), depend on how the rows are partitioned.  What the states learn from grows with the corpus.  The scaled forward recursion gives each
-text's exact likelihood.
+them the scores (not base_score or the counts), depend on how the rows are partitioned.  What the states learn from grows
+with the corpus.  The scaled forward recursion gives each text's exact likelihood.
 
 Corpus counts: documents are stored as chunks, each with its distinct word keys.  Keys are dealt by ranges; each range
 sums its counts over all chunks and sends them back to the chunks that asked.  A word takes one entry in a chunk,
