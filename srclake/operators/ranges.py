@@ -1,8 +1,10 @@
 """Containment and stabbing joins of source ranges (JN6-JN10).
 
-Every join has an equality on the file; `bucket_lines` adds one on line buckets, so that one large file is spread over
-tasks: an outer range takes a row for each bucket of lines it spans and an inner one the bucket of its start, and a pair
-meets in that bucket only.
+Every join has an equality on the file and on a bucket of lines.  Outer ranges have levels: at level k buckets of 2^k
+lines, the fewest that a range spans two of at most, so it takes one or two rows, however long it is.  An inner range
+takes the bucket of its start at each level that occurs, and a pair meets in one bucket only.  What meets in vain is
+within a few lengths of the outer range, so the work grows with the rows and the pairs found, not with a file's pairs.
+`bucket_lines` sets buckets of one size instead: an outer range takes a row for each that it spans.
 """
 
 from __future__ import annotations
@@ -14,22 +16,34 @@ POSITION = ("start_line", "start_col", "end_line", "end_col")
 
 
 def _start(side: str) -> Column:
-    return F.struct(F.col(f"{side}.start_line"), F.col(f"{side}.start_col"))
+    return F.struct(F.col(f"{side}_start_line"), F.col(f"{side}_start_col"))
 
 
 def _end(side: str) -> Column:
-    return F.struct(F.col(f"{side}.end_line"), F.col(f"{side}.end_col"))
+    return F.struct(F.col(f"{side}_end_line"), F.col(f"{side}_end_col"))
+
+
+def _bucket(line: str, level: str) -> Column:
+    """The bucket of 2^level lines."""
+    return F.call_function("shiftright", F.col(line).cast("long"), F.col(level))
 
 
 def _join(inner: DataFrame, outer: DataFrame, file: str, residual: Column, bucket_lines: int | None) -> DataFrame:
-    i = inner.select(F.col(file).alias("_f"), F.struct(*inner.columns).alias("inner"))
-    o = outer.where("end_line IS NOT NULL").select(F.col(file).alias("_f"), F.struct(*outer.columns).alias("outer"))
-    keys = ["_f"]
+    # flat columns, structs of the pairs found only
+    i = inner.select(F.col(file).alias("_f"), *(F.col(c).alias(f"inner_{c}") for c in inner.columns))
+    o = outer.where("end_line IS NOT NULL").select(F.col(file).alias("_f"), *(F.col(c).alias(f"outer_{c}") for c in outer.columns))
     if bucket_lines:
-        i = i.withColumn("_b", F.floor(F.col("inner.start_line") / bucket_lines))
-        o = o.withColumn("_b", F.explode(F.sequence(F.floor(F.col("outer.start_line") / bucket_lines), F.floor(F.col("outer.end_line") / bucket_lines))))
-        keys.append("_b")
-    return i.join(o, keys).where(residual).select("inner", "outer")
+        keys = ["_f", "_b"]
+        i = i.withColumn("_b", F.floor(F.col("inner_start_line") / bucket_lines))
+        o = o.withColumn("_b", F.explode(F.sequence(F.floor(F.col("outer_start_line") / bucket_lines), F.floor(F.col("outer_end_line") / bucket_lines))))
+    else:
+        keys = ["_f", "_l", "_b"]
+        o = o.withColumn("_l", F.ceil(F.log2(F.greatest(F.col("outer_end_line") - F.col("outer_start_line"), F.lit(0)) + F.lit(1))).cast("int"))
+        levels = F.broadcast(o.agg(F.collect_set("_l").alias("_ls")))  # one row, of 32 numbers at most
+        o = o.withColumn("_b", F.explode(F.array_distinct(F.array(_bucket("outer_start_line", "_l"), _bucket("outer_end_line", "_l")))))
+        i = i.crossJoin(levels).withColumn("_l", F.explode("_ls")).withColumn("_b", _bucket("inner_start_line", "_l")).drop("_ls")
+    pair = [F.struct(*(F.col(f"{side}_{c}").alias(c) for c in df.columns)).alias(side) for side, df in (("inner", inner), ("outer", outer))]
+    return i.join(o, keys).where(residual).select(*pair)
 
 
 def within(inner: DataFrame, outer: DataFrame, file: str = "file_id", bucket_lines: int | None = None) -> DataFrame:
