@@ -2,8 +2,9 @@
 deletion neighbourhoods, lines and documents (SRC16, SRC19, SR1-SR5, SR7-SR10, SR13, SR17, SR20).
 
 Every part (a field's postings and dictionary, the lines, the documents) is a list of segment folders; a manifest names
-the live ones, and one new manifest commits a change as a whole.  Postings are ordered by term and document over all
-files of a segment, so a query for a few terms reads the row groups that hold them, and a frequent term is many tasks'.
+the live ones, and one new manifest commits a change as a whole.  Files hold all postings of some documents in order of
+terms, so a query for a few terms reads the row groups of each that hold them, and a frequent term is many tasks'.  The
+dictionary of a segment is made of its postings by the first query that needs it.
 Wildcard, regex and fuzzy queries find their terms in the dictionary: by grams of three characters that a match must
 hold, or by the strings that deleting up to two of a prefix's characters leaves; only what these tables yield is tested.
 
@@ -53,12 +54,13 @@ ROW_GROUP = 4 << 20
 def content_terms(docs: DataFrame, doc: str = "doc_id", text: str = "content") -> DataFrame:
     """doc, term, position, start, end: the tokens of a text and their character offsets (from 0; end exclusive).
 
-    A text's gaps and tokens alternate, so offsets are running sums of their lengths.  Documents are dealt out before
-    they are taken apart, and one's tokens stay where it went."""
+    A text's gaps and tokens alternate, so offsets are running sums of their lengths (`posexplode` would have Spark add a
+    filter that finds them again).  Documents are dealt out before they are taken apart, and one's tokens stay where it
+    went."""
     d = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("t")).repartition("doc")
     tokens = F.regexp_extract_all("t", F.lit(f"({expr.TOKEN})"), F.lit(1))
     both = F.arrays_zip(F.transform(F.split("t", expr.TOKEN), F.length).alias("gap"), tokens.alias("token"))
-    rows = d.select("doc", F.posexplode(both).alias("position", "x")).select("doc", "position", F.col("x.gap").alias("gap"), F.col("x.token").alias("token")).where("token IS NOT NULL")
+    rows = d.select("doc", F.posexplode_outer(both).alias("position", "x")).select("doc", "position", F.col("x.gap").alias("gap"), F.col("x.token").alias("token")).where("token IS NOT NULL")
     w = Window.partitionBy("doc").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("token")).over(w).cast("int"))
     return rows.select(F.col("doc").alias(doc), F.lower("token").alias("term"), "position", (F.col("end") - F.length("token")).alias("start"), "end")
@@ -224,26 +226,42 @@ def required_grams(pieces: list[str]) -> list[str]:
 # --- segments -----------------------------------------------------------------------------------------------------
 
 
-def _put(df: DataFrame, path: str, *order: str, by: str | None = None) -> None:
-    """Rows in one order over all files, so that a filter on its first columns reads few row groups."""
-    out = df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", ROW_GROUP)
-    (out.partitionBy(by) if by else out).parquet(path)
+def _put(df: DataFrame, path: str, *order: str) -> None:
+    """Rows where they are, each file in order, so that a filter on its first columns reads few row groups of a file."""
+    df.sortWithinPartitions(*order).write.option("parquet.block.size", ROW_GROUP).parquet(path)
 
 
 FIELD = "field"
 
 
-def _write_fields(terms: DataFrame, path: str, doc: str) -> None:
-    """The postings of some fields (with a column that names them) and their dictionaries, a folder each by field."""
-    put = lambda df, table, *order: _put(df, f"{path}/{table}", FIELD, *order, by=FIELD)
-    spark = terms.sparkSession
-    put(terms, POSTINGS, "term", doc, "position")
-    posts = spark.read.schema(terms.schema).parquet(f"{path}/{POSTINGS}")
-    put(posts.groupBy(FIELD, "term").agg(F.countDistinct(doc).alias("docs"), F.count("*").alias("hits")), TERMS, "term")
-    words = spark.read.schema(f"term string, docs long, hits long, {FIELD} string").parquet(f"{path}/{TERMS}").select(FIELD, "term")
-    put(words.select(FIELD, F.explode(grams_of(F.col("term"))).alias("gram"), "term"), GRAMS, "gram", "term")
-    starts = words.select(FIELD, F.explode(F.sequence(F.lit(1), F.lit(PREFIX))).alias("length"), "term").select(FIELD, "length", F.expr("substring(term, 1, length)").alias("prefix")).distinct()
-    put(starts.select(FIELD, "length", F.explode(neighbours(F.col("prefix"))).alias("key"), "prefix"), EDGES, "key", "length", "prefix")
+def _dictionary(spark: SparkSession, path: str, table: str, field: str, doc: str) -> str:
+    """The path of a dictionary table (TERMS, GRAMS or EDGES) of a segment's field, which is written when it is first asked
+    for.  Segments don't change, so the table stays right; of two that write it at once the first one's is taken."""
+    done = f"{path}/{table}/{FIELD}={field}"
+    if store.listed(spark, done):
+        return done
+    if table == TERMS:
+        per_doc = spark.read.parquet(f"{path}/{POSTINGS}/{FIELD}={field}").groupBy("term", doc).agg(F.count("*").alias("hits"))
+        rows, order = per_doc.groupBy("term").agg(F.count("*").alias("docs"), F.sum("hits").alias("hits")), ["term"]
+    else:
+        words = spark.read.schema("term string, docs long, hits long").parquet(_dictionary(spark, path, TERMS, field, doc)).select("term")
+        if table == GRAMS:
+            rows, order = words.select(F.explode(grams_of(F.col("term"))).alias("gram"), "term"), ["gram", "term"]
+        else:
+            starts = words.select(F.explode(F.sequence(F.lit(1), F.lit(PREFIX))).alias("length"), "term").select("length", F.expr("substring(term, 1, length)").alias("prefix")).distinct()
+            rows, order = starts.select("length", F.explode(neighbours(F.col("prefix"))).alias("key"), "prefix"), ["key", "length", "prefix"]
+    draft = f"{done}-{uuid.uuid4().hex}"
+    _put(rows, draft, *order)
+    store.renamed(spark, draft, done)
+    return done
+
+
+def _write_field(terms: DataFrame, path: str, field: str, doc: str) -> None:
+    """The postings of a field.
+
+    A document's are in one place, as they were made: files hold all terms of some documents, so writing moves nothing
+    but texts, and a frequent term is many tasks'."""
+    _put(terms, f"{path}/{POSTINGS}/{FIELD}={field}", "term", doc, "position")
 
 
 def _write_segment(docs: DataFrame, folder: str, doc: str) -> dict[str, str]:
@@ -252,7 +270,8 @@ def _write_segment(docs: DataFrame, folder: str, doc: str) -> dict[str, str]:
     parts = {}
     if fields:
         path = f"{folder}/fields-{uuid.uuid4().hex}"
-        _write_fields(reduce(DataFrame.unionByName, (field_terms(docs, f, doc).withColumn(FIELD, F.lit(f)) for f in fields)), path, doc)
+        for f in fields:
+            _write_field(field_terms(docs, f, doc), path, f, doc)
         parts = dict.fromkeys(fields, path)
     if "content" in fields:
         parts[LINES] = f"{folder}/{LINES}-{uuid.uuid4().hex}"
@@ -305,7 +324,8 @@ class Index:
             if part in (LINES, DOCUMENTS):
                 rows = self.spark.read.schema(self.kinds[table]).parquet(path)
             else:
-                rows = self.spark.read.schema(f"{self.kinds[table]}, {FIELD} string").parquet(f"{path}/{table}").where(F.col(FIELD) == part).drop(FIELD)
+                at = f"{path}/{table}/{FIELD}={part}" if table == POSTINGS else _dictionary(self.spark, path, table, part, self.doc)
+                rows = self.spark.read.schema(self.kinds[table]).parquet(at)
             void = [gone for upto, gone in self.state["tombstones"].get(part, []) if upto >= n]
             if void and table in (POSTINGS, LINES, DOCUMENTS):
                 rows = rows.join(self.spark.read.schema(self.kinds[table].split(",")[0]).parquet(*void).distinct(), self.doc, "left_anti")
@@ -512,7 +532,7 @@ class Index:
                 if part in (LINES, DOCUMENTS):
                     _put(old[part], path, *([self.doc, "line"] if part == LINES else [self.doc]))
                 else:
-                    _write_fields(old[part].withColumn(FIELD, F.lit(part)), path, self.doc)
+                    _write_field(old[part], path, part, self.doc)
                 state["parts"][part] = [[state["next"], path]]
             state["tombstones"] = {}
             state["next"] += 1

@@ -232,3 +232,13 @@ def test_empty(spark, tmp_path):
     ix = index.build(spark.createDataFrame([], COLS), str(tmp_path / "e"))
     assert ix.any_of(["x"]).collect() == [] and ix.line_matches(["x"]).collect() == [] and ix.hits(ix.fuzzy_terms("x")).collect() == []
     assert ix.suggest("x", field="name").collect() == [] and ix.ranked(["x"]).collect() == []
+
+
+def test_dictionaries_are_made_when_asked_for(spark, tmp_path):
+    """Line matches read postings only; a wildcard needs terms and grams, not the fuzzy terms' neighbourhoods."""
+    folder = str(tmp_path / "ix")
+    ix = index.build(spark.createDataFrame([(1, "of the sea"), (2, "mention_no of")], "doc_id long, content string"), folder)
+    made = lambda: {t for t in (index.TERMS, index.GRAMS, index.EDGES) if any(f"/{t}/" in f for f in files_of(folder))}
+    assert rows(ix.line_matches(["of", "the"]), "doc_id", "start_col", "tokens") == [(1, 1, 2), (2, 12, 1)] and made() == set()
+    assert rows(ix.hits(ix.wildcard_terms("*tion?n*")), "doc_id", "hits") == [(2, 1)] and made() == {index.TERMS, index.GRAMS}
+    assert rows(ix.fuzzy_terms("see", 1), "term") == [("sea",)] and made() == {index.TERMS, index.GRAMS, index.EDGES}
