@@ -152,9 +152,10 @@ def documented(found: DataFrame, nodes: DataFrame) -> DataFrame:
     named = nodes.where("ast_type IN ('Definition', 'Declaration')").select("file_id", F.struct(F.col("start_line").alias("line"), F.col("start_col").alias("col")).alias("at"), "entity_hash")
     begins = named.select("file_id", "at", F.lit(1).alias("kind"), F.col("at").alias("begin"), F.lit(None).cast("int").alias("n")).distinct()
     ends = found.select("file_id", F.when(F.col("trailing"), F.struct("line", "col")).otherwise(F.struct(F.col("end_line").alias("line"), F.col("end_col").alias("col"))).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(begins.schema["begin"].dataType).alias("begin"), "n")
-    w = Window.partitionBy("file_id").orderBy("at", "kind")
+    # both look back: a frame up to the partition's end is read again for each row
+    before = Window.partitionBy("file_id").rowsBetween(Window.unboundedPreceding, -1)
     near = begins.unionByName(ends)
-    near = near.withColumn("next", F.first("begin", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).withColumn("prior", F.last("begin", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    near = near.withColumn("prior", F.last("begin", ignorenulls=True).over(before.orderBy("at", "kind"))).withColumn("next", F.last("begin", ignorenulls=True).over(before.orderBy(F.desc("at"), F.desc("kind"))))
     c = found.join(near.where("kind = 0").select("file_id", "n", "next", "prior"), ["file_id", "n"])
     until = F.struct(F.col("until_line").alias("line"), F.col("until_col").alias("col"))
     at = F.when(F.col("trailing"), F.when(F.col("prior.line") == F.col("line"), F.col("prior"))).when(F.col("next") <= until, F.col("next"))

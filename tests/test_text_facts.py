@@ -130,3 +130,14 @@ def test_messages(spark, block):
 
 def test_no_messages(spark):
     assert dg.messages(spark.createDataFrame([], "log string, n int, text string")).count() == 0
+
+
+def test_comments_windows_look_back(spark):
+    """A frame up to the end of the partition is read again for each row: with a file's comments squared."""
+    from srclake.sources import comments
+
+    files = spark.createDataFrame([(1, "/** \\brief a */\nint x;\n/** \\brief b */\nint y;\nint z; /**< c */\n")], "file_id long, content string")
+    nodes = spark.createDataFrame([(1, "Definition", 2, 1, 20), (1, "Definition", 4, 1, 40), (1, "Definition", 5, 1, 50)], "file_id long, ast_type string, start_line int, start_col int, entity_hash long")
+    found = comments.documented(comments.extracted(files), nodes)
+    assert sorted((r.entity_hash, r.content.strip()) for r in found.collect()) == [(20, "a"), (40, "b"), (50, "c")]
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
