@@ -446,6 +446,39 @@ def test_large_buckets_of_lines(spark, monkeypatch):
     assert {i for i in got if got[i]} == removed_by_brute_force(lines)
 
 
+def test_lines_that_share_only_a_large_bucket(spark):
+    """A run of words that 80 lines have is all that two similar lines share: no further key brings them together."""
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    lines = ["the same run " + " ".join(word() for _ in range(6)) for _ in range(80)]
+    near = "the same run " + " ".join(word() for _ in range(6))
+    lines += [near, " ".join(w if w in ("the", "same", "run") else w[:-1] + "0" for w in near.split())]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs(spark, [(i, x, None) for i, x in enumerate(lines)])).collect()}
+    assert {i for i in got if got[i]} == removed_by_brute_force(lines) == {81}
+
+
+def test_lines_with_changed_letters(spark):
+    """A letter changed in half of the words: most of the two lines' different words are not common."""
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    lines = [" ".join(word() for _ in range(10)) for _ in range(20)]
+    edited = [" ".join(w if i < 4 else w[:3] + "0" + w[4:] for i, w in enumerate(x.split())) for x in lines]
+    texts = docs(spark, [(i, x, None) for i, x in enumerate(lines + edited)])
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(texts).collect()}
+    assert {i for i in got if got[i]} == removed_by_brute_force(lines + edited) == set(range(20, 40))
+
+
+def test_counts_of_letters_bound_the_edits(spark):
+    rng = random.Random(20)
+    lines = ["".join(rng.choice("eeentthaoirsx ") for _ in range(rng.randrange(1, 60))) for _ in range(60)]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i long, t string")
+    got = {r["i"]: (r["low"], r["high"]) for r in d.select("i", *(line_dedup.counts(F.col("t"), m).alias(n) for n, m in zip(("low", "high"), line_dedup.LETTERS, strict=True))).collect()}
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            apart = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(got[i], got[j], strict=True))
+            assert apart <= 2 * edit_distance(a, b) - abs(len(a) - len(b))
+
+
 def test_lines_of_any_length(spark):
     long = " ".join(f"w{i}" for i in range(33_000))
     han = "".join(chr(0x4E00 + i * 37) for i in range(40))
