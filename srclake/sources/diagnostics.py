@@ -2,7 +2,7 @@
 
 A message begins with `path:line:col: kind: text`; the lines that follow, up to the next one, are its source excerpt.
 `In file included from` lines belong to the message that follows them.  A note belongs to the last error or warning
-before it.  "Last before" is found in two steps, within blocks of lines and then over the blocks, so a very long log is
+before it.  What is nearest is found in two steps, within blocks of lines and then over the blocks, so a very long log is
 many tasks' work.
 """
 
@@ -18,38 +18,56 @@ KINDS = {"note": "Note", "remark": "Note", "warning": "Warning", "error": "Error
 BLOCK = 10_000
 
 
-def last_before(rows: DataFrame, group: str, order: str, value: Column, name: str, block: int = BLOCK, itself: bool = True) -> DataFrame:
-    """Adds the last value that is not null of the rows up to each (or before it) in its group's order (a long)."""
-    rows = rows.withColumn("_v", value).withColumn("_b", F.floor(F.col(order) / block))
-    w = Window.partitionBy(group, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if itself else -1)
-    blocks = rows.groupBy(group, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_l"))
-    over = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
-    carried = blocks.withColumn("_c", F.last("_l", ignorenulls=True).over(over)).select(F.col(group).alias("_g"), F.col("_b").alias("_gb"), "_c")
-    out = rows.withColumn("_in", F.last("_v", ignorenulls=True).over(w))
-    out = out.join(carried, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_gb")))
-    return out.withColumn(name, F.coalesce("_in", "_c")).drop("_v", "_b", "_l", "_c", "_g", "_gb", "_in")
+def nearest(rows: DataFrame, values: dict[str, tuple[Column, bool]], block: int = BLOCK) -> DataFrame:
+    """rows (log, n, ...) with, by name, the value that is not null of the nearest row up to each (or, if True, from it
+    on) in its log.
+
+    One shuffle deals the blocks for all values; what a block hands on to the next ones is joined only where there is any."""
+    rows = rows.where("n IS NOT NULL").withColumn("_b", F.floor(F.col("n") / block)).withColumns({f"_{name}": v for name, (v, _) in values.items()})
+    at = {name: F.when(F.col(f"_{name}").isNotNull(), F.col("n")) for name in values}
+    ends = [(F.min_by if on else F.max_by)(f"_{name}", at[name]).alias(f"_{name}") for name, (_, on) in values.items()]
+    blocks = rows.repartition("log", "_b").groupBy("log", "_b").agg(*ends)
+    over = {on: Window.partitionBy("log").orderBy(F.desc("_b") if on else "_b").rowsBetween(Window.unboundedPreceding, -1) for on in (False, True)}  # a row for each block
+    carried = blocks.select(F.col("log").alias("_log"), F.col("_b").alias("_at"), *(F.last(f"_{name}", ignorenulls=True).over(over[on]).alias(f"_c_{name}") for name, (_, on) in values.items()))
+    carried = carried.where(" OR ".join(f"_c_{name} IS NOT NULL" for name in values))
+    within = {on: Window.partitionBy("log", "_b").orderBy(F.desc("n") if on else "n").rowsBetween(Window.unboundedPreceding, 0) for on in (False, True)}
+    out = rows.repartition("log", "_b").withColumns({f"_{name}": F.last(f"_{name}", ignorenulls=True).over(within[on]) for name, (_, on) in values.items()})
+    out = out.join(carried, F.col("log").eqNullSafe(F.col("_log")) & (F.col("_b") == F.col("_at")), "left")
+    out = out.withColumns({name: F.coalesce(f"_{name}", f"_c_{name}") for name in values})
+    return out.drop("_b", "_log", "_at", *(f"{p}{name}" for p in ("_", "_c_") for name in values))
 
 
 def messages(lines: DataFrame, log: str = "log", n: str = "n", text: str = "text", block: int = BLOCK) -> DataFrame:
     """log, n (line of the message in the log), type, message, path, line, col, excerpt, included_from (paths, the
     includer of the file last), parent (n of the error or warning that a note belongs to)."""
-    part = lambda i: F.regexp_extract(text, MESSAGE, i)
-    kind = F.when(F.col(text).rlike(MESSAGE), part(4))
-    rows = lines.select(F.col(log).alias("log"), F.col(n).cast("long").alias("n"), F.coalesce(F.col(text), F.lit("")).alias(text)).withColumn("kind", kind)
+    rows = lines.select(F.col(log).alias("log"), F.col(n).cast("long").alias("n"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    part = lambda i: F.regexp_extract("text", MESSAGE, i)
+    kind = part(4)
+    rows = rows.withColumn("kind", F.when(kind != "", kind)).withColumn("leads", F.col("kind").isNull() & F.col("text").rlike(LEADING))
+    head = F.col("kind").isNotNull()
+    rows = nearest(
+        rows,
+        {
+            "mark": (F.when(head | F.col("leads"), F.struct("n", head.alias("begun"))), False),
+            "cause": (F.when(F.col("kind").isin("error", "warning", "fatal error"), F.col("n")), False),
+            "of": (F.when(head, F.col("n")), True),  # leading lines belong to the next message: the first one after them
+        },
+        block,
+    )
+    owner = F.when(head, F.col("n")).when(F.col("leads"), F.col("of")).when(F.col("mark.begun"), F.col("mark.n"))
+    line = F.struct("n", "text")
+    listed = rows.withColumn("owner", owner).where("owner IS NOT NULL").groupBy("log", "owner").agg(
+        F.collect_list(F.when(head, F.struct("text", "kind", "cause"))).alias("heads"), F.collect_list(F.when(~head & ~F.col("leads"), line)).alias("rest"), F.collect_list(F.when(F.col("leads"), line)).alias("led")
+    )
+    texts = lambda c, f: F.transform(F.sort_array(c), lambda x: f(x["text"]))
+    out = listed.select("log", F.col("owner").alias("n"), F.explode("heads").alias("h"), "rest", "led").select("log", "n", "h.*", "rest", "led")
     number = lambda i: F.when(part(i) != "", part(i).cast("int"))
-    rows = rows.withColumns({"path": F.when(part(1) != "", part(1)), "line": number(2), "col": number(3), "message": part(5), "leads": F.col("kind").isNull() & F.col(text).rlike(LEADING)})
-    rows = last_before(rows, "log", "n", F.when(F.col("kind").isNotNull() | F.col("leads"), F.struct("n", F.col("kind").isNotNull().alias("begun"))), "mark", block)
-    rows = last_before(rows, "log", "n", F.when(F.col("kind").isin("error", "warning", "fatal error"), F.col("n")), "cause", block, False)
-    heads = rows.where("kind IS NOT NULL")
-    rest = rows.where("kind IS NULL AND NOT leads AND mark.begun").groupBy("log", F.col("mark.n").alias("n")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", text))), lambda x: x[text]), "\n").alias("excerpt"))
-    # leading lines belong to the next message: the first one after them
-    back = last_before(rows.where("kind IS NOT NULL OR leads").withColumn("m", -F.col("n")), "log", "m", F.when(F.col("kind").isNotNull(), F.col("n")), "of", block)
-    led = back.where("leads AND of IS NOT NULL").groupBy("log", F.col("of").alias("n")).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", F.regexp_extract(text, LEADING, 1).alias("p")))), lambda x: x["p"]).alias("included_from"))
-    same = lambda a, b: a["log"].eqNullSafe(b["log"]) & (a["n"] == b["n"])
-    out = heads.join(rest, same(heads, rest), "left").select(heads["*"], "excerpt")
-    out = out.join(led, same(out, led), "left").select(out["*"], F.coalesce("included_from", F.array().cast("array<string>")).alias("included_from"))
     names = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
-    return out.select("log", "n", names[F.col("kind")].alias("type"), "message", "path", "line", "col", "excerpt", "included_from", F.when(F.col("kind").isin("note", "remark"), F.col("cause")).alias("parent"))
+    return out.select(
+        "log", "n", names[F.col("kind")].alias("type"), part(5).alias("message"), F.when(part(1) != "", part(1)).alias("path"), number(2).alias("line"), number(3).alias("col"),
+        F.when(F.size("rest") > 0, F.array_join(texts("rest", lambda t: t), "\n")).alias("excerpt"), texts("led", lambda t: F.regexp_extract(t, LEADING, 1)).alias("included_from"),
+        F.when(F.col("kind").isin("note", "remark"), F.col("cause")).alias("parent"),
+    )
 
 
 def build_log(found: DataFrame, files: DataFrame) -> DataFrame:

@@ -141,3 +141,15 @@ def test_comments_windows_look_back(spark):
     found = comments.documented(comments.extracted(files), nodes)
     assert sorted((r.entity_hash, r.content.strip()) for r in found.collect()) == [(20, "a"), (40, "b"), (50, "c")]
     assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_diagnostics_parse_each_line_twice_at_most(spark):
+    """Values of other blocks are carried on; the plan reads the log once for the blocks and once for the lines."""
+    text = ["  | lost", "In file included from a.h:1:", "                 from b.c:2:", "x.c:1:2: error: one", "  | 1", "  | 2", "x.c:2: note: two", "y.c:3:1: warning: three", "  | 3", "z.c:4:4: note: four"]
+    lines = spark.createDataFrame([(log, i, t) for log in ("p", None) for i, t in enumerate(text)], "log string, n long, text string")
+    want = [(3, "Error", "one", "  | 1\n  | 2", ["a.h", "b.c"], None), (6, "Note", "two", None, [], 3), (7, "Warning", "three", "  | 3", [], None), (9, "Note", "four", None, [], 7)]
+    for block in (2, 3, 100):
+        got = dg.messages(lines, block=block)
+        rows = sorted((r["log"] or "", r["n"], r["type"], r["message"], r["excerpt"], r["included_from"], r["parent"]) for r in got.collect())
+        assert rows == sorted((log, *w) for log in ("", "p") for w in want)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2
