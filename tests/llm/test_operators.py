@@ -479,6 +479,26 @@ def test_counts_of_letters_bound_the_edits(spark):
             assert apart <= 2 * edit_distance(a, b) - abs(len(a) - len(b))
 
 
+def test_long_lines_meet_by_three_simhashes(spark):
+    """Long lines that have a third of their words in common: one SimHash of 60 bits lets many pairs through."""
+    rng = random.Random(21)
+    common = [f"common{i}" for i in range(12)]
+    lines = []
+    for _ in range(60):
+        w = common + [f"word{rng.randrange(10**6)}" for _ in range(24)]
+        rng.shuffle(w)
+        lines.append(" ".join(w))
+    lines += [x.replace(x.split()[5], "otherword", 1) for x in lines]
+    d = docs(spark, [(i, x, None) for i, x in enumerate(lines)])
+    table = line_dedup.line_table(d.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")).cache()
+    key = {r["key"]: r["doc_id"] for r in table.collect()}
+    end = F.struct(*line_dedup.MEMBER)
+    pairs = table.select(end.alias("x")).crossJoin(table.select(end.alias("y"))).where("x.key < y.key")
+    one = pairs.where(F.bit_count(F.col("x.sim").bitwiseXOR(F.col("y.sim"))) <= line_dedup.DISTANCE).count()
+    met = {frozenset((key[r["a"]], key[r["b"]])) for r in line_dedup._fitting(pairs).collect()}
+    assert {frozenset((i, 60 + i)) for i in range(60)} <= met and 2 * len(met) < one
+
+
 def test_lines_of_any_length(spark):
     long = " ".join(f"w{i}" for i in range(33_000))
     han = "".join(chr(0x4E00 + i * 37) for i in range(40))
