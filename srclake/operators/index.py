@@ -44,7 +44,7 @@ BEGIN, END, GRAM = "\x02", "\x03", 3
 PREFIX, EDITS = 7, 2
 #: Terms or prefixes that go into a filter; more are joined.
 SENT = 1000
-#: Characters of a document that line matching looks at.
+#: Characters of a document that line matching can be told to stop at; by itself it looks at all.
 ANALYSED = 500 * 1024
 #: Characters in a block of the line lookup.
 BLOCK = 512
@@ -94,11 +94,12 @@ def located(hits: DataFrame, lines: DataFrame, offset: str, doc: str = "doc_id",
     return h.join(blocks, on).withColumn(column, F.col(offset) - F.col("_start") + 1).drop("_doc", "_start", "_next", "_block", "_b")
 
 
-def line_runs(hits: DataFrame, lines: DataFrame, doc: str = "doc_id", analysed: int = ANALYSED) -> DataFrame:
+def line_runs(hits: DataFrame, lines: DataFrame, doc: str = "doc_id", analysed: int | None = None) -> DataFrame:
     """SR10: neighbouring matching tokens on a line are one match: doc, line, start_col, end_col (exclusive), tokens.
 
-    hits: doc, position, start, end.  Tokens that begin beyond `analysed` characters don't count."""
-    at = located(hits.where(F.col("start") < analysed).select(doc, "position", "start", "end").distinct(), lines, "start", doc, "line", "start_col")
+    hits: doc, position, start, end.  Tokens that begin beyond `analysed` characters don't count, if it is given."""
+    some = hits if analysed is None else hits.where(F.col("start") < analysed)
+    at = located(some.select(doc, "position", "start", "end").distinct(), lines, "start", doc, "line", "start_col")
     w = Window.partitionBy(doc).orderBy("position")
     runs = at.withColumn("_g", F.col("position") - F.row_number().over(w)).withColumn("end_col", F.col("start_col") + F.col("end") - F.col("start"))
     return runs.groupBy(doc, "line", "_g").agg(F.min("start_col").alias("start_col"), F.max("end_col").alias("end_col"), F.count("*").alias("tokens")).drop("_g")
@@ -432,7 +433,7 @@ class Index:
         """SR8: the best match of each document."""
         return search.proximity(self.of("content", *terms), terms, self.doc, **options)
 
-    def line_matches(self, terms: list[str] | DataFrame, analysed: int = ANALYSED) -> DataFrame:
+    def line_matches(self, terms: list[str] | DataFrame, analysed: int | None = None) -> DataFrame:
         """SR10: runs of matching tokens on a line, with character columns."""
         hits = self.of_terms(terms) if isinstance(terms, DataFrame) else self.of("content", *terms)
         return line_runs(hits, self.lines, self.doc, analysed)
@@ -456,7 +457,7 @@ class Index:
         are in none of them and so drop out."""
         out = []
         if text is not None:
-            m = self.line_matches(text)
+            m = self.line_matches(text, ANALYSED)
             out.append(m.select(self.doc, F.col("line").alias("start_line"), "start_col", F.col("line").alias("end_line"), "end_col"))
         if definitions is not None:
             places = self.lines.join(definitions.select(self.doc, "line", "name"), [self.doc, "line"])

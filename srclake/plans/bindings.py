@@ -647,10 +647,10 @@ def _runs(terms: str, more: str = "") -> str:
     return f"SELECT doc_id, line, {ints('min(col)')} AS start_col, {ints('max(col + stop - start)')} AS end_col, count(*) AS tokens FROM (SELECT *, position - row_number() OVER (PARTITION BY doc_id ORDER BY position) AS g FROM (SELECT o.doc_id, position, term, o.start, stop, line, o.start - l.start + 1 AS col FROM {v.OFFSETS} o ASOF JOIN {v.LINES} l ON o.doc_id = l.doc_id AND o.start >= l.start) WHERE {terms}{more}) GROUP BY doc_id, line, g"
 
 
-@query("sr10_indexed", _runs("regexp_full_match(term, 'th(e|is|at)')", " AND start < 1000"))
+@query("sr10_indexed", _runs("regexp_full_match(term, 'th(e|is|at)')"))
 def _(x):
     ix = _index(x)
-    return ix.line_matches(ix.regex_terms("th(e|is|at)"), 1000).select("doc_id", *map(long, ("line", "start_col", "end_col", "tokens")))
+    return ix.line_matches(ix.regex_terms("th(e|is|at)")).select("doc_id", *map(long, ("line", "start_col", "end_col", "tokens")))
 
 
 _TFIDF = "(SELECT doc_id, sum(sqrt(tf) * (1 + ln(n / (df + 1)))) AS score FROM (SELECT doc_id, term, count(*) AS tf, count(*) OVER (PARTITION BY term) AS df FROM {posts} WHERE term IN ('with', 'from') GROUP BY doc_id, term), (SELECT count(*)::DOUBLE AS n FROM documents) GROUP BY doc_id)".format(posts=v.POSTINGS)
@@ -688,7 +688,7 @@ def _(x):
 
 @query("sr10_line_matches", _runs("term IN ('of', 'the')", f" AND start < {index.ANALYSED}"))
 def _(x):
-    return _index(x).line_matches(["of", "the"]).select("doc_id", *map(long, ("line", "start_col", "end_col", "tokens")))
+    return _index(x).line_matches(["of", "the"], index.ANALYSED).select("doc_id", *map(long, ("line", "start_col", "end_col", "tokens")))
 
 
 @query("sr12_near_best", "SELECT o_custkey AS doc_id, o_orderkey, o_totalprice AS score FROM (SELECT *, max(o_totalprice) OVER (PARTITION BY o_custkey) AS b FROM orders) WHERE o_totalprice >= b - 1000")

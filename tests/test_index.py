@@ -3,6 +3,7 @@
 import os
 import random
 
+import duckdb
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from srclake import store
 from srclake.functions import expr
 from srclake.operators import index, search
+from srclake.plans import bindings
 
 COLS = "doc_id long, content string, name string, path string, parsed boolean"
 TEXTS = [
@@ -242,3 +244,14 @@ def test_dictionaries_are_made_when_asked_for(spark, tmp_path):
     assert rows(ix.line_matches(["of", "the"]), "doc_id", "start_col", "tokens") == [(1, 1, 2), (2, 12, 1)] and made() == set()
     assert rows(ix.hits(ix.wildcard_terms("*tion?n*")), "doc_id", "hits") == [(2, 1)] and made() == {index.TERMS, index.GRAMS}
     assert rows(ix.fuzzy_terms("see", 1), "term") == [("sea",)] and made() == {index.TERMS, index.GRAMS, index.EDGES}
+
+
+def test_whole_texts_are_matched(spark, tmp_path):
+    """sr10_indexed: matches beyond a text's first 1,000 characters count, in the query and in its SQL."""
+    long = "yy " * 200_000 + "\nthat is\n"
+    spark.createDataFrame([(1, "y " * 800 + "the", "en", "web", 1603), (2, long, "en", "web", len(long))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = bindings.queries()["sr10_indexed"](spark, str(tmp_path))
+    assert rows(got, "doc_id", "line", "start_col", "end_col", "tokens") == [(1, 1, 1601, 1604, 1), (2, 2, 1, 5, 1)]
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert len(c.sql(bindings.oracle_sql()["sr10_indexed"]).fetchall()) == 2
