@@ -255,3 +255,10 @@ def test_whole_texts_are_matched(spark, tmp_path):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert len(c.sql(bindings.oracle_sql()["sr10_indexed"]).fetchall()) == 2
+
+
+def test_matchers_read_whole_texts(spark, tmp_path):
+    """sr11_matchers: matches beyond 500 KiB count."""
+    text = "yy " * 200_000 + "\nof\n"
+    ix = index.build(spark.createDataFrame([(1, text)], "doc_id long, content string"), str(tmp_path / "ix"))
+    assert rows(ix.matches(["of"]), "doc_id", "start_line", "start_col", "end_line", "end_col") == [(1, 2, 1, 2, 3)]
